@@ -82,7 +82,7 @@ def fill(c: Column, default) -> Column:
 def right_closed_bin(c: Column, edges: tuple[float, ...], labels: tuple) -> Column:
     """Label of the (edge, next edge] interval; NULL outside all of them."""
     out = None
-    for lo, hi, label in zip(edges, edges[1:], labels, strict=True):
+    for lo, hi, label in zip(edges[:-1], edges[1:], labels, strict=True):
         inside = (c > lo) if hi == float("inf") else (c > lo) & (c <= hi)
         out = F.when(inside, label) if out is None else out.when(inside, label)
     return out

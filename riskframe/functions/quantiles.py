@@ -9,7 +9,7 @@ are ranked exactly. A bracket that misses its rank is replaced by the full range
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 import math
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -35,18 +35,17 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     distinct_limit: int = DISTINCT_LIMIT,
+    widths: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per (by, feature) with ``q``: the quantiles in ``probs`` order.
 
     ``by`` is a bounded grouping such as a class label; rows with a null group
-    are left out.
+    are left out. ``widths`` passes distinct counts the caller already has.
     """
     by, cols, probs = list(by), list(cols), [float(p) for p in probs]
     if by:
         df = df.na.drop(subset=by)
-    distinct = df.groupBy(*by).agg(
-        *[F.approx_count_distinct(c).alias(c) for c in cols]
-    ).agg(*[F.max(c).alias(c) for c in cols]).first()
+    distinct = widths or df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
     narrow = [c for c in cols if (distinct[c] or 0) <= distinct_limit]
     wide = [c for c in cols if c not in narrow]
     parts = []

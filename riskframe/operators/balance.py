@@ -23,7 +23,7 @@ def oversample(df: DataFrame, id_col: str, target: str, seed: int = 42) -> DataF
     minor = min(counts, key=lambda c: (counts[c], str(c)))
     major = max(counts.values())
     whole, extra = divmod(major, counts[minor])
-    cuts = find_cuts(df, id_col, target, {minor: [extra]}, seed).cuts[minor]
+    cuts = find_cuts(df, id_col, target, lambda _: {minor: [extra]}, seed).cuts[minor]
     key = order_hash(F.col(id_col), seed)
     times = F.when(
         F.col(target) == minor, F.lit(whole) + (key <= F.lit(cuts[0])).cast("int")
@@ -72,7 +72,7 @@ def synthesise_minority(
         1, neighbours,
     )).where(F.size("_m") > 0)
     whole, extra = divmod(missing, n)
-    cut = find_cuts(base.withColumn("_one", F.lit(0)), spec.id, None, {None: [extra]}, seed).cuts[None][0]
+    cut = find_cuts(base, spec.id, None, lambda _: {None: [extra]}, seed).cuts[None][0]
     times = F.lit(whole) + (order_hash(F.col(spec.id), seed) <= F.lit(cut)).cast("int")
     drawn = pooled.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
     h = F.xxhash64(spec.id, "copy", F.lit(seed))

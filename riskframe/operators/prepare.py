@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 import json
+import math
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -145,33 +146,57 @@ def scaler_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Sorted category list per column; refuses columns too wide to encode as columns."""
-    width = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    wide = [c for c in cols if width[c] > MAX_CATEGORIES]
+def _check_width(width: Mapping[str, int]) -> None:
+    wide = [c for c, n in width.items() if n > MAX_CATEGORIES]
     if wide:
         raise ValueError(f"{wide} exceed {MAX_CATEGORIES} categories; use onehot_long")
+
+
+def categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Sorted category list per column; refuses columns too wide to encode as columns."""
+    _check_width(df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict())
     return _value_counts(df, cols).groupBy("feature").agg(
         F.array_sort(F.collect_list("value")).alias("categories")
     )
 
 
 def fit_prep(train: DataFrame, spec: FeatureSpec) -> PrepModel:
-    """Fit on ``train`` and nothing else. Scaling and categories see filled values."""
-    defaults: dict = {r["feature"]: r["median"] for r in medians(train, spec.numeric).collect()}
-    absent = [c for c in spec.numeric if defaults.get(c) is None]
-    if absent:
-        raise ValueError(f"no training value for numeric columns {absent}")
-    defaults |= {r["feature"]: r["mode"] for r in modes(train, spec.categorical).collect()}
-    filled = fill_defaults(train, spec, defaults)
-    scale = {r["feature"]: r for r in scaler_stats(filled, spec.numeric).collect()}
-    cats = {r["feature"]: tuple(r["categories"]) for r in categories(filled, spec.categorical).collect()}
+    """Fit on ``train`` and nothing else, in three scans of it.
+
+    Mean and std are those of the filled column. They follow from the moments of
+    the present values, the number of nulls and the fill value, so scaling needs
+    no scan of its own.
+    """
+    num, cat = list(spec.numeric), list(spec.categorical)
+    one = train.agg(
+        F.count("*").alias("_rows"),
+        *[F.struct(F.count(c).alias("n"), F.avg(c).alias("m"), F.stddev_pop(c).alias("s"),
+                   F.approx_count_distinct(c).alias("width")).alias(c) for c in num],
+        *[F.approx_count_distinct(c).alias(c) for c in cat],
+    ).first()
+    empty = [c for c in num if one[c]["n"] == 0]
+    if empty:
+        raise ValueError(f"no training value for numeric columns {empty}")
+    _check_width({c: one[c] for c in cat})
+    fill = {
+        r["feature"]: r["q"][0]
+        for r in exact_quantiles(train, num, [0.5], widths={c: one[c]["width"] for c in num}).collect()
+    }
+    mean, std = {}, {}
+    for c in num:
+        n, nulls = one[c]["n"], one["_rows"] - one[c]["n"]
+        mean[c] = (n * one[c]["m"] + nulls * fill[c]) / one["_rows"]
+        var = (
+            n * (one[c]["s"] ** 2 + (one[c]["m"] - mean[c]) ** 2) + nulls * (fill[c] - mean[c]) ** 2
+        ) / one["_rows"]
+        std[c] = math.sqrt(var) or 1.0
+    seen: dict = {c: [] for c in cat}
+    for r in _value_counts(train, cat).collect() if cat else []:
+        seen[r["feature"]].append((-r["n"], r["value"]))
+    fill |= {c: min(seen[c])[1] if seen[c] else "unknown" for c in cat}
     return PrepModel(
-        spec=spec,
-        defaults=defaults,
-        mean={c: scale[c]["mean"] for c in spec.numeric},
-        std={c: scale[c]["std"] for c in spec.numeric},
-        categories={c: cats[c] for c in spec.categorical},
+        spec=spec, defaults=fill, mean=mean, std=std,
+        categories={c: tuple(sorted(v for _, v in seen[c])) or ("unknown",) for c in cat},
     )
 
 

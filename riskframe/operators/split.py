@@ -2,23 +2,23 @@
 
 The order is the MD5 of ``id:seed``, uniform by construction. An exact quota
 needs only the key at one rank per class, so we find that key by narrowing hex
-prefixes: each pass is a filtered count of at most 65,536 prefixes per class,
+prefixes: each pass is a filtered count of at most 4,096 prefixes per open cut,
 combined before the shuffle. Applying the result is a string comparison per
 row: no sort, no window, no shuffle of the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from fractions import Fraction
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.columns import order_hash
 
-_STEP = 4       # hex digits narrowed per pass
+_STEP = 3       # hex digits narrowed per pass
 _DIGITS = 32
 
 
@@ -69,62 +69,59 @@ def stratified_quota(counts: Mapping, test_size: float) -> dict:
     return quota
 
 
+def _prefix_counts(keyed: DataFrame, live: set | None, depth: int) -> dict:
+    """Rows per next digits, for every (class, prefix) still open. At most
+    16**_STEP counts each, so the collected table is small at any data size."""
+    if live is not None:
+        hit = F.lit(False)
+        for c, prefix in sorted(live, key=str):
+            hit = hit | (F.col("_c").eqNullSafe(F.lit(c)) & F.startswith("_k", F.lit(prefix)))
+        keyed = keyed.where(hit)
+    rows = keyed.groupBy(
+        "_c", F.substring("_k", 1, depth).alias("_p"), F.substring("_k", depth + 1, _STEP).alias("_d")
+    ).count().collect()
+    out: dict = {}
+    for r in rows:
+        out.setdefault((r["_c"], r["_p"]), {})[r["_d"]] = r["count"]
+    return out
+
+
 def find_cuts(
-    df: DataFrame, id_col: str, label: str | None, ranks: Mapping, seed: int
+    df: DataFrame, id_col: str, label: str | None, ranks: Callable[[dict], Mapping], seed: int
 ) -> HashCuts:
-    """Keys at the given 1-based ranks of each class.
+    """Keys at 1-based ranks of each class; ``ranks`` maps class counts to rank lists.
 
     Rows that share a key (copies of one id) always land on the same side.
     """
-    key = order_hash(F.col(id_col), seed)
-    cls = F.lit(0) if label is None else F.col(label)
-    keyed = df.select(cls.alias("_c"), key.alias("_k"))
-    code = {c: (0 if label is None else c) for c in ranks}
-    # (class, rank) -> [prefix, rows of the class still to pass inside it, done]
-    state = {(c, r): ["", r, r <= 0] for c, rs in ranks.items() for r in rs}
+    cls = F.lit(None).cast("int") if label is None else F.col(label)
+    keyed = df.select(cls.alias("_c"), order_hash(F.col(id_col), seed).alias("_k"))
+    if label is not None:
+        keyed = keyed.where(F.col("_c").isNotNull())
+    counted = _prefix_counts(keyed, None, 0)
+    counts = {c: sum(counted[c, ""].values()) for c, _ in sorted(counted, key=lambda t: str(t[0]))}
+    wanted = ranks(counts)
+    # [prefix so far, rank inside that prefix]
+    state = {(c, r): ["", r] for c, rs in wanted.items() for r in rs if r > 0}
+    open_ = set(state)
     depth = 0
-    while depth < _DIGITS and not all(s[2] for s in state.values()):
-        live = sorted({(str(code[c]), c, s[0]) for (c, _), s in state.items() if not s[2]},
-                      key=lambda t: (t[0], t[2]))
-        wanted = None
-        for _, c, prefix in live:
-            hit = (F.col("_c") == code[c]) & F.startswith("_k", F.lit(prefix))
-            wanted = hit if wanted is None else wanted | hit
-        per_prefix = (
-            keyed.where(wanted)
-            .groupBy("_c", F.substring("_k", 1, depth).alias("_p"),
-                     F.substring("_k", depth + 1, _STEP).alias("_d"))
-            .count()
-        )
-        upto = Window.partitionBy("_c", "_p").orderBy("_d").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        running = per_prefix.withColumn("_cum", F.sum("count").over(upto))
-        picks = None
-        for (c, r), (prefix, need, done) in state.items():
-            if not done:
-                hit = (
-                    (F.col("_c") == code[c]) & (F.col("_p") == prefix)
-                    & (F.col("_cum") >= need) & (F.col("_cum") - F.col("count") < need)
-                )
-                picks = hit if picks is None else picks | hit
-        found = {}
-        for row in running.where(picks).collect():
-            found.setdefault((row["_c"], row["_p"]), []).append(row)
-        for (c, r), s in state.items():
-            if s[2]:
-                continue
-            row = next(
-                x for x in found[(code[c], s[0])]
-                if x["_cum"] - x["count"] < s[1] <= x["_cum"]
-            )
-            s[0] += row["_d"]
-            s[1] -= row["_cum"] - row["count"]
-            s[2] = s[1] == row["count"]
+    while open_:
+        if depth:
+            counted = _prefix_counts(keyed, {(k[0], state[k][0]) for k in open_}, depth)
+        for k in sorted(open_, key=str):
+            prefix, need = state[k]
+            for digits, n in sorted(counted[k[0], prefix].items()):
+                if need <= n:
+                    break
+                need -= n
+            state[k] = [prefix + digits, need]
+            if need == n:
+                open_.discard(k)
         depth += _STEP
+        if depth >= _DIGITS:
+            break
     cuts = {
-        c: tuple(
-            state[(c, r)][0].ljust(_DIGITS, "f") if r > 0 else "" for r in sorted(rs)
-        ) for c, rs in ranks.items()
+        c: tuple(state[c, r][0].ljust(_DIGITS, "f") if r > 0 else "" for r in sorted(rs))
+        for c, rs in wanted.items()
     }
     return HashCuts(id_col, label, seed, cuts)
 
@@ -133,9 +130,10 @@ def fit_split(
     df: DataFrame, id_col: str, label: str | None, test_size: float = 0.2, seed: int = 42
 ) -> HashCuts:
     """Exact split: stratified by ``label``, or over all rows when it is None."""
-    counts = class_counts(df, label)
-    quota = stratified_quota(counts, test_size)
-    return find_cuts(df, id_col, label, {c: [q] for c, q in quota.items()}, seed)
+    return find_cuts(
+        df, id_col, label,
+        lambda counts: {c: [q] for c, q in stratified_quota(counts, test_size).items()}, seed,
+    )
 
 
 def apply_split(df: DataFrame, cuts: HashCuts) -> DataFrame:
@@ -153,14 +151,15 @@ def hash_split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int = 4
 
 def fit_folds(df: DataFrame, id_col: str, label: str | None, k: int = 5, seed: int = 42) -> HashCuts:
     """Cuts that part each class into ``k`` folds whose sizes differ by at most one."""
-    ranks = {}
-    for c, n in class_counts(df, label).items():
-        ends, end = [], 0
+
+    def ends(n: int) -> list[int]:
+        out, end = [], 0
         for fold in range(k - 1):
             end += n // k + (fold < n % k)
-            ends.append(end)
-        ranks[c] = ends
-    return find_cuts(df, id_col, label, ranks, seed)
+            out.append(end)
+        return out
+
+    return find_cuts(df, id_col, label, lambda counts: {c: ends(n) for c, n in counts.items()}, seed)
 
 
 def apply_folds(df: DataFrame, cuts: HashCuts) -> DataFrame:
