@@ -24,6 +24,7 @@ class SplitConfig:
 class LogisticConfig:
     max_iter: int = 1000
     c: float = 1.0
+    tol: float = 1e-7
 
 
 @dataclass(frozen=True)

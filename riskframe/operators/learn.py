@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.config import ForestConfig, LogisticConfig, TreeConfig
 from riskframe.operators.explain import ranked_importance
-from riskframe.operators.prepare import weight_column
+from riskframe.operators.prepare import class_weights, weight_expression
 
 WEIGHT = "_weight"
+ROWS_PER_TASK = 10_000
 LOGISTIC, TREE, FOREST, SVM = "logistic_regression", "decision_tree", "random_forest", "svm"
 
 
@@ -46,11 +47,17 @@ class Classifier:
 
 
 def training_frame(prepared: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
-    """Feature columns, target and balanced weight, spread over all cores."""
+    """Feature columns, target and balanced weight.
+
+    A table that arrives in fewer partitions than its size warrants is spread
+    over the cores; one that has enough is left where it lies.
+    """
     df = prepared.select(target, *[F.col(f"`{c}`") for c in columns])
-    df = df.withColumn(WEIGHT, weight_column(df, target))
+    weights = class_weights(df, target).collect()
+    df = df.withColumn(WEIGHT, weight_expression(target, weights))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = min(cores, max(4, sum(r["n"] for r in weights) // ROWS_PER_TASK))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def fit_logistic(
@@ -61,7 +68,7 @@ def fit_logistic(
     total = train.agg(F.sum(WEIGHT)).first()[0]
     fit = LogisticRegression(
         labelCol=target, weightCol=WEIGHT, maxIter=config.max_iter, elasticNetParam=0.0,
-        standardization=False, regParam=1.0 / (config.c * total), tol=1e-8,
+        standardization=False, regParam=1.0 / (config.c * total), tol=config.tol,
     ).fit(vec.transform(train))
     return Classifier(LOGISTIC, PipelineModel([vec, fit]))
 
@@ -85,6 +92,7 @@ def fit_forest(
         labelCol=target, weightCol=WEIGHT, impurity="gini", numTrees=config.trees,
         maxDepth=config.max_depth, minInstancesPerNode=config.min_leaf, maxBins=config.max_bins,
         featureSubsetStrategy="sqrt", subsamplingRate=1.0, seed=config.seed, maxMemoryInMB=1024,
+        cacheNodeIds=True,
     ).fit(vec.transform(train))
     return Classifier(FOREST, PipelineModel([vec, fit]))
 

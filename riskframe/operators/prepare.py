@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-import json
 import math
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from riskframe.functions.ordering import running_sums
 from riskframe.functions.quantiles import exact_quantiles
@@ -20,6 +19,11 @@ from riskframe.spec import FeatureSpec
 # One-hot columns become literals in the plan; past this use ``onehot_long``.
 MAX_CATEGORIES = 1_000
 
+_PARAMS = (
+    "position int, feature string, kind string, fallback string, mean double, std double, "
+    "categories array<string>"
+)
+
 
 @dataclass(frozen=True)
 class PrepModel:
@@ -72,26 +76,14 @@ class PrepModel:
                 None if cat else self.mean[c], None if cat else self.std[c],
                 list(self.categories[c]) if cat else None,
             ))
-        return spark.createDataFrame(
-            rows,
-            "position int, feature string, kind string, fallback string, mean double, std double, "
-            "categories array<string>",
-        )
+        return spark.createDataFrame(rows, _PARAMS)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.to_frame(spark).coalesce(1).write.mode("overwrite").json(path)
 
 
-_PARAMS = (
-    "position int, feature string, kind string, fallback string, mean double, std double, "
-    "categories array<string>"
-)
-
-
 def load_prep(spark: SparkSession, path: str, spec: FeatureSpec) -> PrepModel:
-    from pyspark.sql.types import StructType
-
-    rows = read_json(spark, path, StructType.fromDDL(_PARAMS)).collect()
+    rows = read_json(spark, path, T.StructType.fromDDL(_PARAMS)).collect()
     cat = [r for r in rows if r["kind"] == "categorical"]
     num = [r for r in rows if r["kind"] == "numeric"]
     return PrepModel(
@@ -236,10 +228,10 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def weight_column(df: DataFrame, target: str) -> Column:
-    """The balanced weights of ``df`` as an expression on its target."""
+def weight_expression(target: str, weights: Sequence[Row]) -> Column:
+    """Collected ``class_weights`` rows as an expression on the target."""
     out = None
-    for r in class_weights(df, target).collect():
+    for r in weights:
         hit = F.col(target) == r[target]
         out = F.when(hit, r["weight"]) if out is None else out.when(hit, r["weight"])
     return out
@@ -248,10 +240,3 @@ def weight_column(df: DataFrame, target: str) -> Column:
 def top_features(importance: DataFrame, n: int) -> list[str]:
     rows = importance.orderBy(F.desc("importance"), "feature").limit(n).collect()
     return [r["feature"] for r in rows]
-
-
-def params_json(model: PrepModel) -> str:
-    return json.dumps({
-        "defaults": dict(model.defaults), "mean": dict(model.mean), "std": dict(model.std),
-        "categories": {k: list(v) for k, v in model.categories.items()},
-    }, sort_keys=True)
