@@ -52,6 +52,7 @@ class KernelConfig:
     tol: float = 1e-3
     folds: int = 5
     seed: int = 42
+    parallelism: int = 3                # fits that may overlap
 
 
 @dataclass(frozen=True)
@@ -64,6 +65,7 @@ class RunConfig:
     forest: ForestConfig = field(default_factory=ForestConfig)
     kernel: KernelConfig = field(default_factory=KernelConfig)
     threshold: float = 0.5
+    parallelism: int = 4                # classifiers that may train at once
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)

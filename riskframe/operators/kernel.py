@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from riskframe.config import KernelConfig
+from riskframe.functions.concurrently import run_together
 from riskframe.operators.learn import SVM, WEIGHT, assembler
 from riskframe.operators.split import apply_folds, fit_folds
 from riskframe.sources.readers import read_json
@@ -144,7 +146,7 @@ def fit_kernel_svm(
 def fit_calibrated_svm(
     train: DataFrame, id_col: str, target: str, columns: Sequence[str], config: KernelConfig = KernelConfig()
 ) -> KernelSvm:
-    """Out-of-fold scores from ``folds`` fits, one sigmoid on them, then a fit on all rows.
+    """Out-of-fold scores from ``folds`` fits, one sigmoid on them, and a fit on all rows.
 
     Fold membership is a comparison of the id's hash with fitted cuts, so each
     fold is a filter over the same table.
@@ -154,12 +156,16 @@ def fit_calibrated_svm(
         apply_folds(train, fit_folds(train, id_col, target, config.folds, config.seed)),
         columns, gamma, config,
     )
+    parts = [vectors.where(F.col("fold") != fold) for fold in range(config.folds)]
+    *fold_models, model = run_together(
+        train.sparkSession,
+        [partial(fit_linear_svm, part, target, config) for part in [*parts, vectors]],
+        config.parallelism,
+    )
     held_out = None
-    for fold in range(config.folds):
-        model = fit_linear_svm(vectors.where(F.col("fold") != fold), target, config)
-        part = model.transform(vectors.where(F.col("fold") == fold)).select(
+    for fold, fold_model in enumerate(fold_models):
+        scored = fold_model.transform(vectors.where(F.col("fold") == fold)).select(
             target, vector_to_array("rawPrediction")[1].alias("score"))
-        held_out = part if held_out is None else held_out.unionByName(part)
+        held_out = scored if held_out is None else held_out.unionByName(scored)
     slope, offset = fit_sigmoid(held_out, "score", target)
-    model = fit_linear_svm(vectors, target, config)
     return KernelSvm(SVM, tuple(columns), gamma, config, model, slope, offset)
