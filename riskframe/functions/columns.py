@@ -29,8 +29,10 @@ def normalise_text(c: Column) -> Column:
     )
 
 
-def na_to_null(c: Column) -> Column:
-    return F.when(~c.isin(*NA_TOKENS), c)
+def na_to_null(name: str) -> Column:
+    """A text column with the missing-value tokens removed."""
+    tokens = ", ".join(f"'{t}'" for t in NA_TOKENS)
+    return F.expr(f"CASE WHEN `{name}` NOT IN ({tokens}) THEN `{name}` END")
 
 
 def flag_strict(c: Column) -> Column:

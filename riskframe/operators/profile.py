@@ -45,21 +45,48 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson, pairwise-complete: every ordered pair, upper triangle flagged."""
+    """Pearson, pairwise-complete: every ordered pair, upper triangle flagged.
+
+    One scan for means and one for sums of centred products, grouped by which
+    columns are missing. A pair then adds up the groups where both are present,
+    so nulls cost a few groups instead of separate aggregates per pair. NULL when
+    a column is constant over the pair's rows.
+    """
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    one = df.agg(*[
-        pair_correlation(F.col(cols[i]), F.col(cols[j])).alias(f"r_{i}_{j}") for i, j in pairs
-    ])
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            r = F.lit(1.0) if i == j else F.col(f"r_{min(i, j)}_{max(i, j)}")
-            cells.append(F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"),
-                F.lit(int(j > i)).alias("is_upper"),
-            ))
-    return melt_row(one, [], cells)
+    k = range(len(cols))
+    first = df.agg(
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)],
+    ).first()
+    # Dividing by the spread puts every column on one scale, so one tolerance fits all.
+    unit = df.selectExpr(
+        " + ".join(f"int(`{c}` IS NULL) * {1 << i}" for i, c in enumerate(cols)) + " AS mask",
+        *[f"coalesce((`{c}` - {first[f'm{i}'] or 0.0!r}D) / {first[f's{i}'] or 1.0!r}D, 0D) AS d{i}"
+          for i, c in enumerate(cols)],
+    )
+    groups = unit.groupBy("mask").agg(
+        F.count("*").alias("n"),
+        *[F.expr(f"sum(d{i}) AS t{i}") for i in k],
+        *[F.expr(f"sum(d{i} * d{j}) AS p{i}_{j}") for i in k for j in k if j >= i],
+    )
+    moments = [
+        "named_struct('i', {i}, 'j', {j}, 'n', n, 'ti', t{i}, 'tj', t{j}, "
+        "'pii', p{i}_{i}, 'pjj', p{j}_{j}, 'pij', p{i}_{j}, 'both', (mask & {m}) = 0)".format(
+            i=i, j=j, m=(1 << i) | (1 << j)
+        ) for i in k for j in k if j > i
+    ]
+    pairs = groups.selectExpr(f"inline(array({', '.join(moments)}))").where("both").groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "ti", "tj", "pii", "pjj", "pij")]
+    ).selectExpr(
+        "i", "j", "pii - ti * ti / n AS vi", "pjj - tj * tj / n AS vj", "pij - ti * tj / n AS cov"
+    ).selectExpr("i", "j", "CASE WHEN vi > 1e-9 AND vj > 1e-9 THEN cov / sqrt(vi * vj) END AS r")
+    names = "array(" + ", ".join(f"'{c}'" for c in cols) + ")"
+    every = df.sparkSession.createDataFrame([(i, j) for i in k for j in k], "x int, y int").selectExpr(
+        "x", "y", "least(x, y) AS i", "greatest(x, y) AS j")
+    return every.join(F.broadcast(pairs), ["i", "j"], "left").selectExpr(
+        f"{names}[x] AS a", f"{names}[y] AS b", "CASE WHEN x = y THEN 1D ELSE r END AS r",
+        "int(y > x) AS is_upper",
+    )
 
 
 def target_correlation(df: DataFrame, feature: str, target: str) -> DataFrame:

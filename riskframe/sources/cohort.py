@@ -5,55 +5,46 @@ Integer arithmetic only, so every engine derives the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.sources.readers import read_table
 
 
-def _chance(expr: Column, bound: Column) -> Column:
-    return F.pmod(expr, F.lit(100)) < bound
+def _chance(hash_of: str, base: int, lift: int) -> str:
+    """True for about base% of negatives and (base + lift)% of positives."""
+    return f"pmod({hash_of}, 100) < {base} + {lift} * pos"
 
 
 def clinical_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One messy patient record per order, plus exact copies under new ids."""
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    df = orders.join(customer, c == F.col("c_custkey")).withColumn(
-        "pos", F.when(F.pmod(7 * k + 3 * c, F.lit(100)) < 45, 1).otherwise(0)
+    orders = read_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS k", "o_custkey AS c", "month(o_orderdate) AS m")
+    customer = read_table(spark, sf_dir, "customer").selectExpr("c_custkey AS c", "c_mktsegment AS segment")
+    base = orders.join(customer, "c").selectExpr(
+        "*",
+        "CASE WHEN pmod(7 * k + 3 * c, 100) < 45 THEN 1 ELSE 0 END AS pos",
+        "explode(CASE WHEN k % 250 = 0 THEN array(0, 1000000000) ELSE array(0) END) AS shift",
     )
-    pos = F.col("pos")
-    hb = (80 + F.pmod(31 * k + c, F.lit(70)) - 15 * pos) / F.lit(10.0)
-    spelled = (
-        F.when((pos == 1) & (k % 3 == 0), "Positive")
-        .when((pos == 1) & (k % 3 == 1), "positive")
-        .when(pos == 1, " POSITIVE ")
-        .when(k % 2 == 0, "Negative")
-        .otherwise("0")
-    )
-    copies = F.when(k % 250 == 0, F.array(F.lit(0), F.lit(1_000_000_000))).otherwise(F.array(F.lit(0)))
-    return df.select(
-        F.explode(copies).alias("_shift"), "*"
-    ).select(
-        (k + F.col("_shift")).alias("patient_id"),
-        F.when(k % 97 != 0, F.pmod(13 * c + k, F.lit(800)) / F.lit(10.0)).alias("age_years"),
-        F.when(k % 10 == 3, F.lit(None)).when(k % 211 == 0, "n/a").otherwise(hb.cast("string"))
-        .alias("hemoglobin_g_dl"),
-        (F.pmod(c + k, F.lit(3)) + pos * F.pmod(11 * k, F.lit(9))).cast("int").alias("fever_days"),
-        F.when(F.pmod(3 * k + c, F.lit(5)) < 3, 1).otherwise(0).alias("uses_mosquito_net"),
-        F.when(_chance(17 * k, 30 + 60 * pos), "True").otherwise("False").alias("has_fever"),
-        F.when(_chance(19 * k + c, 25 + 55 * pos), "true").otherwise("false").alias("has_chills"),
-        _chance(23 * k + c, 40 + 35 * pos).alias("has_headache"),
-        _chance(29 * k + c, 15 + 30 * pos).alias("has_vomiting"),
-        _chance(37 * k + c, 20 + 15 * pos).alias("has_diarrhea"),
-        F.when(k % 89 != 0, _chance(41 * k + c, 35 + 45 * pos)).alias("has_weakness"),
-        F.when(c % 101 != 0, F.when(c % 2 == 0, "Female").otherwise("Male")).alias("sex"),
-        F.when(k % 1999 == 0, "PeriUrban")
-        .when(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD"), "Urban")
-        .otherwise("Rural").alias("residence"),
-        F.when(F.month("o_orderdate").between(4, 10), "Rainy").otherwise("Dry").alias("season"),
-        spelled.alias("malaria_status"),
-        (pos * F.pmod(43 * k, F.lit(50_000))).alias("parasitemia_count"),
+    return base.selectExpr(
+        "k + shift AS patient_id",
+        "CASE WHEN k % 97 != 0 THEN pmod(13 * c + k, 800) / 10D END AS age_years",
+        "CASE WHEN k % 10 = 3 THEN NULL WHEN k % 211 = 0 THEN 'n/a' "
+        "ELSE string((80 + pmod(31 * k + c, 70) - 15 * pos) / 10D) END AS hemoglobin_g_dl",
+        "int(pmod(c + k, 3) + pos * pmod(11 * k, 9)) AS fever_days",
+        "CASE WHEN pmod(3 * k + c, 5) < 3 THEN 1 ELSE 0 END AS uses_mosquito_net",
+        f"CASE WHEN {_chance('17 * k', 30, 60)} THEN 'True' ELSE 'False' END AS has_fever",
+        f"CASE WHEN {_chance('19 * k + c', 25, 55)} THEN 'true' ELSE 'false' END AS has_chills",
+        f"{_chance('23 * k + c', 40, 35)} AS has_headache",
+        f"{_chance('29 * k + c', 15, 30)} AS has_vomiting",
+        f"{_chance('37 * k + c', 20, 15)} AS has_diarrhea",
+        f"CASE WHEN k % 89 != 0 THEN {_chance('41 * k + c', 35, 45)} END AS has_weakness",
+        "CASE WHEN c % 101 = 0 THEN NULL WHEN c % 2 = 0 THEN 'Female' ELSE 'Male' END AS sex",
+        "CASE WHEN k % 1999 = 0 THEN 'PeriUrban' WHEN segment IN ('BUILDING', 'HOUSEHOLD') THEN 'Urban' "
+        "ELSE 'Rural' END AS residence",
+        "CASE WHEN m BETWEEN 4 AND 10 THEN 'Rainy' ELSE 'Dry' END AS season",
+        "CASE WHEN pos = 1 THEN element_at(array('Positive', 'positive', ' POSITIVE '), int(k % 3) + 1) "
+        "WHEN k % 2 = 0 THEN 'Negative' ELSE '0' END AS malaria_status",
+        "pos * pmod(43 * k, 50000) AS parasitemia_count",
     )
 
 

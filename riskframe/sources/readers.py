@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from riskframe.functions.columns import na_to_null
 from riskframe.spec import RUN_SCHEMA
@@ -50,4 +50,4 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 def missing_tokens_to_null(df: DataFrame) -> DataFrame:
     """Apply the CSV missing-value tokens to every text column."""
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: na_to_null(F.col(f"`{c}`")) for c in text})
+    return df.withColumns({c: na_to_null(c) for c in text})
