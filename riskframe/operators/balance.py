@@ -33,11 +33,11 @@ def oversample(df: DataFrame, id_col: str, target: str, seed: int = 42) -> DataF
 
 def synthesise_minority(
     df: DataFrame, spec: FeatureSpec, cols: list[str], seed: int = 42,
-    neighbours: int = 5, projections: int = 4, reach: int = 4,
+    neighbours: int = 5, projections: int = 4,
 ) -> DataFrame:
     """Synthetic minority rows between a row and one of its near neighbours.
 
-    Candidate neighbours are the rows within ``reach`` places along several
+    Candidate neighbours are the rows within ``neighbours`` places along several
     seeded random projections; the nearest ``neighbours`` of them by true distance
     qualify and a hash picks one. Work per row is fixed, so dense regions cost no
     more than sparse ones. Yields exactly as many rows as the majority leads by.
@@ -59,7 +59,7 @@ def synthesise_minority(
         )
         ranged = with_ranges(base.withColumn("_at", F.struct(proj.alias("z"), spec.id)), [], "_at", n)
         along = Window.partitionBy("_range").orderBy("_at")
-        mates = [f(F.col("_v"), k).over(along) for k in range(1, reach + 1) for f in (F.lag, F.lead)]
+        mates = [f(F.col("_v"), k).over(along) for k in range(1, neighbours + 1) for f in (F.lag, F.lead)]
         part = ranged.select(spec.id, "_v", F.array_compact(F.array(*mates)).alias("_m"))
         near = part if near is None else near.unionByName(part)
     far = lambda a, b: F.aggregate(
