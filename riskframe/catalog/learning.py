@@ -143,7 +143,7 @@ def h2(spark, sf):
     tr = stage(prep.transform(df.where("split = 'train'")), "prepared")
     model = learn.fit_logistic(_frame(tr, prep), CLINICAL.target, prep.order)
     return explain.permutation_importance(
-        test, CLINICAL.id, CLINICAL.target, list(CLINICAL.features),
+        test, CLINICAL.target, list(CLINICAL.features),
         lambda rows: model.predict(prep.onehot(prep.scale(rows))),
     )
 

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskframe.functions.staging import stage
 
 ROWS_PER_RANGE = 200_000
 MAX_RANGES = 16_384
+SPLIT_CHARS = 256
 
 
 def _range_id(splits: Column, key: Column, n_max: int) -> Column:
@@ -38,17 +39,20 @@ def with_ranges(
 ) -> DataFrame:
     """Add ``_range``: the key range of each row within its ``by`` group.
 
-    The split table holds about ``rows / size`` keys in total, so never more
-    than MAX_RANGES in expectation, which bounds what is broadcast.
+    The split table holds about ``rows / size`` keys in total, so about MAX_RANGES
+    at most; text splits are cut to SPLIT_CHARS, since any text can serve as a
+    boundary. Both together bound what is broadcast.
     """
     by = list(by)
     size = max(rows_per_range or ROWS_PER_RANGE, rows // MAX_RANGES)
     if rows <= size:
         return df.withColumn("_range", F.lit(0))
+    is_text = isinstance(df.schema[key].dataType, T.StringType)
+    boundary = F.left(F.col(key), F.lit(SPLIT_CHARS)) if is_text else F.col(key)
     splits = (
         df.where(F.pmod(F.xxhash64(key), F.lit(size)) == 0)
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_set(key)).alias("_splits"))
+        .agg(F.array_sort(F.collect_set(boundary)).alias("_splits"))
     )
     wanted = 4 * (rows // size + 1) + 64
     tagged = (

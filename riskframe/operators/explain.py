@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskframe.functions.columns import order_hash
+from riskframe.functions.staging import stage
 from riskframe.operators.evaluate import confusion, rates
 
 BLOCK_ROWS = 2_048
@@ -61,27 +61,31 @@ def top_contributions(scaled: DataFrame, id_col: str, coef: Mapping[str, float],
 
 
 def permute(
-    df: DataFrame, id_col: str, target: str, features: Sequence[str], repeats: int = 8, seed: int = 42,
-    rows: int | None = None,
+    df: DataFrame, target: str, features: Sequence[str], repeats: int = 8, seed: int = 42
 ) -> DataFrame:
     """Every row once per (feature, repeat), with that feature taken from another row.
 
-    Rows fall into hash blocks of about BLOCK_ROWS, so no group grows with the
-    data. In a block, ordered by hash, repeat r takes the value r places further
-    round the circle: a permutation of the block whose pairs are random. One
-    shuffle of the input; the repeats and features multiply rows in place.
+    The table is staged, so a row's position in it is fixed, and the hash of the
+    position deals rows into blocks of about BLOCK_ROWS: even when ids or whole
+    records repeat, no block grows with the data. In a block, ordered by hash,
+    repeat r takes the value r places further round the circle: a permutation of
+    the block whose pairs are random. One shuffle of the input; the repeats and
+    features multiply rows in place.
     """
-    n = df.count() if rows is None else rows
-    blocks = max(1, n // BLOCK_ROWS)
-    key = order_hash(F.col(id_col), seed)
-    block = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(blocks))
-    row = F.struct(key.alias("_k"), F.col(target).alias("_y"), *[F.col(c) for c in features])
-    packed = df.groupBy(block.alias("_b")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    table = stage(df.select(target, *features), "permute")
+    blocks = max(1, table.count() // BLOCK_ROWS)
+    at = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
+    row = F.struct(F.col("_k"), F.col(target).alias("_y"), *[F.col(c) for c in features])
+    packed = (
+        table.withColumn("_k", at)
+        .groupBy(F.pmod(F.shiftright("_k", 17), F.lit(blocks)).alias("_b"))
+        .agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    )
     m = F.size("rows")
 
     def turned(r: int):
-        at = F.pmod(F.lit(r), m)
-        return F.concat(F.slice("rows", at + 1, m - at), F.slice("rows", F.lit(1), at))
+        by = F.pmod(F.lit(r), m)
+        return F.concat(F.slice("rows", by + 1, m - by), F.slice("rows", F.lit(1), by))
 
     zipped = packed.select(F.explode(F.arrays_zip(
         F.col("rows").alias("own"), *[turned(r).alias(f"r{r}") for r in range(1, repeats + 1)]
@@ -101,7 +105,6 @@ def permute(
 
 def permutation_importance(
     df: DataFrame,
-    id_col: str,
     target: str,
     features: Sequence[str],
     predict: Callable[[DataFrame], DataFrame],
@@ -115,7 +118,7 @@ def permutation_importance(
     """
     base = rates(confusion(predict(df.withColumn("y", F.col(target))), [])).select(
         F.col(metric).alias("_base"))
-    shuffled = predict(permute(df, id_col, target, features, repeats, seed))
+    shuffled = predict(permute(df, target, features, repeats, seed))
     drops = rates(confusion(shuffled, ["feature", "repeat"])).join(F.broadcast(base), how="cross")
     return importance_of_drops(drops.select("feature", (F.col("_base") - F.col(metric)).alias("drop")))
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 
 from riskframe.functions.ordering import running_sums
 from riskframe.functions.quantiles import exact_quantiles
+from riskframe.functions.staging import stage
 from riskframe.operators.clean import fill_defaults
 from riskframe.operators.quality import melt_row
 from riskframe.sources.readers import read_json
@@ -18,6 +19,7 @@ from riskframe.spec import FeatureSpec
 
 # One-hot columns become literals in the plan; past this use ``onehot_long``.
 MAX_CATEGORIES = 1_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 _PARAMS = (
     "position int, feature string, kind string, fallback string, mean double, std double, "
@@ -206,10 +208,17 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Attach the code; the join strategy follows the dictionary's measured size."""
-    codes = label_codes(df, column).withColumnRenamed("code", out)
+    """Attach the code of each value.
+
+    The dictionary is broadcast only while its counted rows and measured text stay
+    under BROADCAST_BYTES. A larger one joins by shuffle, where adaptive execution
+    splits the partition of a hot value.
+    """
+    codes = stage(label_codes(df, column).withColumnRenamed("code", out), "codes")
+    size = codes.agg(F.sum(F.octet_length("value") + 16)).first()[0] or 0
     key = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-    return df.withColumn("value", key).join(codes, "value").drop("value")
+    small = F.broadcast(codes) if size <= BROADCAST_BYTES else codes.hint("merge")
+    return df.withColumn("value", key).join(small, "value").drop("value")
 
 
 def onehot_long(df: DataFrame, id_col: str, column: str) -> DataFrame:

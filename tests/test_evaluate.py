@@ -95,7 +95,7 @@ def test_permutation_moves_only_one_feature_and_permutes(spark):
     n = 500
     df = spark.range(n).select("id", (F.col("id") % 2).cast("int").alias("y"),
                                F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("b"))
-    out = explain.permute(df, "id", "y", ["a", "b"], repeats=3).collect()
+    out = explain.permute(df, "y", ["a", "b"], repeats=3).collect()
     assert len(out) == n * 2 * 3
     for f in ("a", "b"):
         for r in (1, 2, 3):
@@ -105,10 +105,19 @@ def test_permutation_moves_only_one_feature_and_permutes(spark):
             assert moved == n
 
 
+def test_permutation_blocks_stay_bounded_when_every_record_is_a_copy(spark, monkeypatch):
+    monkeypatch.setattr(explain, "BLOCK_ROWS", 100)
+    df = spark.range(3_000).select(F.lit(1).alias("y"), F.lit(2.0).alias("a"))
+    assert explain.permute(df, "y", ["a"], repeats=2).count() == 6_000
+    keys = spark.range(3_000).select(F.pmod(F.shiftright(F.xxhash64("id", F.lit(42)), 17), F.lit(30)).alias("b"))
+    sizes = [r["count"] for r in keys.groupBy("b").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 200
+
+
 def test_permutation_importance_finds_the_informative_feature(spark):
     df = spark.range(2_000).select("id", (F.col("id") % 2).cast("int").alias("y"),
                                    (F.col("id") % 2).cast("double").alias("a"), F.rand(1).alias("b"))
     predict = lambda d: d.withColumn("yhat", F.col("a").cast("int"))
-    got = {r["feature"]: r for r in explain.permutation_importance(df, "id", "y", ["a", "b"], predict).collect()}
+    got = {r["feature"]: r for r in explain.permutation_importance(df, "y", ["a", "b"], predict).collect()}
     assert 0.4 < got["a"]["importance_mean"] < 0.6 and got["b"]["importance_mean"] == 0.0
     assert got["b"]["importance_std"] == 0.0
