@@ -90,8 +90,8 @@ def c7(spark, sf):
   'has_weakness']) AS "column", 'filled with training default' AS action, count(*) AS n_rows FROM customer""")
 def c8(spark, sf):
     customer = readers.read_table(spark, sf, "customer")
-    total = customer.agg(F.count("*").alias("n_rows"))
-    return clean_ops.missing_columns(customer, CLINICAL.features).join(F.broadcast(total), how="cross")
+    return clean_ops.missing_columns(customer, CLINICAL.features).withColumn(
+        "n_rows", customer.agg(F.count("*")).scalar())
 
 
 @query("c9_bad_labels", """SELECT lower(trim(o_orderpriority)) AS label, count(*) AS n FROM orders
@@ -124,8 +124,7 @@ def c11(spark, sf):
   AS t(position, "column", type, n_columns), (SELECT count(*) AS n_rows FROM customer)""")
 def c12(spark, sf):
     customer = readers.read_table(spark, sf, "customer")
-    return clean_ops.column_types(customer).join(
-        F.broadcast(customer.agg(F.count("*").alias("n_rows"))), how="cross")
+    return clean_ops.column_types(customer).withColumn("n_rows", customer.agg(F.count("*")).scalar())
 
 
 @query("c13_split_overlap", f"""WITH {SPLIT},

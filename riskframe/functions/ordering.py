@@ -55,9 +55,10 @@ def with_ranges(
         .agg(F.array_sort(F.collect_set(boundary)).alias("_splits"))
     )
     wanted = 4 * (rows // size + 1) + 64
-    tagged = (
-        df.join(F.broadcast(splits), by, "left") if by else df.crossJoin(F.broadcast(splits))
-    )
+    if by:
+        tagged = df.join(F.broadcast(splits), by, "left")
+    else:
+        tagged = df.withColumn("_splits", splits.scalar())
     return tagged.withColumn(
         "_range", F.coalesce(_range_id(F.col("_splits"), F.col(key), wanted), F.lit(0))
     ).drop("_splits")

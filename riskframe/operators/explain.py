@@ -24,12 +24,12 @@ def rank_table(table: DataFrame) -> DataFrame:
     """Rank a feature table (one row per feature, so a few hundred rows at most)."""
     from pyspark.sql import Window
 
-    mid = table.agg(F.median("importance").alias("_mid"))
+    mid = table.agg(F.median("importance")).scalar()
     by_size = Window.orderBy(F.desc("importance"), "feature")
-    return table.join(F.broadcast(mid), how="cross").select(
+    return table.select(
         "feature", "importance",
         F.row_number().over(by_size).alias("rank"),
-        (F.col("importance") > F.col("_mid")).cast("int").alias("above_median"),
+        (F.col("importance") > mid).cast("int").alias("above_median"),
     )
 
 
@@ -116,11 +116,10 @@ def permutation_importance(
 
     ``predict`` takes rows with ``features`` and returns them with ``yhat``.
     """
-    base = rates(confusion(predict(df.withColumn("y", F.col(target))), [])).select(
-        F.col(metric).alias("_base"))
+    base = rates(confusion(predict(df.withColumn("y", F.col(target))), [])).select(metric).scalar()
     shuffled = predict(permute(df, target, features, repeats, seed))
-    drops = rates(confusion(shuffled, ["feature", "repeat"])).join(F.broadcast(base), how="cross")
-    return importance_of_drops(drops.select("feature", (F.col("_base") - F.col(metric)).alias("drop")))
+    drops = rates(confusion(shuffled, ["feature", "repeat"]))
+    return importance_of_drops(drops.select("feature", (base - F.col(metric)).alias("drop")))
 
 
 def importance_of_drops(drops: DataFrame) -> DataFrame:

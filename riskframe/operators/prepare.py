@@ -231,10 +231,8 @@ def onehot_long(df: DataFrame, id_col: str, column: str) -> DataFrame:
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """Balanced weight n / (k * n_class)."""
     per_class = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n"))
-    total = per_class.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
-    return per_class.join(F.broadcast(total), how="cross").select(
-        target, "n", (F.col("total").cast("double") / (F.col("k") * F.col("n"))).alias("weight")
-    )
+    mean_size = per_class.agg(F.avg("n")).scalar()
+    return per_class.select(target, "n", (mean_size / F.col("n")).alias("weight"))
 
 
 def weight_expression(target: str, weights: Sequence[Row]) -> Column:

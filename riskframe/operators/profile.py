@@ -38,9 +38,9 @@ def value_counts(df: DataFrame, column: str, by_value: bool = False) -> DataFram
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total), how="cross").select(
-        column, "n", F.round(F.col("n").cast("double") / F.col("total"), 4).alias("share")
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(
+        column, "n", F.round(F.col("n").cast("double") / total, 4).alias("share")
     )
 
 

@@ -43,9 +43,9 @@ def duplicate_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Count and percent per class; the total comes from the tiny class table."""
     per_class = df.groupBy(target).agg(F.count("*").alias("n"))
-    total = per_class.agg(F.sum("n").alias("total"))
-    return per_class.join(F.broadcast(total), how="cross").select(
-        target, "n", "total", (F.lit(100.0) * F.col("n") / F.col("total")).alias("percent")
+    total = per_class.agg(F.sum("n")).scalar()
+    return per_class.select(
+        target, "n", total.alias("total"), (F.lit(100.0) * F.col("n") / total).alias("percent")
     )
 
 
@@ -122,15 +122,13 @@ def separation(df: DataFrame, feature: str, target: str) -> DataFrame:
     per_class = df.groupBy(target).agg(
         F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value")
     )
-    overall = df.agg(
-        pair_correlation(x, y).alias("r"),
-        F.min(F.when(y == 0, x)).alias("_lo"),
-        F.max(F.when(y == 0, x)).alias("_hi"),
-    )
-    flat = ((F.col("_lo") == 0) & (F.col("_hi") == 0)).cast("int")
-    return per_class.join(F.broadcast(overall), how="cross").select(
-        target, "min_value", "max_value", "mean_value", "r",
-        F.coalesce(flat, F.lit(0)).alias("negative_constant_zero"),
+    flat = (F.min(F.when(y == 0, x)) == 0) & (F.max(F.when(y == 0, x)) == 0)
+    overall = df.agg(F.struct(
+        pair_correlation(x, y).alias("r"), F.coalesce(flat.cast("int"), F.lit(0)).alias("flat")
+    )).scalar()
+    return per_class.select(
+        target, "min_value", "max_value", "mean_value", overall["r"].alias("r"),
+        overall["flat"].alias("negative_constant_zero"),
     )
 
 
