@@ -70,16 +70,18 @@ def running_sums(
     key: str,
     sums: Sequence[str],
     rows_per_range: int | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """Add ``cum_<s>``, the total of ``s`` over keys up to and including this one,
     and ``next``, the key and sums of the following row as a struct.
 
     ``df`` must hold one row per (by, key) with a non-null key, so aggregate
     before calling: copies of a hot key are then already one row. ``by`` is a
-    short list such as models or features.
+    short list such as models or features. ``staged`` says that ``df`` is already a
+    written table.
     """
     by = list(by)
-    t = stage(df, "ordered")
+    t = df if staged else stage(df, "ordered")
     t = with_ranges(t, by, key, t.count(), rows_per_range)
     group = Window.partitionBy(*by)
     totals = t.groupBy(*by, "_range").agg(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe.functions.columns import safe_ratio
 from riskframe.functions.ordering import running_sums
+from riskframe.functions.staging import stage
 
 # Display names of the metrics.
 METRIC_NAMES = {
@@ -54,13 +55,30 @@ def score_counts(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame
     )
 
 
+def tally(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Confusion counts per distinct score: all that rates and AUC need from the
+    rows, so metrics cost one scan of the scored frame."""
+    return stage(confusion(scored, [*by, "p"]), "tally")
+
+
+def _area_of_tally(counts: DataFrame, by: Sequence[str], staged: bool) -> DataFrame:
+    per_score = counts.where(F.col("p").isNotNull()).withColumns({
+        "pos": F.col("tp") + F.col("fn"), "neg": F.col("fp") + F.col("tn"),
+    })
+    return auc_of_counts(per_score, by, staged)
+
+
+def _total(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    return counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+
+
 def auc(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Exact area under the ROC curve, ties counted half, 0 for a single class."""
     return auc_of_counts(score_counts(scored, by), by)
 
 
-def auc_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    run = running_sums(counts, by, "p", ["neg"])
+def auc_of_counts(counts: DataFrame, by: Sequence[str], staged: bool = False) -> DataFrame:
+    run = running_sums(counts, by, "p", ["neg"], staged=staged)
     below = F.col("cum_neg") - F.col("neg")
     # Twice the pair count is an integer, so its decimal sum cannot overflow or drift.
     twice = (F.col("pos") * (2 * below + F.col("neg"))).cast("decimal(38,0)")
@@ -129,7 +147,9 @@ def roc_points(scored: DataFrame, by: Sequence[str] = ("model",), thin: bool = T
 def comparison(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """One row per model: model, accuracy, precision, recall, f1_score, roc_auc."""
     by = list(by)
-    return rates(confusion(scored, by)).join(auc(scored, by), by, "left").select(
+    counts = tally(scored, by)
+    area = _area_of_tally(counts, by, staged=True)
+    return rates(_total(counts, by)).join(area, by, "left").select(
         *by, "accuracy", "precision", "recall", "f1_score",
         F.coalesce("roc_auc", F.lit(0.0)).alias("roc_auc"),
     )
@@ -224,21 +244,15 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
 def subgroup_metrics(scored: DataFrame, group: str, overall: str = "(all)") -> DataFrame:
     """Comparison metrics per sub-group and for all rows together.
 
-    The overall rows are rolled up from the group counts, not from a second scan.
+    The overall rows add up the sub-group counts; the scored rows are read once.
     """
     keys = ["model", group]
-    counts = confusion(scored, keys)
-    rolled = counts.groupingSets(
-        [[F.col("model"), F.col(group)], [F.col("model")]], F.col("model"), F.col(group)
-    ).agg(
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.grouping(group).alias("_all")
-    ).withColumn(group, F.when(F.col("_all") == 1, overall).otherwise(F.col(group))).drop("_all")
-    per_score = score_counts(scored, keys)
-    total = per_score.groupBy("model", "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    area = auc_of_counts(
-        per_score.unionByName(total.withColumn(group, F.lit(overall))), keys
-    )
-    return rates(rolled).join(area, keys, "left")
+    counts = tally(scored, keys)
+    everyone = _total(counts, ["model", "p"]).withColumn(group, F.lit(overall))
+    both = stage(counts.unionByName(everyone), "tally")
+    area = _area_of_tally(both, keys, staged=True)
+    return rates(_total(both, keys)).join(area, keys, "left").withColumn(
+        "roc_auc", F.coalesce("roc_auc", F.lit(0.0)))
 
 
 def gini_split(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
