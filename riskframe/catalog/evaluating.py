@@ -104,8 +104,7 @@ def a5(spark, sf):
 SELECT model, 'Accuracy' AS metric, accuracy AS score FROM comparison
 UNION ALL SELECT model, 'Precision', precision FROM comparison
 UNION ALL SELECT model, 'Recall', recall FROM comparison
-UNION ALL SELECT model, 'F1-Score', f1_score FROM comparison
-UNION ALL SELECT model, 'ROC-AUC', roc_auc FROM comparison""")
+UNION ALL SELECT model, 'F1-Score', f1_score FROM comparison""")
 def g7(spark, sf):
     return evaluate.melt_metrics(_rounded(evaluate.comparison(inputs.scored(spark, sf))))
 

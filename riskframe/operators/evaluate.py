@@ -20,7 +20,6 @@ METRIC_NAMES = {
     "precision": "Precision",
     "recall": "Recall",
     "f1_score": "F1-Score",
-    "roc_auc": "ROC-AUC",
 }
 
 

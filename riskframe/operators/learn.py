@@ -20,7 +20,8 @@ from riskframe.operators.explain import ranked_importance
 from riskframe.operators.prepare import class_weights, weight_expression
 
 WEIGHT = "_weight"
-ROWS_PER_TASK = 10_000
+# Gradient fits run one short job per step, so a small table is better in few tasks.
+ROWS_PER_TASK = 100_000
 LOGISTIC, TREE, FOREST, SVM = "logistic_regression", "decision_tree", "random_forest", "svm"
 
 
@@ -49,8 +50,8 @@ class Classifier:
 def training_frame(prepared: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Feature columns, target and balanced weight.
 
-    A table that arrives in fewer partitions than its size warrants is spread
-    over the cores; one that has enough is left where it lies.
+    A table that arrives in fewer partitions than its size warrants is spread out;
+    one that has enough is left where it lies.
     """
     df = prepared.select(target, *[F.col(f"`{c}`") for c in columns])
     weights = class_weights(df, target).collect()
@@ -88,6 +89,9 @@ def fit_forest(
     train: DataFrame, target: str, columns: Sequence[str], config: ForestConfig = ForestConfig()
 ) -> Classifier:
     vec = assembler(columns)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if train.rdd.getNumPartitions() < cores:  # trees do much work per pass
+        train = train.repartition(cores)
     fit = RandomForestClassifier(
         labelCol=target, weightCol=WEIGHT, impurity="gini", numTrees=config.trees,
         maxDepth=config.max_depth, minInstancesPerNode=config.min_leaf, maxBins=config.max_bins,
