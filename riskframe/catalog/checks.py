@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.catalog import inputs
 from riskframe.catalog.cleaning import SEGMENTS
-from riskframe.catalog.oracle import CLEAN, COHORT, SPLIT, TYPED
+from riskframe.catalog.oracle import CLEAN, SPLIT, TYPED
 from riskframe.catalog.registry import query, r6
 from riskframe.operators import clean as clean_ops, quality
 from riskframe.sources import readers

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.catalog import inputs
-from riskframe.catalog.registry import query, r6
+from riskframe.catalog.registry import query
 from riskframe.config import ForestConfig, RunConfig
 from riskframe.functions.staging import new_path, stage
 from riskframe.operators import balance, evaluate, explain, kernel, learn, prepare
 from riskframe.operators.runs import run_record
 from riskframe.plans.batch import score_json_records, score_table
 from riskframe.plans.registry import ModelStore
-from riskframe.plans.training import fit_all, prepare_folds, score_all, train
+from riskframe.plans.training import prepare_folds, score_all, train
 from riskframe.sources import readers
 from riskframe.spec import CLINICAL
 

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from riskframe.catalog import inputs
 from riskframe.catalog.evaluating import _COUNTS, _RATE_SQL, _auc_sql
-from riskframe.catalog.oracle import FILLED, NUMERIC, SCALED, SPLIT
+from riskframe.catalog.oracle import NUMERIC, SCALED
 from riskframe.catalog.registry import query, r6
-from riskframe.functions import columns as C
 from riskframe.operators import evaluate, explain, records, runs, score
 from riskframe.operators.prepare import fit_prep
 from riskframe.sources import readers

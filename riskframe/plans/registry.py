@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.ml import PipelineModel
-from pyspark.sql import SparkSession, functions as F, types as T
+from pyspark.sql import SparkSession, types as T
 
 from riskframe.operators.kernel import load_kernel
 from riskframe.operators.learn import SVM, Classifier

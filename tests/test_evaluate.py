@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.operators import evaluate, explain
-from riskframe.spec import CLINICAL  # noqa: F401
 
 # Published confusion counts and the metrics they resolve to.
 GOLDEN = {

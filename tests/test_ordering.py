@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from riskframe.functions.ordering import previous_value, running_sums
 from riskframe.functions.quantiles import exact_quantiles
