@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.catalog.registry import query
-from riskframe.llm import chat, decontam, linerules
-from riskframe.llm.text import session
+from riskframe.llm import chat, decontam, linerules, ranking, simhash
+from riskframe.llm.text import id_crc, session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,3 +100,26 @@ FROM p JOIN bn USING (item_id) WHERE 10 * n_shared >= 8 * n
 @query("op10_decontaminate", OP10_SQL)
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def rank_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> ranking.RankModel:
+    """Fitted on the labels whose documents are not held out."""
+    labels = table(spark, sf_dir, "labels").where(F.pmod(id_crc(), F.lit(5)) != 0)
+    return ranking.fit(docs, labels)
+
+
+@query("op1_bradley_terry")
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rank_model(spark, sf_dir, docs)
+    scored = docs.select(
+        "doc_id", (F.pmod(id_crc(), F.lit(5)) == 0).alias("held_out"),
+        ranking.score(F.col("text"), model).alias("score"),
+    )
+    return scored.select("*", (F.col("score") >= ranking.CUT).cast("int").alias("predicted"))
+
+
+@query("op3_simhash_bktree")
+def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
