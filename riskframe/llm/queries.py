@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.catalog.registry import query
-from riskframe.llm import chat, decontam, linerules, ranking, simhash
+from riskframe.llm import chat, decontam, lineblock, linerules, ranking, ring, simhash, warc
 from riskframe.llm.text import id_crc, session
 
 
@@ -123,3 +123,23 @@ def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op5_line_blocks")
+def op5_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineblock.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_bounded_ring")
+def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.place_rows(table(spark, sf_dir, "documents"), 40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op9_warc_salvage")
+def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return warc.resolve(records)
