@@ -106,9 +106,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size("_l") - F.size("_ok")).cast("bigint").alias("n_failed_lines"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).withColumn(
+    df = df.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("kept_chars") >= MIN_KEPT * F.col("line_chars"))
     )
+    # A filter on generated columns is not pushed below them, where it would repeat the
+    # measures for every word.
+    whole = F.struct(*[F.col(c) for c in df.columns if c != "_t"])
+    return df.select(F.explode_outer(F.array(whole)).alias("r")).select("r.*")
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
@@ -126,6 +130,4 @@ def clean_documents(docs: DataFrame, text_col: str = "text", count_col: str | No
         elif f.name == count_col:
             c = F.length("clean_text").cast(f.dataType)
         out.append(c.alias(f.name))
-    # A filter on generated columns is not pushed below them, where it would repeat the measures.
-    judged = judged.select(F.explode_outer(F.array(F.struct(F.col("kept"), F.struct(*out).alias("d")))).alias("r"))
-    return judged.where("r.kept").select(*[F.col(f"r.d.`{c}`") for c in docs.columns])
+    return judged.where("kept").select(*out)

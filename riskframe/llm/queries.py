@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.catalog.registry import query
-from riskframe.llm import chat, decontam, lineblock, linerules, ranking, ring, simhash, warc
+from riskframe.llm import chat, decontam, deleted_lm, lattice, lineblock, linerules, ranking, ring, simhash, warc
 from riskframe.llm.text import id_crc, session
 
 
@@ -143,3 +143,17 @@ def op7_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
     return warc.resolve(records)
+
+
+@query("op4_deleted_interpolation")
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(id_crc(), F.lit(7)) == 2
+    scored = deleted_lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@query("op8_nbest_pieces")
+def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.digest(lattice.encode(table(spark, sf_dir, "documents")))
