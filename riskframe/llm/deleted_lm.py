@@ -42,13 +42,24 @@ _ASKS = "block long, kind int, shard int, keys binary, counts binary, held binar
 _LOADS = "block long, ids binary, lengths binary, words binary, tokens binary, pairs binary"
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on: zeros come together and compress."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _unplanes(raw: bytes, n: int, kind: str) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, n).T).view(kind).reshape(n)
+
+
 def _pack(a: np.ndarray) -> bytes:
     """Counts as 4 bytes each where they fit, else 8; the length tells which."""
-    return a.astype("<u4" if not len(a) or a.max() < 1 << 32 else "<u8").tobytes()
+    return _planes(a.astype("<u4" if not len(a) or a.max() < 1 << 32 else "<u8"))
 
 
 def _unpack(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8").astype(np.int64)
+    return _unplanes(raw, n, "<u4" if len(raw) == 4 * n else "<u8").astype(np.int64)
 
 
 def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -182,11 +193,11 @@ def _load(batches: Iterator[pa.RecordBatch], only_held: bool) -> Iterator[pa.Rec
         if only_held:
             h = _contexts(tokens, lengths, int(np.searchsorted(words, np.uint64(_BORDER))))
             _, pair = np.unique(_pair_keys(words[h], words[tokens]), return_inverse=True)
-            pairs = pair.astype(np.int32)[np.repeat(take, lengths)].tobytes()
+            pairs = _planes(pair.astype("<i4")[np.repeat(take, lengths)])
         yield pa.RecordBatch.from_pylist([{
             "block": number, "ids": _ids(pa.array(block.ids, pa.int64()).filter(pa.array(take))),
             "lengths": lengths[take].tobytes(), "words": words.astype("<u8").tobytes(),
-            "tokens": tokens[np.repeat(take, lengths)].tobytes(), "pairs": pairs,
+            "tokens": _planes(tokens.astype("<i4")[np.repeat(take, lengths)]), "pairs": pairs,
         }], schema=pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in
                               ("ids", "lengths", "words", "tokens", "pairs")]]))
 
@@ -201,10 +212,10 @@ class _Met:
 
     def __init__(self, load: dict, answers: dict[tuple[int, int], dict]):
         self.words = np.frombuffer(load["words"], "<u8")
-        self.tokens = np.frombuffer(load["tokens"], np.int32)
-        self.pairs = np.frombuffer(load["pairs"], np.int32)
         self.lengths = np.frombuffer(load["lengths"], np.int32)
-        n = len(self.lengths)
+        n, size = len(self.lengths), int(self.lengths.sum())
+        self.tokens = _unplanes(load["tokens"], size, "<i4")
+        self.pairs = _unplanes(load["pairs"], size if load["pairs"] else 0, "<i4")
         self.valid = np.frombuffer(load["ids"][8 * n:], bool)
         self.ids = np.frombuffer(load["ids"][:8 * n], "<i8")
         border = int(np.searchsorted(self.words, np.uint64(_BORDER)))
@@ -341,6 +352,8 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text_col: str
         return pa.concat_tables([of_block(m) for m in _together(load, answer)])
 
     loads = rows.mapInArrow(lambda b: _load(b, False), _LOADS)
-    return loads.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    # The deleted counts were for the events only.
+    counts = answers.select("block", "kind", "shard", "n", "counts")
+    return loads.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
         scores, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
