@@ -41,7 +41,7 @@ def c3(spark, sf):
 
 
 @query("c4_class_distribution", f"""WITH {CLEAN}
-SELECT malaria_status, count(*) AS n, (SELECT count(*) FROM clean) AS total,
+SELECT case_status, count(*) AS n, (SELECT count(*) FROM clean) AS total,
   round(100.0 * count(*) / (SELECT count(*) FROM clean), 6) AS percent FROM clean GROUP BY 1""")
 def c4(spark, sf):
     df = clean_ops.clean(inputs.cohort(spark, sf), CLINICAL)
@@ -102,11 +102,11 @@ def c9(spark, sf):
 
 
 @query("c10_separation", f"""WITH {TYPED},
-o AS (SELECT covar_pop(fever_days, malaria_status) / nullif(stddev_pop(fever_days) * stddev_pop(malaria_status), 0) AS r,
-  CAST(max(fever_days) FILTER (WHERE malaria_status = 0) = 0 AS INTEGER) AS flat FROM typed)
-SELECT malaria_status, min(fever_days) AS min_value, max(fever_days) AS max_value,
+o AS (SELECT covar_pop(fever_days, case_status) / nullif(stddev_pop(fever_days) * stddev_pop(case_status), 0) AS r,
+  CAST(max(fever_days) FILTER (WHERE case_status = 0) = 0 AS INTEGER) AS flat FROM typed)
+SELECT case_status, min(fever_days) AS min_value, max(fever_days) AS max_value,
   round(avg(fever_days), 6) AS mean_value, round(any_value(r), 6) AS r, any_value(flat) AS negative_constant_zero
-FROM typed, o GROUP BY malaria_status""")
+FROM typed, o GROUP BY case_status""")
 def c10(spark, sf):
     return quality.separation(inputs.typed(spark, sf), "fever_days", CLINICAL.target).withColumns(
         {"mean_value": r6("mean_value"), "r": r6("r")})
@@ -132,8 +132,8 @@ v AS (SELECT count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHER
   GROUP BY {", ".join(CLINICAL.features)})
 SELECT (SELECT count(*) FROM v WHERE a > 0 AND b > 0) AS n_shared,
   count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test,
-  round(avg(malaria_status) FILTER (WHERE split = 'train'), 6) AS share_train,
-  round(avg(malaria_status) FILTER (WHERE split = 'test'), 6) AS share_test FROM split""")
+  round(avg(case_status) FILTER (WHERE split = 'train'), 6) AS share_train,
+  round(avg(case_status) FILTER (WHERE split = 'test'), 6) AS share_test FROM split""")
 def c13(spark, sf):
     return quality.split_overlap(inputs.split(spark, sf), CLINICAL).withColumns(
         {"share_train": r6("share_train"), "share_test": r6("share_test")})

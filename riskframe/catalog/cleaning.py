@@ -53,15 +53,15 @@ def a3(spark, sf):
 
 
 @query("a4_processed_sink", f"""WITH {SPLIT}
-SELECT split, malaria_status, count(*) AS n FROM split GROUP BY ALL""")
+SELECT split, case_status, count(*) AS n FROM split GROUP BY ALL""")
 def a4(spark, sf):
     path = new_path(spark, "processed")
     sinks.write_processed(inputs.split(spark, sf), path)
-    return readers.read_parquet(spark, path).groupBy("split", "malaria_status").agg(F.count("*").alias("n"))
+    return readers.read_parquet(spark, path).groupBy("split", "case_status").agg(F.count("*").alias("n"))
 
 
 @query("a6_scored_sink", """SELECT c_custkey AS "Cust Key", c_mktsegment AS "Segment",
-  CASE WHEN c_acctbal > 0 THEN 'Malaria Positive' ELSE 'Malaria Negative' END AS predicted_label
+  CASE WHEN c_acctbal > 0 THEN 'Case Positive' ELSE 'Case Negative' END AS predicted_label
 FROM customer""")
 def a6(spark, sf):
     """Original headers and values survive next to the appended columns."""
@@ -87,18 +87,18 @@ def a7(spark, sf):
 
 
 @query("a9_write_splits", f"""WITH {SPLIT}
-SELECT patient_id, age_years, sex, malaria_status, split FROM split""")
+SELECT patient_id, age_years, sex, case_status, split FROM split""")
 def a9(spark, sf):
     path = new_path(spark, "splits")
     sinks.write_splits(inputs.split(spark, sf), path)
     return readers.read_parquet(spark, path).select(
-        "patient_id", "age_years", "sex", "malaria_status", "split")
+        "patient_id", "age_years", "sex", "case_status", "split")
 
 
 @query("a10_union_splits", f"""WITH {CLEAN}
-SELECT patient_id, sex, age_years, malaria_status FROM clean""")
+SELECT patient_id, sex, age_years, case_status FROM clean""")
 def a10(spark, sf):
-    df = inputs.split(spark, sf).select("patient_id", "sex", "age_years", "malaria_status", "split")
+    df = inputs.split(spark, sf).select("patient_id", "sex", "age_years", "case_status", "split")
     return ops.stack_frames(
         df.where("split = 'train'"), df.where("split = 'test'")).drop("split")
 
@@ -151,10 +151,10 @@ def b5(spark, sf):
 
 
 @query("b6_target_encode", f"""WITH {COHORT}
-SELECT patient_id, CASE lower(trim(malaria_status)) WHEN 'positive' THEN 1 WHEN '1' THEN 1
-  WHEN 'negative' THEN 0 WHEN '0' THEN 0 END AS malaria_status FROM cohort""")
+SELECT patient_id, CASE lower(trim(case_status)) WHEN 'positive' THEN 1 WHEN '1' THEN 1
+  WHEN 'negative' THEN 0 WHEN '0' THEN 0 END AS case_status FROM cohort""")
 def b6(spark, sf):
-    return ops.encode_target(inputs.cohort(spark, sf), CLINICAL).select("patient_id", "malaria_status")
+    return ops.encode_target(inputs.cohort(spark, sf), CLINICAL).select("patient_id", "case_status")
 
 
 @query("b7_integer_targets", """SELECT count(*) FILTER (WHERE p_size NOT IN (0, 1)) AS n_bad FROM part""")
@@ -168,7 +168,7 @@ SELECT count(*) AS n_kept, count(*) FILTER (WHERE patient_id % 113 = 0) AS n_mul
 WHERE patient_id % 113 <> 0""")
 def b8(spark, sf):
     holed = inputs.cohort(spark, sf).withColumn(
-        "malaria_status", F.when(F.col("patient_id") % 113 != 0, F.col("malaria_status")))
+        "case_status", F.when(F.col("patient_id") % 113 != 0, F.col("case_status")))
     return ops.drop_missing_target(holed, CLINICAL).agg(
         F.count("*").alias("n_kept"), F.count_if(F.col("patient_id") % 113 == 0).alias("n_multiple"))
 
@@ -193,14 +193,14 @@ def b11(spark, sf):
     return ops.recode_values(customer, "c_mktsegment", SEGMENTS).select("c_custkey", "c_mktsegment")
 
 
-@query("b12_decode_label", """SELECT p_partkey, CASE p_size WHEN 0 THEN 'Malaria Negative'
-  WHEN 1 THEN 'Malaria Positive' ELSE 'Unknown' END AS label FROM part""")
+@query("b12_decode_label", """SELECT p_partkey, CASE p_size WHEN 0 THEN 'Case Negative'
+  WHEN 1 THEN 'Case Positive' ELSE 'Unknown' END AS label FROM part""")
 def b12(spark, sf):
     part = readers.read_table(spark, sf, "part")
     return ops.decode_labels(part, "p_size", CLINICAL, "label").select("p_partkey", "label")
 
 
-@query("b13_filter_class", f"""WITH {TYPED} SELECT patient_id, fever_days FROM typed WHERE malaria_status = 1""")
+@query("b13_filter_class", f"""WITH {TYPED} SELECT patient_id, fever_days FROM typed WHERE case_status = 1""")
 def b13(spark, sf):
     return ops.filter_class(inputs.typed(spark, sf), CLINICAL, 1).select("patient_id", "fever_days")
 
@@ -220,10 +220,10 @@ def b14(spark, sf):
 
 
 @query("b15_preview", f"""WITH {COHORT}
-SELECT patient_id, age_years, sex, malaria_status FROM cohort ORDER BY patient_id LIMIT 100""")
+SELECT patient_id, age_years, sex, case_status FROM cohort ORDER BY patient_id LIMIT 100""")
 def b15(spark, sf):
     return ops.preview(inputs.cohort(spark, sf), "patient_id").select(
-        "patient_id", "age_years", "sex", "malaria_status")
+        "patient_id", "age_years", "sex", "case_status")
 
 
 @query("b16_record_coerce", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,

@@ -146,13 +146,13 @@ def g11(spark, sf):
 
 
 @query("g12_train_test", f"""WITH {SPLIT},
-s AS (SELECT 'fever_' || t AS model, split, malaria_status AS y, CAST(fever_days >= t AS INTEGER) AS yhat
+s AS (SELECT 'fever_' || t AS model, split, case_status AS y, CAST(fever_days >= t AS INTEGER) AS yhat
   FROM split, (SELECT unnest([1, 2, 3]) AS t))
 SELECT model, round(avg(CAST(y = yhat AS INTEGER)) FILTER (WHERE split = 'train'), 6) AS train_accuracy,
   round(avg(CAST(y = yhat AS INTEGER)) FILTER (WHERE split = 'test'), 6) AS test_accuracy FROM s GROUP BY model""")
 def g12(spark, sf):
     rules = inputs.split(spark, sf).select(
-        "split", F.col("malaria_status").alias("y"), "fever_days", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("t"))
+        "split", F.col("case_status").alias("y"), "fever_days", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("t"))
     scored = rules.select(
         F.concat(F.lit("fever_"), F.col("t").cast("string")).alias("model"), "split", "y",
         (F.col("fever_days") >= F.col("t")).cast("int").alias("yhat"))
@@ -180,13 +180,13 @@ def _gini_sql(c: str) -> str:
     + coalesce(2 * (1 - a) * (1 - b) / nullif(2 - a - b, 0), 0)) / 2, 9) AS impurity
   FROM (SELECT x, lead(x) OVER (ORDER BY x) AS nx, sum(pos) OVER (ORDER BY x) / sum(pos) OVER () AS a,
       sum(neg) OVER (ORDER BY x) / sum(neg) OVER () AS b
-    FROM (SELECT {c} AS x, sum(malaria_status) AS pos, sum(1 - malaria_status) AS neg FROM typed
+    FROM (SELECT {c} AS x, sum(case_status) AS pos, sum(1 - case_status) AS neg FROM typed
       WHERE {c} IS NOT NULL GROUP BY 1)) WHERE nx IS NOT NULL) ORDER BY impurity, threshold LIMIT 1"""
 
 
 @query("f9_gini_split", f"WITH {TYPED} " + " UNION ALL ".join(
     f"(SELECT feature, round(threshold, 6) AS threshold, round(impurity, 6) AS impurity FROM ({_gini_sql(c)}))"
-    for c in CLINICAL.continuous))
+    for c in CLINICAL.numeric))
 def f9(spark, sf):
     return _rounded(
-        evaluate.gini_split(inputs.typed(spark, sf), CLINICAL.continuous, CLINICAL.target), ("threshold", "impurity"))
+        evaluate.gini_split(inputs.typed(spark, sf), CLINICAL.numeric, CLINICAL.target), ("threshold", "impurity"))

@@ -32,7 +32,7 @@ cohort AS (
          ELSE 'Rural' END AS residence,
     CASE WHEN m BETWEEN 4 AND 10 THEN 'Rainy' ELSE 'Dry' END AS season,
     CASE WHEN pos = 1 AND k % 3 = 0 THEN 'Positive' WHEN pos = 1 AND k % 3 = 1 THEN 'positive'
-         WHEN pos = 1 THEN ' POSITIVE ' WHEN k % 2 = 0 THEN 'Negative' ELSE '0' END AS malaria_status,
+         WHEN pos = 1 THEN ' POSITIVE ' WHEN k % 2 = 0 THEN 'Negative' ELSE '0' END AS case_status,
     pos * ((43*k) % 50000) AS parasitemia_count
   FROM shifted
 )"""
@@ -47,7 +47,7 @@ typed AS (
     CAST(lower(has_chills) = 'true' AS INTEGER) AS has_chills,
     CAST(has_headache AS INTEGER) AS has_headache, CAST(has_vomiting AS INTEGER) AS has_vomiting,
     CAST(has_diarrhea AS INTEGER) AS has_diarrhea, CAST(has_weakness AS INTEGER) AS has_weakness,
-    CASE WHEN lower(trim(malaria_status)) IN ('positive', '1') THEN 1 ELSE 0 END AS malaria_status
+    CASE WHEN lower(trim(case_status)) IN ('positive', '1') THEN 1 ELSE 0 END AS case_status
   FROM cohort
 )"""
 
@@ -55,22 +55,22 @@ CLEAN = TYPED + """,
 clean AS (
   SELECT min(patient_id) AS patient_id, sex, residence, season, age_years, hemoglobin_g_dl, fever_days,
     uses_mosquito_net, has_fever, has_chills, has_headache, has_vomiting, has_diarrhea, has_weakness,
-    malaria_status
+    case_status
   FROM typed GROUP BY ALL
 )"""
 
 SPLIT = CLEAN + """,
 quota AS (
-  SELECT malaria_status AS cls, q + CASE WHEN row_number() OVER (ORDER BY rem DESC, malaria_status)
+  SELECT case_status AS cls, q + CASE WHEN row_number() OVER (ORDER BY rem DESC, case_status)
       <= t - sum(q) OVER () THEN 1 ELSE 0 END AS n_test
-  FROM (SELECT malaria_status, (count(*) * t) // n AS q, (count(*) * t) % n AS rem, any_value(t) AS t
-        FROM clean, (SELECT count(*) AS n, (count(*) + 4) // 5 AS t FROM clean) GROUP BY malaria_status, t, n)
+  FROM (SELECT case_status, (count(*) * t) // n AS q, (count(*) * t) % n AS rem, any_value(t) AS t
+        FROM clean, (SELECT count(*) AS n, (count(*) + 4) // 5 AS t FROM clean) GROUP BY case_status, t, n)
 ),
 split AS (
   SELECT s.* EXCLUDE (rk), CASE WHEN rk <= n_test THEN 'test' ELSE 'train' END AS split
-  FROM (SELECT *, row_number() OVER (PARTITION BY malaria_status
+  FROM (SELECT *, row_number() OVER (PARTITION BY case_status
           ORDER BY md5(concat(patient_id, ':', 42))) AS rk FROM clean) s
-  JOIN quota ON cls = malaria_status
+  JOIN quota ON cls = case_status
 )"""
 
 # Training medians and modes, and every row filled with them.
@@ -89,7 +89,7 @@ FILLED = SPLIT + ",\ndefaults AS (SELECT " + ", ".join(
 ) + ", " + ", ".join(_mode(c) for c in CATEGORICAL) + "),\nfilled AS (SELECT patient_id, " + ", ".join(
     f"CAST(coalesce({c}, d_{c}) AS DOUBLE) AS {c}" for c in NUMERIC
 ) + ", " + ", ".join(f"coalesce({c}, d_{c}) AS {c}" for c in CATEGORICAL) + (
-    ", malaria_status, split FROM split, defaults)")
+    ", case_status, split FROM split, defaults)")
 
 STATS = FILLED + ",\nstats AS (SELECT " + ", ".join(
     f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}"
@@ -98,14 +98,14 @@ STATS = FILLED + ",\nstats AS (SELECT " + ", ".join(
 
 SCALED = STATS + ",\nscaled AS (SELECT patient_id, " + ", ".join(
     f"({c} - m_{c}) / s_{c} AS {c}" for c in NUMERIC
-) + ", sex, residence, season, malaria_status, split FROM filled, stats)"
+) + ", sex, residence, season, case_status, split FROM filled, stats)"
 
 # Four fixed scores per record, with ties.
 FIXED = TYPED + """,
 scored AS (
-  SELECT 'model_' || j AS model, patient_id, residence, malaria_status AS y,
-    ((31*patient_id + 7*j*(patient_id % 1009) + 20*j*malaria_status) % 101) / 100.0::DOUBLE AS p,
-    CASE WHEN ((31*patient_id + 7*j*(patient_id % 1009) + 20*j*malaria_status) % 101) / 100.0::DOUBLE >= 0.5
+  SELECT 'model_' || j AS model, patient_id, residence, case_status AS y,
+    ((31*patient_id + 7*j*(patient_id % 1009) + 20*j*case_status) % 101) / 100.0::DOUBLE AS p,
+    CASE WHEN ((31*patient_id + 7*j*(patient_id % 1009) + 20*j*case_status) % 101) / 100.0::DOUBLE >= 0.5
       THEN 1 ELSE 0 END AS yhat
   FROM typed, (SELECT unnest([1, 2, 3, 4]) AS j)
 )"""

@@ -10,19 +10,20 @@ from riskframe.catalog.registry import query, r6
 from riskframe.functions import columns as C
 from riskframe.operators import balance, prepare, split as split_ops
 from riskframe.sources import readers
+from riskframe.operators.clean import clean
 from riskframe.spec import CLINICAL
 
 
-@query("e1_stratified_split", f"WITH {SPLIT} SELECT patient_id, malaria_status, split FROM split")
+@query("e1_stratified_split", f"WITH {SPLIT} SELECT patient_id, case_status, split FROM split")
 def e1(spark, sf):
-    return inputs.split(spark, sf).select("patient_id", "malaria_status", "split")
+    return inputs.split(spark, sf).select("patient_id", "case_status", "split")
 
 
 @query("e2_hash_split", f"""WITH {CLEAN} SELECT patient_id,
   CASE WHEN CAST('0x' || substr(md5(concat(patient_id, ':', 42)), 1, 8) AS BIGINT) < 0.2 * 4294967296
     THEN 'test' ELSE 'train' END AS split FROM clean""")
 def e2(spark, sf):
-    return split_ops.hash_split(inputs.cleaned(spark, sf), "patient_id").select("patient_id", "split")
+    return split_ops.hash_split(clean(inputs.cohort(spark, sf), CLINICAL), "patient_id").select("patient_id", "split")
 
 
 @query("e3_plain_split", f"""WITH {CLEAN} SELECT patient_id,
@@ -177,9 +178,9 @@ def e18(spark, sf):
 
 
 @query("e19_stay", """SELECT o_orderkey, l_linenumber, l_partkey,
-  CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS stay
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-WHERE date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) BETWEEN 1 AND 10""")
+  CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS stay,
+  date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) BETWEEN 1 AND 10 AS in_range
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def e19(spark, sf):
     orders = readers.read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     items = readers.read_table(spark, sf, "lineitem").select(
@@ -187,7 +188,7 @@ def e19(spark, sf):
     return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(
         "o_orderkey", "l_linenumber", "l_partkey",
         C.stay_days(F.col("o_orderdate"), F.col("l_shipdate")).alias("stay"),
-    ).where(F.col("stay").between(1, 10))
+    ).withColumn("in_range", F.col("stay").between(1, 10))
 
 
 @query("e20_oversample", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY quality
@@ -200,10 +201,10 @@ def e20(spark, sf):
     return balance.oversample(labels, "doc_id", "quality").select("doc_id", "quality", "copy")
 
 
-@query("f6_folds", f"""WITH {CLEAN} SELECT patient_id, malaria_status,
-  CAST(ntile(5) OVER (PARTITION BY malaria_status ORDER BY md5(concat(patient_id, ':', 42))) - 1 AS INTEGER) AS fold
+@query("f6_folds", f"""WITH {CLEAN} SELECT patient_id, case_status,
+  CAST(ntile(5) OVER (PARTITION BY case_status ORDER BY md5(concat(patient_id, ':', 42))) - 1 AS INTEGER) AS fold
 FROM clean""")
 def f6(spark, sf):
     df = inputs.cleaned(spark, sf)
     folds = split_ops.fit_folds(df, CLINICAL.id, CLINICAL.target, 5)
-    return split_ops.apply_folds(df, folds).select("patient_id", "malaria_status", "fold")
+    return split_ops.apply_folds(df, folds).select("patient_id", "case_status", "fold")

@@ -68,14 +68,14 @@ def d4(spark, sf):
 
 
 @query("d5_target_correlation", f"""WITH {TYPED}
-SELECT round({_corr_sql('hemoglobin_g_dl', 'malaria_status')}, 6) AS r FROM typed""")
+SELECT round({_corr_sql('hemoglobin_g_dl', 'case_status')}, 6) AS r FROM typed""")
 def d5(spark, sf):
     return profile.target_correlation(
         inputs.typed(spark, sf), "hemoglobin_g_dl", CLINICAL.target).select(r6("r"))
 
 
 @query("d6_prevalence", f"WITH {TYPED} " + " UNION ALL ".join(
-    f"SELECT malaria_status, '{c}' AS flag, round(100.0 * sum({c}) / count({c}), 6) AS percent "
+    f"SELECT case_status, '{c}' AS flag, round(100.0 * sum({c}) / count({c}), 6) AS percent "
     f"FROM typed GROUP BY 1" for c in CLINICAL.flags))
 def d6(spark, sf):
     return profile.prevalence(inputs.typed(spark, sf), CLINICAL.flags, CLINICAL.target).withColumn(
@@ -115,7 +115,7 @@ def _round_box(df):
     return df.withColumns({c: r6(c) for c in ("q1", "median", "q3")})
 
 
-@query("d8_box_summary", f"WITH {TYPED} " + _box_sql(CLINICAL.continuous, "typed", "malaria_status"))
+@query("d8_box_summary", f"WITH {TYPED} " + _box_sql(CLINICAL.continuous, "typed", "case_status"))
 def d8(spark, sf):
     return _round_box(profile.box_summary(inputs.typed(spark, sf), CLINICAL.continuous, CLINICAL.target))
 

@@ -26,7 +26,7 @@ _MARGIN = f"{INTERCEPT}::DOUBLE + " + " + ".join(
     f"{w}::DOUBLE * " + (c if c in NUMERIC else "CAST({} = '{}' AS DOUBLE)".format(*c.split("_")))
     for c, w in COEF.items())
 _LINEAR = SCALED + f""",
-linear AS (SELECT patient_id, residence, malaria_status AS y, split, 1 / (1 + exp(-({_MARGIN}))) AS p FROM scaled)"""
+linear AS (SELECT patient_id, residence, case_status AS y, split, 1 / (1 + exp(-({_MARGIN}))) AS p FROM scaled)"""
 
 
 def _prep_and_cohort(spark, sf):
@@ -39,7 +39,7 @@ allrows AS (SELECT t.patient_id, """ + ", ".join(
     f"(CAST(coalesce(t.{c}, d_{c}) AS DOUBLE) - m_{c}) / s_{c} AS {c}" for c in NUMERIC
 ) + f""", coalesce(t.sex, d_sex) AS sex, t.residence, t.season FROM typed t, defaults, stats),
 s AS (SELECT patient_id, 1 / (1 + exp(-({_MARGIN}))) AS p FROM allrows)
-SELECT patient_id AS "Patient ID", CASE WHEN p > 0.5 THEN 'Malaria Positive' ELSE 'Malaria Negative' END AS predicted_label,
+SELECT patient_id AS "Patient ID", CASE WHEN p > 0.5 THEN 'Case Positive' ELSE 'Case Negative' END AS predicted_label,
   round(p, 4) AS predicted_probability FROM s""")
 def i1(spark, sf):
     prep, cohort = _prep_and_cohort(spark, sf)
@@ -69,7 +69,7 @@ full_rec AS (SELECT patient_id, """ + ", ".join(
 ) + f""", coalesce(rec.sex, d_sex) AS sex, d_residence AS residence, d_season AS season FROM rec, defaults, stats),
 s AS (SELECT patient_id, 1 / (1 + exp(-({_MARGIN}))) AS p FROM full_rec)
 SELECT patient_id, CAST(p > 0.5 AS INTEGER) AS prediction,
-  CASE WHEN p > 0.5 THEN 'Malaria Positive' ELSE 'Malaria Negative' END AS label,
+  CASE WHEN p > 0.5 THEN 'Case Positive' ELSE 'Case Negative' END AS label,
   round(p, 6) AS probability, 'fixed_logistic' AS model_used FROM s""")
 def i2(spark, sf):
     """Sparse JSON records holding three of the thirteen features."""

@@ -41,7 +41,7 @@ def with_ranges(
 
     The split table holds about ``rows / size`` keys in total, so about MAX_RANGES
     at most; text splits are cut to SPLIT_CHARS, since any text can serve as a
-    boundary. Both together bound what is broadcast.
+    boundary. How it is joined is left to the planner.
     """
     by = list(by)
     size = max(rows_per_range or ROWS_PER_RANGE, rows // MAX_RANGES)
@@ -56,7 +56,7 @@ def with_ranges(
     )
     wanted = 4 * (rows // size + 1) + 64
     if by:
-        tagged = df.join(F.broadcast(splits), by, "left")
+        tagged = df.join(splits, by, "left")
     else:
         tagged = df.withColumn("_splits", splits.scalar())
     return tagged.withColumn(
@@ -98,7 +98,7 @@ def running_sums(
     inside = Window.partitionBy(*by, "_range").orderBy(key)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        t.join(F.broadcast(offsets), [*by, "_range"])
+        t.join(offsets, [*by, "_range"])
         .select(
             *df.columns,
             *[(F.col(f"_o_{s}") + F.sum(s).over(upto)).alias(f"cum_{s}") for s in sums],
@@ -129,7 +129,7 @@ def previous_value(
         .select(*by, "_range", F.lag("_last").over(across).alias("_carry"))
     )
     inside = Window.partitionBy(*by, "_range").orderBy(key)
-    return t.join(F.broadcast(carried), [*by, "_range"]).select(
+    return t.join(carried, [*by, "_range"]).select(
         *df.columns,
         F.when(F.row_number().over(inside) == 1, F.col("_carry"))
         .otherwise(F.lag(value).over(inside))

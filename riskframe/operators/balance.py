@@ -45,10 +45,14 @@ def synthesise_minority(
     counts = class_counts(df, spec.target)
     minor = min(counts, key=lambda c: (counts[c], str(c)))
     missing = max(counts.values()) - counts[minor]
+    if missing and counts[minor] < 2:
+        raise ValueError("synthetic rows need two rows of the smallest class")
     base = stage(df.where(F.col(spec.target) == minor).select(
         spec.id, F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("_v")
     ), "minority")
     n = counts[minor]
+    if base.select(spec.id).distinct().count() != n:
+        raise ValueError("synthetic rows need distinct ids in the smallest class")
     rng = random.Random(seed)
     near = None
     for j in range(projections):

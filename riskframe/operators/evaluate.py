@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.functions.columns import safe_ratio
 from riskframe.functions.ordering import running_sums
@@ -71,6 +71,11 @@ def _total(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     return counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
 
 
+def _pairs(a: Column, b: Column) -> Column:
+    """Product of two counts beyond the range of a long."""
+    return a.cast("decimal(18,0)") * b.cast("decimal(19,0)")
+
+
 def auc(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Exact area under the ROC curve, ties counted half, 0 for a single class."""
     return auc_of_counts(score_counts(scored, by), by)
@@ -79,8 +84,8 @@ def auc(scored: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 def auc_of_counts(counts: DataFrame, by: Sequence[str], staged: bool = False) -> DataFrame:
     run = running_sums(counts, by, "p", ["neg"], staged=staged)
     below = F.col("cum_neg") - F.col("neg")
-    # Twice the pair count is an integer, so its decimal sum cannot overflow or drift.
-    twice = (F.col("pos") * (2 * below + F.col("neg"))).cast("decimal(38,0)")
+    # Twice the pair count is an integer; as a decimal product its sum neither overflows nor drifts.
+    twice = _pairs(F.col("pos"), 2 * below + F.col("neg"))
     return run.groupBy(*by).agg(
         F.sum(twice).alias("_w"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")
     ).select(
@@ -102,7 +107,7 @@ def auc_binned(scored: DataFrame, bins: int = 10_000, by: Sequence[str] = ("mode
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(before), F.lit(0))
     return binned.withColumn("_below", below).groupBy(*by).agg(
-        F.sum((F.col("pos") * (2 * F.col("_below") + F.col("neg"))).cast("decimal(38,0)")).alias("_w"),
+        F.sum(_pairs(F.col("pos"), 2 * F.col("_below") + F.col("neg"))).alias("_w"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
     ).select(
         *by,
@@ -132,7 +137,7 @@ def roc_points(scored: DataFrame, by: Sequence[str] = ("model",), thin: bool = T
     def share(part: str, whole: str):
         return safe_ratio(F.col(part).cast("double"), F.col(whole).cast("double"))
 
-    points = run.join(F.broadcast(totals), by).select(
+    points = run.join(totals, by).select(
         *by, share("cum_neg", "_n").alias("fpr"), share("cum_pos", "_p").alias("tpr"),
         F.col("p").alias("threshold"),
     )
@@ -279,7 +284,7 @@ def gini_split(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
         return F.coalesce(F.try_divide(2 * pos * neg, mass), F.lit(0.0))
 
     impurity = F.round((gini(a, b) + gini(1 - a, 1 - b)) / 2, 9)
-    scored = run.join(F.broadcast(totals), "feature").where((F.col("_p") > 0) & (F.col("_n") > 0)).select(
+    scored = run.join(totals, "feature").where((F.col("_p") > 0) & (F.col("_n") > 0)).select(
         "feature", ((F.col("x") + F.col("next.x")) / 2).alias("threshold"), impurity.alias("impurity")
     )
     return scored.groupBy("feature").agg(

@@ -78,8 +78,8 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = groups.selectExpr(f"inline(array({', '.join(moments)}))").where("both").groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "ti", "tj", "pii", "pjj", "pij")]
     ).selectExpr(
-        "i", "j", "pii - ti * ti / n AS vi", "pjj - tj * tj / n AS vj", "pij - ti * tj / n AS cov"
-    ).selectExpr("i", "j", "CASE WHEN vi > 1e-9 AND vj > 1e-9 THEN cov / sqrt(vi * vj) END AS r")
+        "i", "j", "pii", "pjj", "pii - ti * ti / n AS vi", "pjj - tj * tj / n AS vj", "pij - ti * tj / n AS cov"
+    ).selectExpr("i", "j", "CASE WHEN vi > 1e-10 * pii AND vj > 1e-10 * pjj THEN cov / sqrt(vi * vj) END AS r")
     names = "array(" + ", ".join(f"'{c}'" for c in cols) + ")"
     every = df.sparkSession.createDataFrame([(i, j) for i in k for j in k], "x int, y int").selectExpr(
         "x", "y", "least(x, y) AS i", "greatest(x, y) AS j")
@@ -117,6 +117,8 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20) -> DataFrame:
             F.floor((x - F.lit(lo)) / F.lit(width)).cast("int") + 1, F.lit(bins)
         )
         parts.append(F.struct(F.lit(c).alias("feature"), F.when(x.isNotNull(), at).alias("bin")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "feature string, bin int, n long")
     return (
         df.select(F.inline(F.array(*parts)))
         .where(F.col("bin").isNotNull())

@@ -12,12 +12,12 @@ from riskframe.config import RunConfig
 from riskframe.functions.concurrently import run_together
 from riskframe.functions.staging import stage
 from riskframe.operators import evaluate, kernel, learn
-from riskframe.operators.clean import clean
+from riskframe.operators.clean import clean, rejected
 from riskframe.operators.prepare import PrepModel, fit_prep
 from riskframe.operators.runs import append_run, run_record
 from riskframe.operators.split import apply_split, fit_split
 from riskframe.plans.registry import ModelStore
-from riskframe.sources.sinks import write_metrics, write_processed
+from riskframe.sources.sinks import write_metrics, write_processed, write_scored
 from riskframe.spec import FeatureSpec
 
 
@@ -82,9 +82,13 @@ def train(
         write_metrics(metrics, f"{out_dir}/model_comparison")
         ModelStore(spark, f"{out_dir}/store", spec).save(models, prep, best)
         now = datetime.now(UTC)
+        snapshot = f"{out_dir}/config_snapshot"
+        spark.createDataFrame([(config.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(snapshot)
+        # Rows with an unknown label are kept apart, not lost.
+        write_scored(rejected(raw, spec), f"{out_dir}/rejected")
         append_run(run_record(
             spark, run_id=now.strftime("%Y%m%dT%H%M%SZ"), timestamp_utc=now, best_model_name=best,
             best_model_file=f"models/{best}", model_dir=f"{out_dir}/store", reports_dir=out_dir,
-            config_snapshot_path=config.to_json(), metrics_path=f"{out_dir}/model_comparison",
+            config_snapshot_path=snapshot, metrics_path=f"{out_dir}/model_comparison",
         ), f"{out_dir}/runs")
     return TrainResult(metrics, best, models, prep, scored)

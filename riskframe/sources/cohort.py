@@ -43,7 +43,7 @@ def clinical_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ELSE 'Rural' END AS residence",
         "CASE WHEN m BETWEEN 4 AND 10 THEN 'Rainy' ELSE 'Dry' END AS season",
         "CASE WHEN pos = 1 THEN element_at(array('Positive', 'positive', ' POSITIVE '), int(k % 3) + 1) "
-        "WHEN k % 2 = 0 THEN 'Negative' ELSE '0' END AS malaria_status",
+        "WHEN k % 2 = 0 THEN 'Negative' ELSE '0' END AS case_status",
         "pos * pmod(43 * k, 50000) AS parasitemia_count",
     )
 

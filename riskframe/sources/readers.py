@@ -18,15 +18,19 @@ def _or_missing(read, path: str) -> DataFrame:
         raise
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV with a header, every column as text.
 
-    Types are assigned by name in the cleaning step, so files may order their
-    columns as they like and no inference pass is needed.
+    Quotes inside quoted fields are doubled. Line breaks inside them need ``multi_line``,
+    which reads each file in one task. Types are assigned by name in the cleaning step, so
+    no inference pass is needed; files read together must share one header, and a file
+    whose header differs raises.
     """
-    return _or_missing(
-        lambda: spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path), path
+    reader = (
+        spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+        .option("enforceSchema", False).option("multiLine", multi_line)
     )
+    return _or_missing(lambda: reader.csv(path), path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -63,7 +63,7 @@ class FeatureSpec:
 # The public data contract (names, codes, labels, bounds).
 CLINICAL = FeatureSpec(
     id="patient_id",
-    target="malaria_status",
+    target="case_status",
     continuous=("age_years", "hemoglobin_g_dl", "fever_days"),
     flags=(
         "uses_mosquito_net",
@@ -84,15 +84,12 @@ CLINICAL = FeatureSpec(
         "plasmodium_species",
         "anemia_status",
         "outcome",
-        "malaria_probability_score",
-        "severe_malaria",
-        "cerebral_malaria",
         "respiratory_distress",
         "shock",
         "acute_kidney_injury",
     ),
     target_codes=_frozen({"positive": 1, "1": 1, "negative": 0, "0": 0}),
-    labels=_frozen({0: "Malaria Negative", 1: "Malaria Positive"}),
+    labels=_frozen({0: "Case Negative", 1: "Case Positive"}),
     ranges=_frozen({
         "age_years": (0.0, 120.0),
         "hemoglobin_g_dl": (2.0, 22.0),

@@ -15,7 +15,7 @@ RAW = [
     ("P4", 25, 300, "Female", "Urban", "Dry", False, "0", None, 0, False, False, False, False, False, False, 0),
 ]
 NAMES = (
-    "Patient_ID Age_Years Age_Months Sex Residence Season Uses_Mosquito_Net Malaria_Status Hemoglobin_g_dl "
+    "Patient_ID Age_Years Age_Months Sex Residence Season Uses_Mosquito_Net Case_Status Hemoglobin_g_dl "
     "Fever_Days Has_Fever Has_Chills Has_Headache Has_Vomiting Has_Diarrhea Has_Weakness Parasitemia_Count"
 ).split()
 
@@ -55,7 +55,7 @@ def test_flag_modes(spark):
 
 
 def test_unknown_label_raises_or_is_quarantined(raw):
-    bad = raw.withColumn("Malaria_Status", F.when(F.col("Patient_ID") == "P1", "maybe").otherwise(F.col("Malaria_Status")))
+    bad = raw.withColumn("Case_Status", F.when(F.col("Patient_ID") == "P1", "maybe").otherwise(F.col("Case_Status")))
     with pytest.raises(ValueError, match="maybe"):
         ops.clean(bad, CLINICAL, CleanConfig(fail_on_unknown=True))
     assert ops.clean(bad, CLINICAL).count() == 3
@@ -64,7 +64,7 @@ def test_unknown_label_raises_or_is_quarantined(raw):
 
 def test_missing_target_column_raises(raw):
     with pytest.raises(ValueError, match="not found"):
-        ops.clean(raw.drop("Malaria_Status"), CLINICAL, CleanConfig(fail_on_unknown=True))
+        ops.clean(raw.drop("Case_Status"), CLINICAL, CleanConfig(fail_on_unknown=True))
 
 
 def test_dedup_keeps_smallest_id(raw):

@@ -37,7 +37,8 @@ def test_metrics_table(trained, spark):
     assert csv.columns == ["model", "accuracy", "precision", "recall", "f1_score", "roc_auc"]
     runs = readers.read_runs(spark, f"{out}/runs").first()
     assert runs["best_model_name"] == result.best
-    assert json.loads(runs["config_snapshot_path"])["split"]["seed"] == 42
+    snapshot = spark.read.text(runs["config_snapshot_path"]).first()[0]
+    assert json.loads(snapshot)["split"]["seed"] == 42
 
 
 def test_scores_are_probabilities(trained):
