@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.catalog.registry import query
 from riskframe.functions.staging import stage
-from riskframe.llm import decontam, lattice, linerules, ranking, simhash
+from riskframe.llm import decontam, lattice, linerules, ranking, resemblance
 from riskframe.llm.queries import rank_model, table
 from riskframe.llm.text import session
 
@@ -36,12 +36,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the smallest doc_id.
+    """One document of each group stays, that of the smallest doc_id.
 
-    Null and blank texts have fingerprint zero and count as copies of each other.
+    Groups are those of the wide SimHash search: five words, similarity 0.8 or more. Null and
+    blank texts have an empty fingerprint and count as copies of each other.
     """
     session(spark)
-    return simhash.keep_first(docs)
+    return resemblance.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
