@@ -113,13 +113,15 @@ def i3(spark, sf):
 
 @query("h1_importance")
 def h1(spark, sf):
-    """Impurity importance of a 100-tree forest on imputed, label-encoded features."""
+    """Impurity importance of a 100-tree forest on imputed, label-encoded features without the season.
+
+    Depth stops at 12; MLlib allows no unlimited depth.
+    """
     df = inputs.cleaned(spark, sf)
     prep = prepare.fit_prep(df, CLINICAL)
-    encoded = prep.impute(df).withColumns({
-        f"{c}_code": _code(c, prep.categories[c]) for c in CLINICAL.categorical
-    })
-    columns = [*CLINICAL.numeric, *[f"{c}_code" for c in CLINICAL.categorical]]
+    coded = [c for c in CLINICAL.categorical if c != "season"]
+    encoded = prep.impute(df).withColumns({f"{c}_code": _code(c, prep.categories[c]) for c in coded})
+    columns = [*CLINICAL.numeric, *[f"{c}_code" for c in coded]]
     frame = learn.training_frame(encoded, CLINICAL.target, columns)
     forest = learn.fit_forest(
         frame, CLINICAL.target, columns, replace(ForestConfig(), trees=100, max_depth=12, min_leaf=1))
@@ -143,7 +145,7 @@ def h2(spark, sf):
     model = learn.fit_logistic(_frame(tr, prep), CLINICAL.target, prep.order)
     return explain.permutation_importance(
         test, CLINICAL.target, list(CLINICAL.features),
-        lambda rows: model.predict(prep.onehot(prep.scale(rows))),
+        lambda rows: model.predict(prep.onehot(prep.scale(rows))), id_col=CLINICAL.id,
     )
 
 

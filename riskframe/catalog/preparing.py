@@ -81,16 +81,14 @@ def e9(spark, sf):
         "feature", F.concat_ws(",", "categories").alias("categories"))
 
 
-_ONEHOT = [("sex", "Female"), ("sex", "Male"), ("residence", "Rural"), ("residence", "Urban"),
-           ("season", "Dry"), ("season", "Rainy")]
-
-
-@query("e10_onehot", f"WITH {FILLED} SELECT patient_id, " + ", ".join(
-    f"CAST({c} = '{v}' AS DOUBLE) AS {c}_{v}" for c, v in _ONEHOT) + " FROM filled")
+@query("e10_onehot", f"WITH {FILLED} " + " UNION ALL ".join(
+    f"SELECT patient_id, '{c}_' || v AS feature, CAST({c} = v AS DOUBLE) AS value "
+    f"FROM filled, (SELECT DISTINCT {c} AS v FROM filled WHERE split = 'train')" for c in CATEGORICAL))
 def e10(spark, sf):
-    """The rare third residence is seen in training or not, depending on the split; both encode it."""
+    """Every one-hot cell, as rows: which columns there are depends on the training fold."""
     df, prep = inputs.fitted(spark, sf)
-    return prep.onehot(prep.impute(df)).select("patient_id", *[f"{c}_{v}" for c, v in _ONEHOT])
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("value")) for c in prep.onehot_names]
+    return prep.onehot(prep.impute(df)).select("patient_id", F.inline(F.array(*cells)))
 
 
 @query("e10_onehot_long", """SELECT doc_id, code FROM documents JOIN (SELECT source,

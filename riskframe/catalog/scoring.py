@@ -80,28 +80,30 @@ def i2(spark, sf):
     return out.drop("record").withColumn("probability", r6("probability"))
 
 
+_TERM = {c: c if c in NUMERIC else "CAST({} = '{}' AS DOUBLE)".format(*c.split("_")) for c in COEF}
+
+
 @query("h4_contributions", f"""WITH {SCALED} """ + " UNION ALL ".join(
-    f"SELECT patient_id, '{c}' AS feature, round({COEF[c]}::DOUBLE * {c}, 6) AS contribution FROM scaled WHERE split = 'test'"
-    for c in NUMERIC))
+    f"SELECT patient_id, '{c}' AS feature, round({COEF[c]}::DOUBLE * {x}, 6) AS contribution FROM scaled WHERE split = 'test'"
+    for c, x in _TERM.items()))
 def h4(spark, sf):
-    """Scaled columns have mean zero in training, so coef * value is coef * (x - mean) / std."""
+    """Every term of the margin but the intercept: scaled columns have mean zero in training,
+    so coef * value is coef * (x - mean) / std; one-hot columns enter as they are."""
     df, prep = inputs.fitted(spark, sf)
     test = prep.transform(df.where("split = 'test'"))
-    coef = {c: COEF[c] for c in CLINICAL.numeric}
-    return explain.contributions(test, "patient_id", coef).withColumn("contribution", r6("contribution"))
+    return explain.contributions(test, "patient_id", COEF).withColumn("contribution", r6("contribution"))
 
 
 @query("h4_top_contributions", f"""WITH {SCALED}, c AS ({" UNION ALL ".join(
-    f"SELECT patient_id, '{c}' AS feature, {COEF[c]}::DOUBLE * {c} AS v FROM scaled WHERE split = 'test'"
-    for c in NUMERIC)})
+    f"SELECT patient_id, '{c}' AS feature, {COEF[c]}::DOUBLE * {x} AS v FROM scaled WHERE split = 'test'"
+    for c, x in _TERM.items())})
 SELECT patient_id, string_agg(feature, ',' ORDER BY rk) AS top FROM (
   SELECT patient_id, feature, row_number() OVER (PARTITION BY patient_id ORDER BY round(abs(v), 9) DESC, feature) AS rk FROM c)
 WHERE rk <= 3 GROUP BY patient_id""")
 def h4_top(spark, sf):
     df, prep = inputs.fitted(spark, sf)
     test = prep.transform(df.where("split = 'test'"))
-    coef = {c: COEF[c] for c in CLINICAL.numeric}
-    return explain.top_contributions(test, "patient_id", coef, 3).select(
+    return explain.top_contributions(test, "patient_id", COEF, 3).select(
         "patient_id", F.concat_ws(",", F.col("top.feature")).alias("top"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from riskframe.catalog import inputs
@@ -11,7 +9,9 @@ from riskframe.catalog.registry import ORACLES, query
 from riskframe.catalog.scoring import MODEL
 from riskframe.functions.staging import new_path
 from riskframe.operators.prepare import fit_prep
+from riskframe.plans.training import train
 from riskframe.sources import readers
+from riskframe.sources.sinks import METRIC_COLUMNS
 from riskframe.spec import CLINICAL
 from riskframe.streaming import scoring as streaming
 
@@ -37,10 +37,8 @@ def i5(spark, sf):
     base = new_path(spark, "monitor")
     path = f"{sf}/events.parquet"
     schema = readers.read_parquet(spark, path).schema
-    if os.path.isfile(path):
-        events = streaming.read_stream(spark, sf, schema, only="events.parquet")
-    else:
-        events = streaming.read_stream(spark, path, schema)
+    # A pattern matches the table whether it is one file or a folder.
+    events = streaming.read_stream(spark, f"{sf}/events.parque[t]", schema)
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     agg = streaming.class_monitor(events, "ts", F.col("value") > 10)
     streaming.write_latest(agg, f"{base}/table", f"{base}/checkpoint").awaitTermination()
@@ -50,14 +48,15 @@ def i5(spark, sf):
 
 @query("f10_retrain_trigger")
 def f10(spark, sf):
-    """Labelled records arrive as files; a fit of the preparation runs once enough are there."""
+    """Labelled records arrive as files; all models are trained once enough are there."""
     base = new_path(spark, "retrain")
     inputs.cleaned(spark, sf).write.parquet(f"{base}/in")
     schema = readers.read_parquet(spark, f"{base}/in").schema
 
     def job(rows):
-        fit_prep(rows, CLINICAL).to_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{base}/params")
+        train(rows, CLINICAL, out_dir=f"{base}/out")
 
     labelled = streaming.read_stream(spark, f"{base}/in", schema)
     streaming.retrain_when(labelled, f"{base}/log", f"{base}/checkpoint", 500, job).awaitTermination()
-    return readers.read_parquet(spark, f"{base}/params").drop("categories")
+    measures = ", ".join(f"{c} double" for c in METRIC_COLUMNS[1:])
+    return spark.read.schema(f"model string, {measures}").option("header", True).csv(f"{base}/out/model_comparison")

@@ -17,7 +17,8 @@ from riskframe.functions.staging import stage
 
 ROWS_PER_RANGE = 200_000
 MAX_RANGES = 16_384
-SPLIT_CHARS = 256
+#: Lengths tried for a text boundary; the shortest that tells two neighbours apart is taken.
+SPLIT_CHARS = (16, 64, 256, 1_024, 4_096, 16_384)
 
 
 def _range_id(splits: Column, key: Column, n_max: int) -> Column:
@@ -34,26 +35,37 @@ def _range_id(splits: Column, key: Column, n_max: int) -> Column:
     )
 
 
+def _boundaries(splits: Column) -> Column:
+    """Sorted texts, each cut to a prefix that is still above the text before it."""
+    def cut(s: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(splits, i - 1)).otherwise(F.lit(""))
+        prefixes = [F.when(F.left(s, F.lit(n)) > F.left(before, F.lit(n)), F.left(s, F.lit(n))) for n in SPLIT_CHARS]
+        return F.coalesce(*prefixes, s)
+
+    return F.transform(splits, cut)
+
+
 def with_ranges(
     df: DataFrame, by: Sequence[str], key: str, rows: int, rows_per_range: int | None = None
 ) -> DataFrame:
     """Add ``_range``: the key range of each row within its ``by`` group.
 
     The split table holds about ``rows / size`` keys in total, so about MAX_RANGES
-    at most; text splits are cut to SPLIT_CHARS, since any text can serve as a
-    boundary. How it is joined is left to the planner.
+    at most; text splits are cut to a prefix that still separates neighbours, so keys
+    that share a long beginning are split too. How it is joined is left to the planner.
     """
     by = list(by)
     size = max(rows_per_range or ROWS_PER_RANGE, rows // MAX_RANGES)
     if rows <= size:
         return df.withColumn("_range", F.lit(0))
     is_text = isinstance(df.schema[key].dataType, T.StringType)
-    boundary = F.left(F.col(key), F.lit(SPLIT_CHARS)) if is_text else F.col(key)
     splits = (
         df.where(F.pmod(F.xxhash64(key), F.lit(size)) == 0)
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_set(boundary)).alias("_splits"))
+        .agg(F.array_sort(F.collect_set(key)).alias("_splits"))
     )
+    if is_text:
+        splits = splits.withColumn("_splits", _boundaries(F.col("_splits")))
     wanted = 4 * (rows // size + 1) + 64
     if by:
         tagged = df.join(splits, by, "left")

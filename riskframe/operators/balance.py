@@ -14,7 +14,9 @@ from riskframe.spec import FeatureSpec
 
 
 def oversample(df: DataFrame, id_col: str, target: str, seed: int = 42) -> DataFrame:
-    """Repeat minority rows until the classes are equal; ``copy`` numbers the repeats.
+    """Repeat the rows of the smallest class until it equals the largest; ``copy`` numbers the repeats.
+
+    Classes in between stay as they are.
 
     Every minority row appears floor(ratio) times and those with the smallest
     hash ranks once more, so the total is exact and the plan stays narrow.

@@ -11,6 +11,8 @@ from riskframe.functions import columns as C
 from riskframe.sources.readers import missing_tokens_to_null
 from riskframe.spec import FeatureSpec
 
+_FLAG_RULES = {"strict": C.flag_strict, "lenient": C.flag_lenient}
+
 
 def normalise_headers(df: DataFrame) -> DataFrame:
     names = [C.normalise_name(c) for c in df.columns]
@@ -25,7 +27,7 @@ def drop_leakage(df: DataFrame, spec: FeatureSpec, keep_id: bool = True) -> Data
 
 
 def cast_flags(df: DataFrame, spec: FeatureSpec, mode: str = "lenient") -> DataFrame:
-    rule = {"strict": C.flag_strict, "lenient": C.flag_lenient}[mode]
+    rule = _FLAG_RULES[mode]
     return df.withColumns({c: rule(F.col(c)) for c in spec.flags if c in df.columns})
 
 
@@ -120,13 +122,14 @@ def stack_frames(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=False)
 
 
-def record_from_json(df: DataFrame, column: str, spec: FeatureSpec) -> DataFrame:
-    """Typed features from free-form JSON text; unparsable numbers become NULL."""
+def record_from_json(df: DataFrame, column: str, spec: FeatureSpec, flag_mode: str = "lenient") -> DataFrame:
+    """Typed features from free-form JSON text; absent fields and unparsable numbers become NULL."""
+    rule = _FLAG_RULES[flag_mode]
     text = T.StructType([T.StructField(c, T.StringType()) for c in spec.features])
     parsed = df.withColumn("_r", F.from_json(F.col(column), text))
     typed = [
         (F.col(f"_r.{c}") if c in spec.categorical
-         else C.flag_lenient(F.col(f"_r.{c}")) if c in spec.flags
+         else F.when(F.col(f"_r.{c}").isNotNull(), rule(F.col(f"_r.{c}"))) if c in spec.flags
          else C.to_number(F.col(f"_r.{c}"))).alias(c)
         for c in spec.features
     ]

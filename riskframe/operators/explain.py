@@ -61,39 +61,39 @@ def top_contributions(scaled: DataFrame, id_col: str, coef: Mapping[str, float],
 
 
 def permute(
-    df: DataFrame, target: str, features: Sequence[str], repeats: int = 8, seed: int = 42
+    df: DataFrame, target: str, features: Sequence[str], repeats: int = 8, seed: int = 42, id_col: str | None = None
 ) -> DataFrame:
     """Every row once per (feature, repeat), with that feature taken from another row.
 
-    The table is staged, so a row's position in it is fixed, and the hash of the
-    position deals rows into blocks of about BLOCK_ROWS: even when ids or whole
-    records repeat, no block grows with the data. In a block, ordered by hash,
-    repeat r takes the value r places further round the circle: a permutation of
-    the block whose pairs are random. One shuffle of the input; the repeats and
+    The hash of ``id_col``, which must be unique, deals rows into random blocks of about
+    BLOCK_ROWS, so the result depends on the rows and the seed alone. Without an id the
+    position in the staged table serves: no block grows with the data even when whole
+    records repeat, but the draw then follows the layout of the files. Each repeat orders
+    the block by a hash of its own and takes the value of the next row round the circle:
+    independent random permutations that leave no row with its own value. One shuffle of the input; the repeats and
     features multiply rows in place.
     """
-    table = stage(df.select(target, *features), "permute")
+    named = [F.col(f"`{id_col}`").alias("_id")] if id_col else []
+    table = stage(df.select(*named, target, *features), "permute")
     blocks = max(1, table.count() // BLOCK_ROWS)
-    at = F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
+    at = F.xxhash64(F.col("_id") if id_col else F.monotonically_increasing_id(), F.lit(seed))
     row = F.struct(F.col("_k"), F.col(target).alias("_y"), *[F.col(c) for c in features])
     packed = (
         table.withColumn("_k", at)
         .groupBy(F.pmod(F.shiftright("_k", 17), F.lit(blocks)).alias("_b"))
         .agg(F.array_sort(F.collect_list(row)).alias("rows"))
     )
-    m = F.size("rows")
 
-    def turned(r: int):
-        by = F.pmod(F.lit(r), m)
-        return F.concat(F.slice("rows", by + 1, m - by), F.slice("rows", F.lit(1), by))
+    def ordered(r: int):
+        keyed = F.transform("rows", lambda x: F.struct(F.xxhash64(x["_k"], F.lit(r)).alias("h"), x.alias("row")))
+        return F.transform(F.array_sort(keyed), lambda x: x["row"])
 
-    zipped = packed.select(F.explode(F.arrays_zip(
-        F.col("rows").alias("own"), *[turned(r).alias(f"r{r}") for r in range(1, repeats + 1)]
-    )).alias("z"))
-    donors = F.array(*[
-        F.struct(F.lit(r).alias("repeat"), F.col(f"z.r{r}").alias("donor")) for r in range(1, repeats + 1)
-    ])
-    per_repeat = zipped.select(F.col("z.own").alias("own"), F.inline(donors))
+    orders = F.array(*[F.struct(F.lit(r).alias("repeat"), ordered(r).alias("own")) for r in range(1, repeats + 1)])
+    per_order = packed.select(F.inline(orders))
+    turned = F.concat(F.slice("own", F.lit(2), F.size("own") - 1), F.slice("own", 1, 1))
+    per_repeat = per_order.select(
+        "repeat", F.explode(F.arrays_zip(F.col("own"), turned.alias("donor"))).alias("z")
+    ).select("z.own", "z.donor", "repeat")
     names = F.array(*[F.lit(f) for f in features])
     each = per_repeat.select("own", "donor", "repeat", F.explode(names).alias("feature"))
     return each.select(
@@ -111,13 +111,14 @@ def permutation_importance(
     metric: str = "f1_score",
     repeats: int = 8,
     seed: int = 42,
+    id_col: str | None = None,
 ) -> DataFrame:
     """Mean and population std of the metric drop per feature, in one job.
 
     ``predict`` takes rows with ``features`` and returns them with ``yhat``.
     """
     base = rates(confusion(predict(df.withColumn("y", F.col(target))), [])).select(metric).scalar()
-    shuffled = predict(permute(df, target, features, repeats, seed))
+    shuffled = predict(permute(df, target, features, repeats, seed, id_col))
     drops = rates(confusion(shuffled, ["feature", "repeat"]))
     return importance_of_drops(drops.select("feature", (base - F.col(metric)).alias("drop")))
 

@@ -68,9 +68,10 @@ def score_records(
     prep: PrepModel,
     predict: Callable[[DataFrame], DataFrame],
     model_name: str,
+    flag_mode: str = "lenient",
 ) -> DataFrame:
     """Score partial JSON records; absent fields take the training defaults."""
-    typed = record_from_json(df, column, spec)
+    typed = record_from_json(df, column, spec, flag_mode)
     return predict(prep.transform(typed)).select(
         *df.columns,
         F.col("yhat").alias("prediction"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.operators.score import score, score_records
+from riskframe.operators.score import input_report, score, score_records
 from riskframe.plans.registry import ModelStore
 from riskframe.sources.readers import read_csv
 from riskframe.sources.sinks import write_scored
@@ -13,17 +13,20 @@ from riskframe.spec import FeatureSpec
 
 def score_table(raw: DataFrame, spec: FeatureSpec, store: ModelStore, name: str | None = None) -> DataFrame:
     """Original columns plus label and probability; one narrow stage, no shuffle."""
-    return score(raw, spec, store.prep(), store.model(name).predict)
+    return score(raw, spec, store.prep(), store.model(name).predict, store.flag_mode())
 
 
 def score_csv(
     spark: SparkSession, source: str, target: str, spec: FeatureSpec, store: ModelStore, name: str | None = None
-) -> None:
-    write_scored(score_table(read_csv(spark, source), spec, store, name), target, "csv")
+) -> DataFrame:
+    """Write the scored file; returns the features that the batch lacks and how they were filled."""
+    raw = read_csv(spark, source)
+    write_scored(score_table(raw, spec, store, name), target, "csv")
+    return input_report(raw, spec)
 
 
 def score_json_records(
     df: DataFrame, column: str, spec: FeatureSpec, store: ModelStore, name: str | None = None
 ) -> DataFrame:
     model = store.model(name)
-    return score_records(df, column, spec, store.prep(), model.predict, model.name)
+    return score_records(df, column, spec, store.prep(), model.predict, model.name, store.flag_mode())

@@ -6,16 +6,18 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession, types as T
 
+from riskframe.config import CleanConfig
 from riskframe.operators.kernel import load_kernel
 from riskframe.operators.learn import SVM, Classifier
 from riskframe.operators.prepare import PrepModel, load_prep
 from riskframe.sources.readers import read_json
 from riskframe.spec import FeatureSpec
 
-_CARD = "best_model string, models array<string>, labels map<string,string>"
+_CARD = "best_model string, models array<string>, labels map<string,string>, flag_mode string"
 
 
 @dataclass(frozen=True)
@@ -24,11 +26,12 @@ class ModelStore:
     path: str
     spec: FeatureSpec
 
-    def save(self, models: Mapping, prep: PrepModel, best: str) -> None:
+    def save(self, models: Mapping, prep: PrepModel, best: str, clean: CleanConfig = CleanConfig()) -> None:
+        """``clean`` is what the training rows were cleaned with; scoring reads flags the same way."""
         for name, m in models.items():
             m.save(f"{self.path}/models/{name}")
         prep.save(self.spark, f"{self.path}/prep")
-        card = [(best, sorted(models), {str(k): v for k, v in self.spec.labels.items()})]
+        card = [(best, sorted(models), {str(k): v for k, v in self.spec.labels.items()}, clean.flag_mode)]
         self.spark.createDataFrame(card, _CARD).coalesce(1).write.mode("overwrite").json(f"{self.path}/card")
 
     def _card(self):
@@ -40,6 +43,9 @@ class ModelStore:
     def labels(self) -> dict[int, str]:
         return {int(k): v for k, v in self._card()["labels"].items()}
 
+    def flag_mode(self) -> str:
+        return self._card()["flag_mode"] or CleanConfig().flag_mode
+
     def prep(self) -> PrepModel:
         return load_prep(self.spark, f"{self.path}/prep", self.spec)
 
@@ -54,5 +60,7 @@ class ModelStore:
             if name == SVM:
                 return load_kernel(self.spark, path)
             return Classifier(name, PipelineModel.load(path))
-        except Py4JJavaError as exc:
+        except (Py4JJavaError, AnalysisException) as exc:
+            if "does not exist" not in str(exc):
+                raise
             raise FileNotFoundError(f"no model at {path}") from exc

@@ -80,7 +80,7 @@ def train(
     if out_dir:
         write_processed(prepared, f"{out_dir}/processed")
         write_metrics(metrics, f"{out_dir}/model_comparison")
-        ModelStore(spark, f"{out_dir}/store", spec).save(models, prep, best)
+        ModelStore(spark, f"{out_dir}/store", spec).save(models, prep, best, config.clean)
         now = datetime.now(UTC)
         snapshot = f"{out_dir}/config_snapshot"
         spark.createDataFrame([(config.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(snapshot)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
 
 METRIC_COLUMNS = ("model", "accuracy", "precision", "recall", "f1_score", "roc_auc")
 
@@ -28,5 +29,16 @@ def write_scored(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def append_scored(df: DataFrame, path: str) -> None:
-    """Append scored records under the columns the log already has."""
-    df.write.mode("append").parquet(path)
+    """Append scored records under the columns the log already has, matched by name.
+
+    Other names or types raise, as a later read of the log could not tell them apart.
+    """
+    try:
+        log = df.sparkSession.read.parquet(path).dtypes
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        log = df.dtypes
+    if dict(log) != dict(df.dtypes):
+        raise ValueError(f"the log has {log}, not {df.dtypes}")
+    df.select(*[F.col(f"`{c}`") for c, _ in log]).write.mode("append").parquet(path)

@@ -1,9 +1,14 @@
 """Inputs at the edges: big counts, constant and empty columns, CSV quoting."""
 
+from pyspark.sql import functions as F
 import pytest
 
-from riskframe.operators import evaluate, profile
+from riskframe.functions.ordering import with_ranges
+from riskframe.operators import evaluate, explain, profile
+from riskframe.operators.clean import record_from_json
 from riskframe.sources.readers import read_csv
+from riskframe.sources.sinks import append_scored
+from riskframe.spec import CLINICAL
 
 
 def test_auc_of_huge_counts(spark):
@@ -31,3 +36,36 @@ def test_csv_quotes_and_headers(spark, tmp_path):
     (tmp_path / "b.csv").write_text("name,id\nx,3\n")
     with pytest.raises(Exception, match="(?i)header"):
         read_csv(spark, str(tmp_path)).collect()
+
+
+def test_keys_with_a_long_common_start_are_split(spark):
+    df = spark.range(20_000).select(F.concat(F.repeat(F.lit("x"), 300), F.col("id").cast("string")).alias("k"))
+    ranged = with_ranges(df, [], "k", 20_000, rows_per_range=400)
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 5_000
+    ends = ranged.groupBy("_range").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("_range").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(ends, ends[1:]))
+
+
+def test_permutation_does_not_depend_on_the_layout(spark):
+    df = spark.range(5_000).selectExpr("id", "int(id % 2) AS y", "double(id * 7 % 1013) AS a")
+    runs = [
+        sorted(map(tuple, explain.permute(df.repartition(n), "y", ["a"], repeats=2, id_col="id").collect()))
+        for n in (1, 4)
+    ]
+    assert runs[0] == runs[1]
+
+
+def test_append_matches_columns_by_name(spark, tmp_path):
+    path = str(tmp_path / "log")
+    append_scored(spark.createDataFrame([(1, "a")], "n int, s string"), path)
+    append_scored(spark.createDataFrame([("b", 2)], "s string, n int"), path)
+    assert sorted(map(tuple, spark.read.parquet(path).select("n", "s").collect())) == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError):
+        append_scored(spark.createDataFrame([("b", 2)], "t string, n int"), path)
+
+
+def test_records_follow_the_flag_mode(spark):
+    df = spark.createDataFrame([('{"has_fever": "yes"}',), ('{"sex": "Male"}',)], "record string")
+    read = lambda mode: [r[0] for r in record_from_json(df, "record", CLINICAL, mode).select("has_fever").collect()]
+    assert read("lenient") == [1, None] and read("strict") == [0, None]
