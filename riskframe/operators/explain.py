@@ -70,8 +70,8 @@ def permute(
     position in the staged table serves: no block grows with the data even when whole
     records repeat, but the draw then follows the layout of the files. Each repeat orders
     the block by a hash of its own and takes the value of the next row round the circle:
-    independent random permutations that leave no row with its own value. One shuffle of the input; the repeats and
-    features multiply rows in place.
+    independent random permutations that leave no row with its own value. One shuffle of
+    the input; the repeats and features multiply rows in place.
     """
     named = [F.col(f"`{id_col}`").alias("_id")] if id_col else []
     table = stage(df.select(*named, target, *features), "permute")
