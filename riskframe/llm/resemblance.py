@@ -1,29 +1,32 @@
-"""SimHash near-duplicates at a five-word similarity of 0.8, found with BK-trees.
+"""Near-duplicates at a five-word similarity of 0.8: SimHash and BK-trees propose, shingle sets decide.
 
-Three differing bits of 64 mean nearly equal texts, so this search uses ``BITS`` (512) bits
-over the distinct five-word shingles of the whole text. A fraction p of differing bits
-estimates the angle pi * p between the shingle sets, hence their similarity: sets of one size
-and similarity 0.8 differ in 78 bits on average, with a deviation of 8, those of 0.6 in 118.
-Two texts link when at most ``RADIUS`` bits differ, so near 0.8 a link is an estimate.
+Two texts link when the Jaccard similarity of their distinct five-word shingles is
+``SIMILARITY`` or more. Shingles are compared as 64-bit hashes, all of them. A fraction p of
+differing bits of a ``BITS`` (512) bit SimHash estimates the angle pi * p between two sets:
+sets of one size and similarity 0.8 differ in 78 bits on average, with a deviation of 8.
+``RADIUS`` (110) lies four deviations above; it only proposes pairs.
 
 So wide a radius leaves no bit block that close texts must share. The shards are therefore
 bands of minimum hashes of the same shingles: texts of similarity s share a given band with
-probability s ** ROWS and one of all bands with 1 - (1 - s ** ROWS) ** BANDS, 0.998 at 0.8.
-Within a shard the links are those of a BK-tree whose children are keyed by their Hamming
-distance to the parent. A shard above ``shard_rows`` is cut into blocks, and every pair of
-blocks is one task's cell of bounded size, so no pair is left out. Each cell returns a
-spanning forest of its links; the components of all forests are the groups.
+probability s ** ROWS and one of all bands with 1 - (1 - s ** ROWS) ** BANDS. The search
+misses a pair at exactly 0.8 with probability 3e-5 by the bands and about 4e-5 by the radius,
+and closer pairs more rarely. Within a shard the links are those of a BK-tree whose children
+are keyed by their Hamming distance to the parent. A shard above ``shard_rows`` is cut into
+blocks, and every pair of blocks is one task's cell of bounded size, so no pair is left out.
+
+The components of the proposed links are cut into cells in the same way, by rows and by
+shingles. A cell reads the texts of its members and keeps a spanning forest of the pairs
+within the radius that reach the similarity; the components of these forests are the groups.
 
 Texts of fewer than five words count as one shingle. Null and blank texts have the empty
-sketch and are copies of each other. Equal texts have equal sketches and are merged before
-the search. Ties: the smallest doc_id names the group. A null doc_id does not name a group
-unless all ids of the group are null. Only the id and text columns are read. An empty table
-gives no rows.
+set and are copies of each other. Texts with equal sets are merged before the search. Ties:
+the smallest doc_id names the group. A null doc_id does not name a group unless all ids of
+the group are null. Only the id and text columns are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,15 @@ from riskframe.llm.text import free_name
 
 WORDS = 5
 BITS = 512
-RADIUS = 88
-BANDS = 16
-ROWS = 5
+RADIUS = 110
+#: The least similarity of a link, as a fraction.
+SIMILARITY = (4, 5)
+BANDS = 20
+ROWS = 4
 SHARD_ROWS = 2_048
+#: Members of a block whose texts are compared, and the shingles they may hold together.
+CONFIRM_ROWS = 1_024
+CONFIRM_SHINGLES = 1 << 20
 _BLOCK = 255 * 4
 _LANES = BITS // 64
 _SALTS = np.random.default_rng(11).integers(1, 1 << 63, _LANES, dtype=np.uint64)
@@ -84,25 +92,42 @@ def sketch_of(shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
     return wide, np.array(keys, dtype=np.uint64).astype(np.int64)
 
 
-def sketches(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, sketch (binary) and bands (array of keys), one row per input row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text"))
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs``, written once, with the key of each row (file and index) in a new column, its last."""
+    staged = stage(docs, "rows")
+    at = staged.metadataColumn("_metadata")
+    return staged.select("*", F.struct(at["file_name"].alias("f"), at["row_index"].alias("i")).alias(free_name(docs, "_row")))
+
 
+def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """From (doc_id, text, row): doc_id, row, key and size of the shingle set, sketch (binary) and
+    bands (array of keys), one row per input row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch_of(shingles_of(t.as_py(), words)) for t in batch.column(1)]
+            sets = [shingles_of(t.as_py(), words) for t in batch.column(1)]
+            made = [sketch_of(s) for s in sets]
             keys = np.concatenate([k for _, k in made]) if made else np.zeros(0, dtype=np.int64)
-            bands = pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * BANDS, pa.array(keys))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s for s, _ in made], pa.binary()), bands], names=["doc_id", "sketch", "bands"]
+                [batch.column(0), batch.column(2), pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array([s for s, _ in made], pa.binary()),
+                 pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * BANDS, pa.array(keys))],
+                names=["doc_id", "row", "key", "size", "sketch", "bands"],
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, sketch binary, bands array<bigint>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", "row").mapInArrow(
+        run, f"doc_id {kind}, row struct<f: string, i: bigint>, key binary, size bigint, sketch binary, bands array<bigint>"
+    )
 
 
-def cell_links(values: list[bytes], left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[bytes, bytes]]:
-    """Spanning links of a cell: a BK-tree of its ``left`` values, queried with its ``right`` ones."""
+def cell_links(values: list[bytes], left: np.ndarray, right: np.ndarray, radius: int,
+               names: list[bytes] | None = None,
+               alike: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[bytes, bytes]]:
+    """Spanning links of a cell: a BK-tree of its ``left`` values, queried with its ``right`` ones.
+
+    With ``alike`` a pair within the radius must also pass it. Links hold ``names``, else values.
+    """
+    names = names or values
     tree, nodes = BKTree([]), np.flatnonzero(left).tolist()
     for i in nodes:
         tree.add(int.from_bytes(values[i], "little"))
@@ -114,12 +139,15 @@ def cell_links(values: list[bytes], left: np.ndarray, right: np.ndarray, radius:
         own = nodes[node]
         d = np.bitwise_count(wide[who] ^ wide[own]).sum(axis=1, dtype=np.int64)
         near = who[d <= radius]
-        if len(near) > 16:
+        if alike:
+            near = near[[forest.root(i) != forest.root(own) for i in near.tolist()]] if len(near) else near
+            near = near[alike(own, near)] if len(near) else near
+        elif len(near) > 16:
             # Most of a dense neighbourhood is joined already; drop those by their parent.
             near = near[np.unique(np.array(forest.up)[near], return_index=True)[1]]
         for i in near.tolist():
             if forest.join(i, own):
-                links.append((values[i], values[own]))
+                links.append((names[i], names[own]))
         for k, child in tree.edges[node].items():
             on = who[np.abs(d - k) <= radius]
             if len(on):
@@ -151,8 +179,83 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
     yield from close()
 
 
+def similar(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A test of one set against several: which have a Jaccard similarity of ``SIMILARITY`` or more."""
+    size = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(flat, np.cumsum(size)[:-1])
+    mark = np.zeros(int(flat.max(initial=-1)) + 1, dtype=np.int64)
+    over, under = SIMILARITY
+
+    def alike(own: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), dtype=bool)
+        n = size[others]
+        # Sizes further apart than the similarity cannot reach it; empty sets equal no other.
+        fit = np.flatnonzero((np.minimum(n, size[own]) * under >= np.maximum(n, size[own]) * over) & (n > 0))
+        if len(fit):
+            mark[ids[own]] = 1
+            n = n[fit]
+            common = np.add.reduceat(mark[np.concatenate([ids[k] for k in others[fit].tolist()])], np.cumsum(n) - n)
+            mark[ids[own]] = 0
+            out[fit] = common * under >= (n + size[own] - common) * over
+        return out
+
+    return alike
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iterator[pa.RecordBatch]:
+    """Links of cells (root, i, j, own, key, sketch, text), which arrive sorted."""
+    cell, own, keys, values, sets = None, [], [], [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if len(keys) > 1:
+            o = np.array(own)
+            links = cell_links(values, o == cell[1], o == cell[2], radius, keys, similar(sets))
+            if links:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"]
+                )
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            *at, block, key, value, text = [c[row].as_py() for c in batch.columns]
+            if at != cell:
+                yield from close()
+                cell, own, keys, values, sets = at, [], [], [], []
+            own.append(block)
+            keys.append(key)
+            values.append(value)
+            sets.append(shingles_of(text, words))
+    yield from close()
+
+
+def confirmed(nodes: DataFrame, texts: DataFrame, words: int = WORDS, radius: int = RADIUS,
+              shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Spanning links (a, b) between the keys of ``nodes`` whose texts have similar shingle sets."""
+    near = components(links(nodes, radius, shard_rows)).select(F.col("node").alias("sketch"), F.col("root").alias("near"))
+    rows = nodes.select("key", "sketch", "size", F.col("first.row.f").alias("f"), F.col("first.row.i").alias("i"))
+    rows = stage(rows.join(near, "sketch", "left").withColumn("near", F.coalesce("near", "sketch")), "near")
+    sizes = rows.groupBy("near").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    most = F.least(F.lit(shard_rows), F.lit(CONFIRM_ROWS))
+    blocks = F.ceil(F.greatest(F.col("n") / most, F.col("shingles") / F.lit(CONFIRM_SHINGLES), F.lit(1.0)))
+    # No more blocks than members: a block of one long text is as small as it gets.
+    sizes = stage(sizes.select("near", F.least(blocks, F.col("n")).cast("int").alias("blocks")), "near_sizes")
+    members = stage(rows.join(sizes, "near").select("near", "blocks", "key", "sketch", "f", "i"), "members")
+    found = texts.select("text", F.col("row.f").alias("f"), F.col("row.i").alias("i")).join(members, ["f", "i"])
+    key = ["near", "low", "high"]
+    cells = (
+        found.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .select("near", "key", "sketch", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("near", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "sketch", "text")
+    )
+    return (
+        cells.repartition(*key).sortWithinPartitions(*key)
+        .mapInArrow(lambda batches: _confirm(batches, radius, words), "a binary, b binary")
+    )
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Spanning links (a, b) between the sketches of ``nodes`` (sketch, bands), which are distinct."""
+    """Spanning links (a, b) within the radius between the sketches of ``nodes`` (sketch, bands)."""
     rows = nodes.select(F.posexplode("bands").alias("band", "value"), "sketch")
     sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
@@ -170,17 +273,27 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
     )
 
 
+def _grouped(rows: DataFrame, words: int, radius: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of (doc_id, text, row): the sketches, and (key, first) with the first row of each key's group."""
+    made = stage(sketches(rows, words), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = made.groupBy("key").agg(
+        F.min("sketch").alias("sketch"), F.min("size").alias("size"), F.min("bands").alias("bands"), F.min(first).alias("first")
+    )
+    nodes = stage(nodes, "nodes")
+    roots = components(confirmed(nodes, rows, words, radius, shard_rows)).select(F.col("node").alias("key"), "root")
+    named = nodes.select("key", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = stage(named, "roots")
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    return made, named.select("key", "root").join(least, "root").select("key", "first")
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", words: int = WORDS,
            radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id and component_id, one row per input row."""
-    made = stage(sketches(docs, doc_id, text_col, words), "sketches")
-    nodes = stage(made.groupBy("sketch").agg(F.min("bands").alias("bands"), F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes, radius, shard_rows)).select(F.col("node").alias("sketch"), "root")
-    first = nodes.select("sketch", "first").join(roots, "sketch", "left")
-    first = stage(first.withColumn("root", F.coalesce("root", "sketch")), "roots")
-    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = first.join(least, "root").select("sketch", "component_id")
-    return made.select("doc_id", "sketch").join(named, "sketch").select("doc_id", "component_id")
+    rows = with_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text")))
+    made, named = _grouped(rows.withColumnRenamed("_row", "row"), words, radius, shard_rows)
+    return made.select("doc_id", "key").join(named, "key").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

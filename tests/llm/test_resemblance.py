@@ -107,3 +107,21 @@ def test_memory_blocks_agree():
                 bits[64 * lane + b] += x >> b & 1
     want = sum((2 * v > len(shingles)) << k for k, v in enumerate(bits))
     assert int.from_bytes(resemblance.sketch_of(shingles)[0], "little") == want
+
+
+def test_links_are_exact_at_the_threshold(make_docs):
+    """Pairs at exactly 0.8 link and pairs just below do not, whatever their sketches say."""
+    rng = random.Random(8)
+
+    def pair(n, cut):
+        """n shingles in common of n + 2 * cut: the tails differ."""
+        common = [f"w{rng.random()}" for _ in range(n + 4)]
+        return [" ".join(common + [f"t{rng.random()}" for _ in range(cut)]) for _ in range(2)]
+
+    made = [pair(80, 10) for _ in range(150)] + [pair(79, 10) for _ in range(150)]
+    texts = [t for p in made for t in p]
+    sets = [set(resemblance.shingles_of(t).tolist()) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert alike[:150] == [0.8] * 150 and max(alike[150:]) < 0.8
+    got = {r.doc_id: r.component_id for r in resemblance.groups(make_docs(texts)).collect()}
+    assert [got[2 * k] == got[2 * k + 1] for k in range(300)] == [True] * 150 + [False] * 150
