@@ -1,12 +1,15 @@
 """Main-text extraction by the line-block distribution.
 
 Markup is stripped into lines, one for each block element. Lines inside boilerplate
-elements (menus, headers, footers, forms and the like, by tag or by class and id words)
-have length zero; where the page has an article or main element, so have the lines
-outside it. The block at line i is the sum of the lengths of ``window`` lines from i on. A
-surge is a block above the threshold after one that is not, a dive is where the next
-``window`` lines are empty; the lines from a surge to its dive are kept. With an article or
-main element the threshold is zero, else ``share`` of the largest block.
+elements (menus, headers, footers, forms and the like, by tag or by class and id words) are
+taken out, and so are runs of ``window`` or more lines that hold nothing but links. The
+length of a line is its text outside links, times ``SENTENCE`` when it ends a sentence. An
+article or main element that holds most of this text outweighs the rest: lines inside it
+count ``MAIN`` times, lines outside it have length zero. The block at line i is the sum of
+the lengths of ``window`` lines from i on. A surge is a block above the threshold after one
+that is not, a dive is a block that falls to it; the lines from a surge to its dive are
+kept, on every page. The threshold is ``floor`` or, on pages of little text, ``share`` of the
+largest block, so one long paragraph does not raise it above ``floor``.
 
 Null and empty pages give an empty text. White space inside a line becomes one space and
 lines are joined by one space. Repeated pages are extracted alike. Only the named columns
@@ -24,6 +27,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 WINDOW = 3
 SHARE = 0.25
+FLOOR = 80
+#: Weights of a line: at the end of a sentence, and inside an article or main that holds most text.
+SENTENCE = 4
+MAIN = 32
 
 _DROPPED = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video"
 _TOKEN = re.compile(
@@ -40,6 +47,8 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot "
     "th thead tr ul".split()
 )
+_SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"')\]\u00bb\u2019\u201d]*\Z")
+_HREF = re.compile(r"\bhref\b", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
 _BOILER_TAGS = frozenset("nav header footer aside form button dialog menu head".split())
@@ -74,38 +83,52 @@ def _is_boiler(tag: str, attrs: str) -> bool:
     return False
 
 
-def lines(html: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside boilerplate, inside an article or main element) for each line with text."""
-    out: list[tuple[str, bool, bool]] = []
+def lines(html: str) -> list[tuple[str, bool, bool, int]]:
+    """(text, inside boilerplate, inside an article or main element, length outside links) for each line with text."""
+    out: list[tuple[str, bool, bool, int]] = []
     text: list[str] = []
+    plain: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
     boiler = main = 0
+    #: Depth of the stack where the open link began, -1 outside links.
+    link = -1
 
     def flush() -> None:
-        nonlocal text
+        nonlocal text, plain
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
-                out.append((line, boiler > 0, main > 0))
-            text = []
+                n = len(line) if len(plain) == len(text) else len(" ".join(unescape("".join(plain)).split()))
+                out.append((line, boiler > 0, main > 0, n))
+            text, plain = [], []
+
+    def add(part: str) -> None:
+        text.append(part)
+        if link < 0:
+            plain.append(part)
 
     def pop() -> None:
-        nonlocal boiler, main
+        nonlocal boiler, main, link
         _, b, m = stack.pop()
         boiler -= b
         main -= m
+        if link > len(stack):
+            link = -1
 
     at = 0
     for t in _TOKEN.finditer(html):
         if t.start() > at:
-            text.append(html[at:t.start()])
+            add(html[at:t.start()])
         at = t.end()
         tag = t["tag"]
         if tag is None:
             if t["raw"]:
-                text.append(" ")
+                add(" ")
             continue
         tag = tag.lower()
+        if tag == "a":
+            link = len(stack) if not t["close"] and _HREF.search(t["attrs"]) else -1
+            continue
         if tag in _BLOCK:
             flush()
         if t["close"]:
@@ -129,37 +152,49 @@ def lines(html: str) -> list[tuple[str, bool, bool]]:
             stack.append((tag, b, m))
             boiler += b
             main += m
-    text.append(html[at:])
+    add(html[at:])
     flush()
     return out
 
 
-def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+def _without_boilerplate(found: list[tuple[str, bool, bool, int]], window: int) -> list[tuple[str, bool, int]]:
+    """(text, inside an article or main, length outside links), without boilerplate and long runs of links."""
+    out: list[tuple[str, bool, int]] = []
+    run = 0
+    for line, b, m, n in [*((x, b, m, n) for x, b, m, n in found if not b), ("", False, False, 1)]:
+        if n:
+            if run >= window:
+                del out[-run:]
+            run = 0
+        else:
+            run += 1
+        out.append((line, m, n))
+    return out[:-1]
+
+
+def main_text(html: str | None, window: int = WINDOW, share: float = SHARE, floor: float = FLOOR) -> str:
     """Text between the surge and dive points of the line-block distribution."""
-    found = lines(html or "")
-    has_main = any(m and not b for _, b, m in found)
-    size = [0 if b or has_main and not m else len(x) for x, b, m in found]
+    found = _without_boilerplate(lines(html or ""), window)
+    inner = sum(n for _, m, n in found if m)
+    wins = 2 * inner > sum(n for _, _, n in found)
+    size = [
+        0 if wins and not m else n * (SENTENCE if _SENTENCE_END.search(x) else 1) * (MAIN if wins else 1)
+        for x, m, n in found
+    ]
     total = [0]
     for n in size:
         total.append(total[-1] + n)
     block = [total[min(i + window, len(size))] - total[i] for i in range(len(size))]
-    floor = 0 if has_main else share * max(block, default=0)
-    kept, inside = [], False
-    for i, (line, _, _) in enumerate(found):
-        if not inside and block[i] > floor:
-            inside = True
-        elif inside and block[i] == 0:
-            inside = False
-        if inside and size[i]:
-            kept.append(line)
-    return " ".join(kept)
-
-
-def text_column(html: Column, window: int = WINDOW, share: float = SHARE) -> Column:
+    least = min(floor, share * max(block, default=0))
+    # Between surge and dive nothing is left out but what lies outside the winning element.
+    return " ".join(x for (x, m, _), n in zip(found, block) if n > least and (m or not wins))
+
+
+def text_column(html: Column, window: int = WINDOW, share: float = SHARE, floor: float = FLOOR) -> Column:
     @F.pandas_udf(T.StringType())
     def of(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in pages:
-            yield pd.Series([main_text(h, window, share) for h in batch], dtype=object)
+            yield pd.Series([main_text(h, window, share, floor) for h in batch], dtype=object)
 
     return of(html)
 

@@ -34,6 +34,19 @@ def test_main_text_by_distribution_alone():
     assert all(f"here {i}" in got for i in range(5)) and not got.startswith("Home")
 
 
+def test_markup_does_not_replace_the_distribution():
+    para = "<p>" + "Sentence of the article with many words. " * 6 + "</p>"
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Other story {i}</a></li>" for i in range(6)) + "</ul>"
+    got = lineblock.main_text(f"<article><h1>Title</h1>{para}{links}{para}<p>See <a href='/x'>this</a>.</p></article>")
+    assert got.startswith("Title Sentence") and got.endswith("See this.") and "Other story" not in got
+    # A teaser card is not the page's text.
+    got = lineblock.main_text(f"<article><h2>Teaser</h2><p>Short card.</p></article><div>{para * 4}</div>")
+    assert got.count("Sentence of the article") == 24
+    # A whole main element wins over unmarked text around it.
+    got = lineblock.main_text(f"<div>{para}</div><main>{para * 3}</main>")
+    assert got.count("Sentence of the article") == 18
+
+
 def test_extract_table(llm):
     pages = llm.createDataFrame(
         [(1, "u", "<p>a" + "é" * 100_000, "t"), (1, "u", None, "t"), (None, None, "<article>x</article>", "t")],
