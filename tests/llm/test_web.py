@@ -47,6 +47,17 @@ def test_markup_does_not_replace_the_distribution():
     assert got.count("Sentence of the article") == 18
 
 
+@pytest.mark.parametrize("gap", ["<div class='ad'><p>Buy</p><p>this</p><p>now</p><p>cheap</p></div>", ""])
+def test_one_long_paragraph_does_not_hide_the_rest(gap):
+    later = [f"Later paragraph number {i} with a few plain words in it." for i in range(4)]
+    html = f"<p>{'A long paragraph goes on. ' * 160}</p>{gap}" + "".join(f"<p>{x}</p>" for x in later)
+    links = "".join(f"<div>{x}</div>" for x in ("Home", "Terms", "Press", "Jobs"))
+    got = lineblock.main_text(html + links)
+    assert got.endswith(" ".join(later)) and "Buy" not in got
+    linked = "".join(f"<div><a href=/{i}>Linked page number {i} of this site</a></div>" for i in range(4))
+    assert lineblock.main_text(html + linked).endswith(later[-1])
+
+
 def test_extract_table(llm):
     pages = llm.createDataFrame(
         [(1, "u", "<p>a" + "é" * 100_000, "t"), (1, "u", None, "t"), (None, None, "<article>x</article>", "t")],
