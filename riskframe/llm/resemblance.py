@@ -36,7 +36,7 @@ import xxhash
 from riskframe.functions.staging import stage
 from riskframe.llm.components import components
 from riskframe.llm.simhash import BKTree, _Forest
-from riskframe.llm.text import free_name
+from riskframe.llm.text import only_rows, with_rows
 
 WORDS = 5
 BITS = 512
@@ -92,13 +92,6 @@ def sketch_of(shingles: np.ndarray) -> tuple[bytes, np.ndarray]:
     return wide, np.array(keys, dtype=np.uint64).astype(np.int64)
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs``, written once, with the key of each row (file and index) in a new column, its last."""
-    staged = stage(docs, "rows")
-    at = staged.metadataColumn("_metadata")
-    return staged.select("*", F.struct(at["file_name"].alias("f"), at["row_index"].alias("i")).alias(free_name(docs, "_row")))
-
-
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """From (doc_id, text, row): doc_id, row, key and size of the shingle set, sketch (binary) and
     bands (array of keys), one row per input row."""
@@ -296,14 +289,14 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", word
     return made.select("doc_id", "key").join(named, "key").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", words: int = WORDS,
+               radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id (columns unchanged).
 
-    Of several rows with that id one stays. Rows with a null id stay when their whole
-    group has no other id.
+    Rows are told apart by their place in a written copy, so null and repeated ids lose no
+    group: of several rows with the smallest id, or of a group without ids, one stays.
     """
-    found = groups(docs, doc_id, text_col, **options)
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    key = free_name(docs, "_lost")
-    kept = docs.join(lost.withColumnRenamed("doc_id", key), F.col(f"`{doc_id}`").eqNullSafe(F.col(key)), "left_anti")
-    return kept.dropDuplicates([doc_id])
+    rows = with_rows(docs)
+    row = rows.columns[-1]
+    slim = rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(row).alias("row"))
+    return only_rows(rows, _grouped(slim, words, radius, shard_rows)[1].select("first.row").distinct())

@@ -31,7 +31,7 @@ import xxhash
 
 from riskframe.functions.staging import stage
 from riskframe.llm.components import components
-from riskframe.llm.text import free_name
+from riskframe.llm.text import only_rows, with_rows
 
 WORDS = 3
 SEED = 42
@@ -225,33 +225,40 @@ def links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
     )
 
 
+def _named(prints: DataFrame, first: Column, radius: int, shard_rows: int) -> DataFrame:
+    """(fp, first) with the smallest ``first`` of each fingerprint's group."""
+    roots = components(links(prints, radius, shard_rows)).select(F.col("node").alias("fp"), "root")
+    own = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    own = stage(own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    least = own.groupBy("root").agg(F.min("first").alias("least"))
+    return own.join(least, "root").select("fp", F.col("least").alias("first"))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", words: int = WORDS,
            radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, fp (signed long) and component_id, one row per input row."""
     prints = stage(
         docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fp")), "fingerprints"
     )
-    roots = components(links(prints, radius, shard_rows)).select(F.col("node").alias("fp"), "root")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    first = stage(first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
-    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(first.join(least, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id"
-    )
+    named = _named(prints, F.col("doc_id"), radius, shard_rows)
+    return prints.join(named, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", words: int = WORDS,
+               radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id (columns unchanged).
 
-    Of several rows with that id one stays. Rows with a null id stay when their whole
-    group has no other id.
+    Rows are told apart by their place in a written copy, so null and repeated ids lose no
+    group: of several rows with the smallest id, or of a group without ids, one stays.
     """
-    found = groups(docs, doc_id, text_col, **options)
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    key = free_name(docs, "_lost")
-    kept = docs.join(lost.withColumnRenamed("doc_id", key), F.col(f"`{doc_id}`").eqNullSafe(F.col(key)), "left_anti")
-    return kept.dropDuplicates([doc_id])
+    rows = with_rows(docs)
+    prints = stage(rows.select(
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(rows.columns[-1]).alias("row"),
+        fingerprint(F.col(f"`{text_col}`"), words).alias("fp"),
+    ), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    return only_rows(rows, _named(prints, first, radius, shard_rows).select("first.row").distinct())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskframe.functions.staging import stage
 from riskframe.session import configure
 
 #: The white space that separates words (fixed values).
@@ -50,3 +51,17 @@ def free_name(df: DataFrame, base: str) -> str:
 def id_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id written as text; a null id counts as an empty one."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """``docs``, written once, with the key of each row (file and index) in a new column, its last."""
+    staged = stage(docs, "rows")
+    at = staged.metadataColumn("_metadata")
+    return staged.select("*", F.struct(at["file_name"].alias("f"), at["row_index"].alias("i")).alias(free_name(docs, "_row")))
+
+
+def only_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The ``rows`` of ``with_rows`` whose key is in ``kept`` (row), without the key."""
+    row = rows.columns[-1]
+    right = kept.select(F.col("row").alias(free_name(rows, "_kept")))
+    return rows.join(right, F.col(row) == F.col(right.columns[0]), "left_semi").drop(row)

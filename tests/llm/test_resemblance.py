@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from riskframe.llm import resemblance
+from riskframe.llm import resemblance, simhash
 
 
 def _bits(a, b):
@@ -125,3 +125,10 @@ def test_links_are_exact_at_the_threshold(make_docs):
     assert alike[:150] == [0.8] * 150 and max(alike[150:]) < 0.8
     got = {r.doc_id: r.component_id for r in resemblance.groups(make_docs(texts)).collect()}
     assert [got[2 * k] == got[2 * k + 1] for k in range(300)] == [True] * 150 + [False] * 150
+
+
+@pytest.mark.parametrize("search", [resemblance, simhash])
+def test_null_and_repeated_ids_lose_no_text(make_docs, search):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    kept = search.keep_first(make_docs([a, b, a, c, d, d, a, b], [5, 5, 1, None, None, None, None, 5]))
+    assert sorted((r.text[0], r.doc_id or 0) for r in kept.collect()) == [("a", 1), ("b", 5), ("c", 0), ("d", 0)]
