@@ -265,3 +265,23 @@ def test_lattice_operator(make_docs):
     back = {r.doc_id: r.text for r in lattice.decode(out).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
     assert lattice.encode(docs.where("1 = 0")).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["日本語の文章です中国人民", "QWxhZGRpbjpvcGVuIHNlc2FtZQ", "a"])
+def test_lattice_takes_texts_without_spaces(letters):
+    import random
+    import tracemalloc
+
+    lat = lattice.Lattice.load(lattice.MODEL)
+    rng = random.Random(4)
+    tracemalloc.start()
+    lat.search("".join(rng.choices(letters, k=8_000)), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    text = "".join(rng.choices(letters, k=100_000))
+    got = lat.encode(text, 4)
+    # The first has no piece of several characters, hence one segmentation.
+    assert len({g[1].tobytes() for g in got}) == len(got) == (1 if "日" in letters else 4)
+    assert [g[0] for g in got] == sorted((g[0] for g in got), reverse=True)
+    assert all(lat.decode(g[1].tolist()) == text for g in got)
