@@ -7,10 +7,14 @@ task writes to a name of its own and renames the finished file, so a repeated ta
 no half-written archive, and only archives named by finished tasks are read.
 
 Reading: the file is read in pieces. A member is accepted when it inflates to its end, its
-checksum holds, and the record in it has a version line, headers and as many block bytes as
-it states, with the stated digest. After a failed check the reader searches for the next
-member header or version line that leads to a valid record; the bytes skipped are logged
-as a quarantined gap. Records outside gzip members are recovered too.
+checksum holds, and the records in it have a version line, headers and as many block bytes as
+they state, with the stated digest: md5, sha1, sha256, sha384 or sha512, in base 16 or 32. A
+digest of another kind is not verified and the record accepted. After a failed check the reader
+searches for the next member header or version line that leads to a valid record; the bytes
+skipped are logged as a quarantined gap. A damaged member gives the records before the damage
+and, as far as it inflates, those after the next version lines inside it. Its other bytes are
+logged as a gap of inflated bytes inside it, and if it does not inflate to its end, the rest of
+its bytes in the file as one too. Records outside gzip members are recovered too.
 
 Null html counts as an empty payload, null urls are left out of the record and come back
 null. A null page_id comes back null; it never names a response that others revisit if the
@@ -19,6 +23,7 @@ group has other ids. Repeated pages (same id and payload) are all responses and
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 import hashlib
 import re
@@ -43,6 +48,7 @@ _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _READ = 1 << 20
 #: The longest header block taken for one; more means a false version line.
 _HEAD_LIMIT = 1 << 20
+_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 RECORD = "archive string, offset long, kind string, record_id string, page_id long, url string, refers_to string, " \
@@ -77,6 +83,23 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
+_DIGESTS = ("md5", "sha1", "sha256", "sha384", "sha512")
+
+
+def digest_holds(stated: str, block: bytes) -> bool | None:
+    """Whether a stated digest is the block's; None for an unknown algorithm or encoding."""
+    algorithm, _, value = stated.partition(":")
+    name, value = algorithm.strip().lower().replace("-", ""), value.strip()
+    if name not in _DIGESTS:
+        return None
+    own = hashlib.new(name, block, usedforsecurity=False).digest()
+    if len(value) == 2 * len(own):
+        return value.lower() == own.hex()
+    value = value.rstrip("=").upper()
+    b32 = base64.b32encode(own).decode().rstrip("=")
+    return value == b32 if len(value) == len(b32) else None
+
+
 def parse(raw: bytes, at: int = 0) -> tuple[dict | None, int]:
     """Record at ``at`` and the position after it; (None, reason code) when it fails."""
     if not raw.startswith((b"WARC/1.1\r\n", b"WARC/1.0\r\n"), at):
@@ -96,9 +119,11 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict | None, int]:
     block = raw[start:start + n]
     if len(block) < n or raw[start + n:start + n + 4] != b"\r\n\r\n":
         return None, 3
-    if "warc-block-digest" in head and head["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
+    holds = digest_holds(head.get("warc-block-digest", ""), block)
+    if holds is False:
         return None, 4
     body = block.find(b"\r\n\r\n")
+    head["verified"] = holds is True
     head["payload"] = block[body + 4:] if body >= 0 else block
     return head, start + n + 4
 
@@ -119,9 +144,14 @@ def salvage(read, size: int) -> Iterator[tuple[int, dict | None, int, str]]:
         if found:
             if gap < at:
                 yield gap, None, at - gap, reason
-            for r in found:
-                yield at, r, 0, ""
-            at = gap = after
+            for r, lost, why in found:
+                yield at, r, lost, why
+            gap = after
+            if code is None:
+                at = after
+                continue
+            # The break may lie behind the start of the next member.
+            reason, at = REASONS[code], _next_start(read, at + 1, size)
             continue
         reason = reason if gap < at else REASONS[code]
         at = _next_start(read, at + 1, size)
@@ -140,30 +170,73 @@ def _next_start(read, at: int, size: int) -> int:
     return size
 
 
-def _try(read, at: int, size: int) -> tuple[list[dict], int, int]:
-    """The records of a member, or the bare record, at ``at``."""
-    first = read(at, 1 << 16)
-    if first.startswith(b"\x1f\x8b\x08"):
-        z, out, pos, piece = zlib.decompressobj(31), [], at, first
+def _inflate(read, at: int, size: int, piece: bytes) -> tuple[bytes, int, str]:
+    """The bytes of the member at ``at`` as far as they inflate, the position after them, and
+    how it ended: "whole", "cut" (by the end of the file), "broken" or "checksum"."""
+    z, out, pos = zlib.decompressobj(31), [], at
+    while True:
+        before = z.copy()
+        try:
+            out.append(z.decompress(piece))
+        except zlib.error:
+            break
+        pos += len(piece)
+        if z.eof:
+            return b"".join(out), pos - len(z.unused_data), "whole"
+        if pos >= size:
+            return b"".join(out), size, "cut"
+        piece = read(pos, _READ)
+    # An error loses the output of its call, so the piece is taken again in ever smaller steps.
+    how = "broken"
+    for step in (4096, 64, 1):
         while True:
+            z = before.copy()
             try:
-                out.append(z.decompress(piece))
-            except zlib.error:
-                return [], at, 0
-            pos += len(piece)
-            if z.eof:
+                made = z.decompress(piece[:step])
+            except zlib.error as e:
+                how = "checksum" if "incorrect" in str(e) and "check" in str(e) and "header" not in str(e) else "broken"
                 break
-            if pos >= size:
-                return [], at, 0
-            piece = read(pos, _READ)
-        raw, inner, records = b"".join(out), 0, []
-        while inner < len(raw):
-            one, inner_or_code = parse(raw, inner)
-            if one is None:
-                return [], at, inner_or_code
-            records.append(one)
-            inner = inner_or_code
-        return records, pos - len(z.unused_data), 0
+            out.append(made)
+            before, piece, pos = z, piece[step:], pos + step
+    return b"".join(out), pos, how
+
+
+def _inside(raw: bytes, trusted: bool) -> tuple[list[tuple[dict | None, int, str]], int]:
+    """(record or None, gap bytes, reason) of a member's bytes in order, and the first reason code.
+
+    Only records with a verified digest count when the bytes are not ``trusted``.
+    """
+    inner = gap = 0
+    out, first = [], None
+    reason = ""
+    while inner < len(raw):
+        one, after = parse(raw, inner)
+        if one is not None and (trusted or one["verified"]):
+            if gap < inner:
+                out.append((None, inner - gap, reason))
+            out.append((one, 0, ""))
+            inner = gap = after
+            continue
+        code = 0 if one is not None else after
+        first = code if first is None else first
+        reason = reason if gap < inner else REASONS[code]
+        m = _VERSION_LINE.search(raw, inner + 1)
+        inner = m.start() if m else len(raw)
+    if gap < len(raw):
+        out.append((None, len(raw) - gap, reason))
+    return out, first or 0
+
+
+def _try(read, at: int, size: int) -> tuple[list[tuple[dict | None, int, str]], int, int | None]:
+    """(record or None, gap bytes, reason) of the member or bare record at ``at``, the position
+    after it, and a reason code if it is damaged there; an empty list if it holds no record."""
+    first = read(at, 1 << 16)
+    if first.startswith(b"\x1f\x8b\x08"):
+        raw, after, how = _inflate(read, at, size, first)
+        found, code = _inside(raw, how != "checksum")
+        if not any(r for r, _, _ in found):
+            return [], at, code if how == "whole" else 0
+        return found, after, None if how == "whole" else 0
     if first.startswith(b"WARC/1."):
         raw = first
         end = raw.find(b"\r\n\r\n")
@@ -177,7 +250,7 @@ def _try(read, at: int, size: int) -> tuple[list[dict], int, int]:
         if need > size - at:
             return [], at, 3
         one, after = parse(raw if len(raw) >= need else read(at, need))
-        return ([one], at + after, 0) if one else ([], at, after)
+        return ([(one, 0, "")], at + after, None) if one else ([], at, after)
     return [], at, 1
 
 

@@ -1,6 +1,8 @@
 """Main-text extraction and archives."""
 
+import base64
 import hashlib
+import random
 
 import pytest
 
@@ -120,12 +122,52 @@ def test_salvage_skips_damage(compress):
                     (start + len(parts[2]) + len(parts[3]) - 30 + len(parts[4]), 9), (len(raw) - 4, 4)]
 
 
+@pytest.mark.parametrize("digest,ids", [
+    (lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode(), [0]),
+    (lambda b: "SHA-256:" + hashlib.sha256(b).hexdigest().upper(), [0]),
+    (lambda b: "blake3:abc", [0]), (lambda b: "sha1:" + "A" * 32, []), (lambda b: "md5:" + "0" * 32, []),
+])
+def test_salvage_checks_digests_by_their_algorithm(digest, ids):
+    raw = archive(1, compress=False)[0]
+    block = raw.split(b"\r\n\r\n", 1)[1][:-4]
+    own = b"sha256:" + hashlib.sha256(block).hexdigest().encode()
+    assert own in raw
+    assert salvage(warc.member(raw.replace(b"Block-Digest: " + own, b"Block-Digest: " + digest(block).encode())))[0] == ids
+
+
+def test_salvage_inside_a_member():
+    rng = random.Random(2)
+    parts = []
+    for i in range(60):
+        payload = rng.randbytes(3_000)
+        parts.append(warc.record(i, "u", payload, hashlib.sha256(payload).hexdigest(), f"<urn:uuid:{i}>", None))
+    bad = bytearray(b"".join(parts))
+    at = len(b"".join(parts[:20])) + 2_000
+    bad[at] ^= 0xFF
+    # One bad record in a sound member.
+    found = list(warc.salvage(lambda o, n: raw[o:o + n], len(raw := warc.member(bytes(bad)))))
+    assert [int(r["page-id"]) for _, r, _, _ in found if r] == [i for i in range(60) if i != 20]
+    assert [(gap, why) for _, r, gap, why in found if not r] == [(len(parts[20]), "digest differs")]
+    # A flipped byte, a cut and a spoilt stretch of the compressed bytes, each before a sound member.
+    whole, last = warc.member(b"".join(parts)), archive(100)[99]
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 0xFF
+    spoilt = bytearray(whole)
+    spoilt[len(whole) // 2:len(whole) // 2 + 500] = b"\xff" * 500
+    for damaged in (bytes(flipped), whole[:len(whole) // 2], bytes(spoilt)):
+        ids, gaps = salvage(damaged + last)
+        assert ids[:25] == list(range(25)) and ids[-1] == 99 and len(ids) == len(set(ids)) and gaps
+    assert salvage(whole[:-3])[0] == list(range(60))
+
+
 def test_salvage_mixed_and_lost(llm):
     a, b = archive(3), archive(3, compress=False)
     ids, gaps = salvage(a[0] + b[1] + a[2])
     assert ids == [0, 1, 2] and gaps == []
     assert salvage(b"\x1f\x8b\x08" * 100) == ([], [(0, 300)])
     assert salvage(b"") == ([], [])
+    empty = warc.member(b"")
+    assert salvage(a[0] + empty + a[1]) == ([0, 1], [(len(a[0]), len(empty))])
 
 
 def test_salvage_of_written_archives(llm, tmp_path):
