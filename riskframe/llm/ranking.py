@@ -7,7 +7,8 @@ all training labels. ``score`` is the logistic of the distance to that cut, shif
 the cut itself is ``CUT`` (0.3): a document is accepted when its score is CUT or more.
 
 The fit uses a bounded sample, the ``per_class`` documents of each label with the smallest
-hash of their id, and at most ``max_pairs`` pairs. Scoring covers every whole text.
+hash of their id, and at most ``max_pairs`` pairs. The cut is exact over all labelled documents,
+in or out of the sample. Scoring covers every whole text.
 
 Null texts count as empty; empty texts get the score of their (zero) features. Repeated
 rows get equal scores, tied hashes of ids are broken by the id. With one label or none
@@ -18,7 +19,7 @@ id are not learned from. Only text is an input of the score.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 import math
 
@@ -26,6 +27,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from riskframe.functions.quantiles import exact_quantiles
+from riskframe.functions.staging import stage
+
 CUT = 0.3
 PER_CLASS = 8_000
 MAX_PAIRS = 120_000
@@ -95,15 +99,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text_col: st
     rows = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where(
         F.col("i").isNotNull() & F.col("y").isin(0, 1)
     )
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     key = F.xxhash64(F.col("i"))
     chosen = reduce(DataFrame.unionByName, [
         rows.where(F.col("y") == y).dropDuplicates(["i"]).orderBy(key, "i").limit(per_class) for y in (0, 1)
     ])
+    texts = docs.select(F.col(doc_id).alias("i"), F.col(text_col).alias("t"))
+    vector = stage(
+        texts.join(rows.dropDuplicates(["i", "y"]), "i").select("i", "y", feature_column(F.col("t")).alias("x")), "features"
+    )
     # At most 2 * per_class rows, so the broadcast is bounded.
-    found = docs.select(F.col(doc_id).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")
-    vector = found.select("i", "y", feature_column(F.col("t")).alias("x"))
-    sample = vector.orderBy(key, "i", "y", "x").limit(2 * per_class).collect()
+    sample = vector.join(F.broadcast(chosen), ["i", "y"]).orderBy(key, "i", "y", "x").limit(2 * per_class).collect()
     width = len(FEATURES)
     if len({r["y"] for r in sample}) < 2:
         return RankModel((0.0,) * width, (1.0,) * width, (0.0,) * width, 0.0)
@@ -117,14 +122,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text_col: st
     # Each document of either class takes part equally often.
     turns = lambda a: np.concatenate([rng.permutation(a) for _ in range(-(-n // len(a)))])[:n]
     w = fit_pairs(z[turns(good)] - z[turns(bad)])
-    s = z @ w
-    weight = np.where(y == 1, counts[1] / len(good), counts[0] / len(bad))
-    order = np.argsort(s)
-    upto = np.cumsum(weight[order])
-    at = int(np.searchsorted(upto, counts[0] * (1 - 1e-9)))
-    after = min(at + 1, len(s) - 1)
-    cut = (s[order[at]] + s[order[after]]) / 2
-    return RankModel(tuple(mean), tuple(scale), tuple(w), float(cut))
+    model = RankModel(tuple(mean), tuple(scale), tuple(w), 0.0)
+    margins = vector.select("y", margin_column(F.col("x"), model).alias("s"))
+    counts = {r["y"]: r["n"] for r in vector.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # Half-way between the last rank of label 0's share and the next.
+    share = (counts[0] - 0.5) / (counts[0] + counts[1] - 1)
+    return replace(model, cut=float(exact_quantiles(margins, ["s"], [share]).first()["q"][0]))
+
+
+def margin_column(x: Column, model: RankModel) -> Column:
+    @F.pandas_udf(T.DoubleType())
+    def of(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.margins(np.array(rows.tolist()).reshape(-1, len(FEATURES))))
+
+    return of(x)
 
 
 def feature_column(text: Column) -> Column:

@@ -285,3 +285,16 @@ def test_lattice_takes_texts_without_spaces(letters):
     assert len({g[1].tobytes() for g in got}) == len(got) == (1 if "日" in letters else 4)
     assert [g[0] for g in got] == sorted((g[0] for g in got), reverse=True)
     assert all(lat.decode(g[1].tolist()) == text for g in got)
+
+
+def test_rank_cut_covers_labels_outside_the_sample(make_docs, llm):
+    import random
+
+    rng = random.Random(6)
+    y = [int(rng.random() < 0.6) for _ in range(400)]
+    texts = [" ".join(rng.choice(["word", "Word,", "x#", "9", "text."][rng.randrange(2) * (1 - v):]) for _ in range(rng.randrange(5, 60))) for v in y]
+    labels = llm.createDataFrame(list(enumerate(y)), "doc_id long, quality int")
+    model = ranking.fit(make_docs(texts), labels, per_class=15)
+    s = np.sort(model.margins(np.array([ranking.features(t) for t in texts])))
+    n = y.count(0)
+    assert abs(model.cut - (s[n - 1] + s[n]) / 2) < 1e-9
