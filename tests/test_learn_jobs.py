@@ -168,3 +168,18 @@ def test_retraining_waits_for_enough_rows(spark, tmp_path):
     assert seen == [130]
     arrive(130, 150, "c")
     assert seen == [130]
+
+
+def test_importance_forest_is_not_cut_at_depth_12(spark, sf, monkeypatch):
+    from riskframe.catalog import learning
+    from riskframe.operators import learn
+
+    fit, seen = learn.fit_forest, []
+
+    def kept(*args):
+        seen.append(fit(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(learning.learn, "fit_forest", kept)
+    learning.h1(spark, sf).collect()
+    assert 12 < max(t.depth for t in seen[0].model.stages[-1].trees) <= 30
