@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.catalog.registry import query
-from riskframe.llm import chat, decontam, deleted_lm, lattice, lineblock, linerules, ranking, ring, simhash, warc
+from riskframe.llm import (
+    chat, decontam, deleted_lm, lattice, lineblock, linerules, merkle, permuterm, ppm, ranking, ring, simhash, warc,
+)
 from riskframe.llm.text import id_crc, session
 
 
@@ -157,3 +159,87 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_nbest_pieces")
 def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.digest(lattice.encode(table(spark, sf_dir, "documents")))
+
+
+@query("op11_ppm_language")
+def op11_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(id_crc(), F.lit(4)) == 2
+    model = ppm.fit(docs.where(~held_out))
+    guess = docs.select("doc_id", held_out.alias("held_out"), ppm.predict(F.col("text"), model).alias("guess"))
+    return guess.select("doc_id", "held_out", "guess.lang_pred", "guess.score")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda b: CAST(ord(b) AS BIGINT))), lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS k FROM documents),
+t AS (SELECT doc_id, lang, source, text, n_chars,
+    CASE WHEN xor(k, 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS m_chars FROM c),
+f AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+      || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(text) || ':' || text, '-') AS z FROM t),
+leaf AS (SELECT doc_id, lang, sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || z) AS h,
+    sha256(a || coalesce(strlen(CAST(m_chars AS VARCHAR)) || ':' || m_chars, '-') || z) AS th FROM f),
+langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents)),
+placed AS (SELECT doc_id, g, h, th, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+    count(*) OVER (PARTITION BY g) AS n FROM leaf JOIN langs ON leaf.lang IS NOT DISTINCT FROM langs.lang),
+low(g, lvl, i, n, h) AS (SELECT g, 0, i, n, h FROM placed
+  UNION ALL SELECT g, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY g, lvl, n, i // 2),
+sub AS (SELECT g, h, count(*) OVER () AS n FROM low WHERE n = 1),
+high(lvl, i, n, h) AS (SELECT 0, g, n, h FROM sub
+  UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY lvl, n, i // 2),
+steps AS (
+  SELECT placed.doc_id, placed.h, lvl, low.h AS s, low.i % 2 = 0 AS on_left
+  FROM placed JOIN low ON low.g = placed.g AND xor(low.i, 1) = placed.i // (1 << lvl) AND low.n > 1
+  UNION ALL SELECT placed.doc_id, placed.h, 100 + lvl, high.h, high.i % 2 = 0
+  FROM placed JOIN high ON xor(high.i, 1) = placed.g // (1 << lvl) AND high.n > 1),
+proof AS (SELECT doc_id, sha256(string_agg(s, '' ORDER BY lvl)) AS d FROM steps GROUP BY doc_id),
+levels AS (SELECT g, lvl FROM low WHERE n > 1 GROUP BY g, lvl UNION ALL SELECT g, 100 + lvl FROM langs, high WHERE n > 1 GROUP BY g, lvl),
+numbered AS (SELECT g, lvl, row_number() OVER (PARTITION BY g ORDER BY lvl) - 1 AS k FROM levels),
+walk AS (SELECT placed.doc_id, k, s, on_left FROM placed JOIN numbered USING (g) LEFT JOIN steps ON steps.doc_id = placed.doc_id AND steps.lvl = numbered.lvl),
+folded(doc_id, k, h) AS (SELECT doc_id, CAST(0 AS BIGINT), th FROM placed
+  UNION ALL SELECT folded.doc_id, folded.k + 1, sha256(CASE WHEN s IS NULL THEN h WHEN on_left THEN s || h ELSE h || s END)
+  FROM folded JOIN walk USING (doc_id, k)),
+last AS (SELECT doc_id, max_by(h, k) AS r FROM folded GROUP BY doc_id)
+SELECT placed.doc_id, placed.h AS leaf, sub.h AS subroot, root.h AS root, coalesce(d, sha256('')) AS proof_sha256,
+  r AS folded_root, r = root.h AS verified
+FROM placed JOIN sub USING (g) JOIN (SELECT h FROM high WHERE n = 1) AS root ON true
+JOIN last USING (doc_id) LEFT JOIN proof USING (doc_id)
+"""
+
+
+@query("op12_merkle_multiproof", OP12_SQL)
+def op12_merkle_multiproof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
+OP13_SQL = r"""
+WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents),
+lowered AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM runs WHERE length(r) >= 7 GROUP BY ALL),
+hexed AS (SELECT w, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM lowered),
+hashed AS (SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x), 2),
+    lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+    lambda c, d: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295) AS h FROM hexed),
+slipped AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS g FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.g = b.g AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM gaps a JOIN v ON v.word = a.g
+  UNION SELECT v.word, a.word, a.n FROM gaps a JOIN v ON v.word = a.g),
+best AS (SELECT word, count(*) AS n_near, max(n) AS m FROM near GROUP BY word),
+named AS (SELECT best.word, n_near, m, min(other) AS f FROM best JOIN near ON near.word = best.word AND near.n = best.m GROUP BY ALL),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN f END AS form,
+    CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN named USING (word)),
+chain AS (SELECT a.word, coalesce(d.form, c.form, b.form, a.form, a.word) AS root FROM forms a
+  LEFT JOIN forms b ON b.word = a.form LEFT JOIN forms c ON c.word = b.form LEFT JOIN forms d ON d.word = c.form)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word)
+"""
+
+
+@query("op13_permuterm_variants", OP13_SQL)
+def op13_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.variants(table(spark, sf_dir, "documents"))
