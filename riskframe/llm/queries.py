@@ -104,19 +104,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def rank_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> ranking.RankModel:
-    """Fitted on the labels whose documents are not held out."""
-    labels = table(spark, sf_dir, "labels").where(F.pmod(id_crc(), F.lit(5)) != 0)
-    return ranking.fit(docs, labels)
+def rank_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels whose documents are not held out."""
+    return table(spark, sf_dir, "labels").where(F.pmod(id_crc(), F.lit(5)) != 0)
 
 
 @query("op1_bradley_terry")
 def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = rank_model(spark, sf_dir, docs)
-    scored = docs.select(
-        "doc_id", (F.pmod(id_crc(), F.lit(5)) == 0).alias("held_out"),
-        ranking.score(F.col("text"), model).alias("score"),
+    made = ranking.vectors(table(spark, sf_dir, "documents"))
+    model = ranking.fit_vectors(made, rank_labels(spark, sf_dir))
+    scored = made.select(
+        F.col("i").alias("doc_id"), (F.pmod(id_crc("i"), F.lit(5)) == 0).alias("held_out"),
+        ranking.score_vector(F.col("x"), model).alias("score"),
     )
     return scored.select("*", (F.col("score") >= ranking.CUT).cast("int").alias("predicted"))
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, replace
-from functools import reduce
 import math
 
 import numpy as np
@@ -96,19 +95,24 @@ def fit_pairs(diff: np.ndarray, l2: float = 1e-3, steps: int = 30) -> np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text_col: str = "text", label: str = "quality",
         per_class: int = PER_CLASS, max_pairs: int = MAX_PAIRS, seed: int = 7) -> RankModel:
     """Fit on ``labels`` (the rows to learn from) joined to ``docs``."""
-    rows = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where(
+    return fit_vectors(vectors(docs, doc_id, text_col), labels, doc_id, label, per_class, max_pairs, seed)
+
+
+def vectors(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(i, x): id and features of every document, written once, so that labels meet vectors and not texts."""
+    made = docs.select(F.col(f"`{doc_id}`").alias("i"), feature_column(F.col(f"`{text_col}`")).alias("x"))
+    return stage(made, "features")
+
+
+def fit_vectors(made: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality",
+                per_class: int = PER_CLASS, max_pairs: int = MAX_PAIRS, seed: int = 7) -> RankModel:
+    """Fit on ``labels`` joined to ``made``, as ``vectors`` gives it. Labels without a document do not count."""
+    rows = labels.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where(
         F.col("i").isNotNull() & F.col("y").isin(0, 1)
     )
+    vector = stage(made.join(rows.dropDuplicates(["i", "y"]), "i").select("i", "y", "x"), "labelled")
     key = F.xxhash64(F.col("i"))
-    chosen = reduce(DataFrame.unionByName, [
-        rows.where(F.col("y") == y).dropDuplicates(["i"]).orderBy(key, "i").limit(per_class) for y in (0, 1)
-    ])
-    texts = docs.select(F.col(doc_id).alias("i"), F.col(text_col).alias("t"))
-    vector = stage(
-        texts.join(rows.dropDuplicates(["i", "y"]), "i").select("i", "y", feature_column(F.col("t")).alias("x")), "features"
-    )
-    # At most 2 * per_class rows, so the broadcast is bounded.
-    sample = vector.join(F.broadcast(chosen), ["i", "y"]).orderBy(key, "i", "y", "x").limit(2 * per_class).collect()
+    sample = [r for y in (0, 1) for r in vector.where(F.col("y") == y).orderBy(key, "i", "x").limit(per_class).collect()]
     width = len(FEATURES)
     if len({r["y"] for r in sample}) < 2:
         return RankModel((0.0,) * width, (1.0,) * width, (0.0,) * width, 0.0)
@@ -138,6 +142,15 @@ def margin_column(x: Column, model: RankModel) -> Column:
     return of(x)
 
 
+def score_vector(x: Column, model: RankModel) -> Column:
+    """Score column of a column of features."""
+    @F.pandas_udf(T.DoubleType())
+    def of(rows: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(np.array(rows.tolist()).reshape(-1, len(FEATURES))))
+
+    return of(x)
+
+
 def feature_column(text: Column) -> Column:
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def of(texts: pd.Series) -> pd.Series:

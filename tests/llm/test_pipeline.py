@@ -5,11 +5,11 @@ import pytest
 import corpus_pipeline
 from riskframe.catalog.registry import ORACLES, QUERIES
 from riskframe.llm import decontam, lattice, linerules, ranking, resemblance
-from riskframe.llm.queries import rank_model
+from riskframe.llm.queries import rank_labels
 from tests.oracle_check import connect, differences
 
 
-@pytest.mark.parametrize("name", ["op2_chat_format", "op6_line_rules", "op10_decontaminate"])
+@pytest.mark.parametrize("name", ["op2_chat_format", "op6_line_rules", "op10_decontaminate", "op12_merkle_multiproof", "op13_permuterm_variants"])
 def test_query_matches_sql(spark, sf, name):
     assert differences(QUERIES[name](spark, sf), connect(sf), ORACLES[name]) == []
 
@@ -25,7 +25,7 @@ def test_stages(spark, sf):
         if step is corpus_pipeline.quality_rules:
             assert ids == {r.id for r in linerules.measure(want).where("kept").collect()}
         elif step is corpus_pipeline.quality_classifier:
-            model = rank_model(spark, sf, docs)
+            model = ranking.fit(docs, rank_labels(spark, sf))
             assert ids == {i for i, r in have.items() if model.scores(__import__("numpy").array([ranking.features(r.text)]))[0] >= ranking.CUT}
         elif step is corpus_pipeline.near_duplicates:
             sets = {i: set(resemblance.shingles_of(r.text).tolist()) for i, r in have.items()}
