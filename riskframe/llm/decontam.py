@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.staging import stage
-from riskframe.llm.text import free_name, shingle_hashes, words
+from riskframe.llm.text import select_rows, shingle_hashes, with_rows, words
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -97,8 +97,14 @@ def _verified(texts: DataFrame, signed: DataFrame, width: int, small: bool) -> D
     )
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; columns unchanged."""
-    key = free_name(docs, "_leaked")
-    leaked = leaks(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(leaked, F.col(f"`{doc_id}`").eqNullSafe(F.col(key)), "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", scanned: bool = False, **options) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; columns unchanged.
+
+    Each row is judged by its own text, whatever its id. Rows are told apart by their place in
+    a written table (``docs`` itself if it is ``scanned``), and only the places of leaks move.
+    """
+    rows = with_rows(docs, scanned)
+    row = rows.columns[-1]
+    slim = rows.select(F.col(row).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    leaked = leaks(slim, items, doc_id="row", text_col="text", **options)
+    return select_rows(rows, leaked.select(F.col("doc_id").alias("row")), False).drop(row)

@@ -14,9 +14,10 @@ and closer pairs more rarely. Within a shard the links are those of a BK-tree wh
 are keyed by their Hamming distance to the parent. A shard above ``shard_rows`` is cut into
 blocks, and every pair of blocks is one task's cell of bounded size, so no pair is left out.
 
-The components of the proposed links are cut into cells in the same way, by rows and by
-shingles. A cell reads the texts of its members and keeps a spanning forest of the pairs
-within the radius that reach the similarity; the components of these forests are the groups.
+The members of a proposed component are compared with one leader first, in cells bounded by rows
+and by shingles. Members that do not link to it are compared with all others, block by block. A cell
+reads the texts of its members and keeps a spanning forest of the pairs within the radius that reach
+the similarity; the components of these forests are the groups.
 
 Texts of fewer than five words count as one shingle. Null and blank texts have the empty
 set and are copies of each other. Texts with equal sets are merged before the search. Ties:
@@ -30,13 +31,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 import xxhash
 
 from riskframe.functions.staging import stage
 from riskframe.llm.components import components
 from riskframe.llm.simhash import BKTree, _Forest
-from riskframe.llm.text import only_rows, with_rows
+from riskframe.llm.text import select_rows, with_rows
 
 WORDS = 5
 BITS = 512
@@ -47,7 +48,7 @@ BANDS = 20
 ROWS = 4
 SHARD_ROWS = 2_048
 #: Members of a block whose texts are compared, and the shingles they may hold together.
-CONFIRM_ROWS = 1_024
+CONFIRM_ROWS = 256
 CONFIRM_SHINGLES = 1 << 20
 _BLOCK = 255 * 4
 _LANES = BITS // 64
@@ -197,13 +198,13 @@ def similar(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iterator[pa.RecordBatch]:
-    """Links of cells (root, i, j, own, key, sketch, text), which arrive sorted."""
-    cell, own, keys, values, sets = None, [], [], [], []
+    """Links between the two sides of cells (root, low, high, side, key, sketch, text), which arrive sorted."""
+    cell, sides, keys, values, sets = None, [], [], [], []
 
     def close() -> Iterator[pa.RecordBatch]:
         if len(keys) > 1:
-            o = np.array(own)
-            links = cell_links(values, o == cell[1], o == cell[2], radius, keys, similar(sets))
+            o = np.array(sides)
+            links = cell_links(values, o == 1, o == 2, radius, keys, similar(sets))
             if links:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"]
@@ -211,40 +212,76 @@ def _confirm(batches: Iterator[pa.RecordBatch], radius: int, words: int) -> Iter
 
     for batch in batches:
         for row in range(batch.num_rows):
-            *at, block, key, value, text = [c[row].as_py() for c in batch.columns]
+            *at, side, key, value, text = [c[row].as_py() for c in batch.columns]
             if at != cell:
                 yield from close()
-                cell, own, keys, values, sets = at, [], [], [], []
-            own.append(block)
+                cell, sides, keys, values, sets = at, [], [], [], []
+            sides.append(side)
             keys.append(key)
             values.append(value)
             sets.append(shingles_of(text, words))
     yield from close()
 
 
+def _blocks(rows: Column, shingles: Column, most: int) -> Column:
+    """No more blocks than members: a block of one long text is as small as it gets."""
+    wanted = F.ceil(F.greatest(rows / F.lit(most), shingles / F.lit(CONFIRM_SHINGLES), F.lit(1.0)))
+    return F.least(wanted, rows).cast("int")
+
+
+def _compared(cells: DataFrame, words: int, radius: int) -> DataFrame:
+    key = ["near", "low", "high"]
+    return stage(
+        cells.select(*key, "side", "key", "sketch", "text").repartition(*key).sortWithinPartitions(*key)
+        .mapInArrow(lambda batches: _confirm(batches, radius, words), "a binary, b binary"), "confirmed",
+    )
+
+
 def confirmed(nodes: DataFrame, texts: DataFrame, words: int = WORDS, radius: int = RADIUS,
               shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Spanning links (a, b) between the keys of ``nodes`` whose texts have similar shingle sets."""
+    """Spanning links (a, b) between the keys of ``nodes`` whose texts have similar shingle sets.
+
+    Every member of a proposed component is first compared with one leader. Only members that do
+    not link to it are compared with all others, block by block.
+    """
     near = components(links(nodes, radius, shard_rows)).select(F.col("node").alias("sketch"), F.col("root").alias("near"))
-    rows = nodes.select("key", "sketch", "size", F.col("first.row.f").alias("f"), F.col("first.row.i").alias("i"))
+    rows = nodes.select("key", "sketch", "size", F.col("first.row").alias("row"))
     rows = stage(rows.join(near, "sketch", "left").withColumn("near", F.coalesce("near", "sketch")), "near")
-    sizes = rows.groupBy("near").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
-    most = F.least(F.lit(shard_rows), F.lit(CONFIRM_ROWS))
-    blocks = F.ceil(F.greatest(F.col("n") / most, F.col("shingles") / F.lit(CONFIRM_SHINGLES), F.lit(1.0)))
-    # No more blocks than members: a block of one long text is as small as it gets.
-    sizes = stage(sizes.select("near", F.least(blocks, F.col("n")).cast("int").alias("blocks")), "near_sizes")
-    members = stage(rows.join(sizes, "near").select("near", "blocks", "key", "sketch", "f", "i"), "members")
-    found = texts.select("text", F.col("row.f").alias("f"), F.col("row.i").alias("i")).join(members, ["f", "i"])
-    key = ["near", "low", "high"]
-    cells = (
-        found.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        .select("near", "key", "sketch", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("near", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "sketch", "text")
-    )
-    return (
-        cells.repartition(*key).sortWithinPartitions(*key)
-        .mapInArrow(lambda batches: _confirm(batches, radius, words), "a binary, b binary")
-    )
+    most = min(shard_rows, CONFIRM_ROWS)
+    sizes = rows.groupBy("near").agg(
+        F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("key").alias("leader")).where("n > 1")
+    sizes = sizes.select("near", "n", "leader", _blocks(F.col("n"), F.col("shingles"), most).alias("blocks"))
+    members = stage(rows.join(stage(sizes, "near_sizes"), "near"), "members")
+    # Only the members' texts move.
+    held = select_rows(texts, members.select("row"), True)
+    held = held.select("text", F.col(held.columns[-1]).alias("row"))
+    found = stage(held.select("text", F.col("row.f").alias("f"), F.col("row.i").alias("i")).join(
+        members.select("*", F.col("row.f").alias("f"), F.col("row.i").alias("i")).drop("row"), ["f", "i"]), "member_texts")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    leads = F.col("key") == F.col("leader")
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    with_leader = found.select(
+        "*", F.when(leads, 1).otherwise(2).alias("side"), F.explode(F.when(leads, everywhere).otherwise(F.array(block))).alias("low"),
+    ).withColumn("high", F.lit(-1))
+    linked = _compared(with_leader, words, radius)
+    joined = linked.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # In a component of two the leader has met the only other member.
+    rest = found.where(~leads & (F.col("n") > 2)).join(joined, "key", "left_anti")
+    rest = stage(rest.select("near", "key", "size", "blocks"), "rest")
+    if rest.isEmpty():
+        return linked
+    few = rest.groupBy("near").agg(F.count("*").alias("r"), F.sum("size").alias("s"))
+    few = stage(few.select("near", _blocks(F.col("r"), F.col("s"), most).alias("parts")), "rest_sizes")
+    again = rest.select("key", F.lit(True).alias("is_rest"))
+    cells = found.join(few, "near").join(again, "key", "left")
+    part = F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int")
+    parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    here = lambda side, low, high: F.struct(F.lit(side).alias("side"), low.alias("low"), high.alias("high"))
+    as_any = F.transform(parts, lambda p: here(2, p, block))
+    as_rest = F.transform(everywhere, lambda b: here(1, part, b))
+    cells = cells.select("near", "key", "sketch", "text", F.inline(
+        F.when(F.col("is_rest"), F.concat(as_rest, as_any)).otherwise(as_any)))
+    return linked.unionByName(_compared(cells, words, radius))
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -290,13 +327,16 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", word
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", words: int = WORDS,
-               radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+               radius: int = RADIUS, shard_rows: int = SHARD_ROWS, scanned: bool = False) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest id (columns unchanged).
 
-    Rows are told apart by their place in a written copy, so null and repeated ids lose no
-    group: of several rows with the smallest id, or of a group without ids, one stays.
+    Rows are told apart by their place in a written table (``docs`` itself if it is ``scanned``), so
+    null and repeated ids lose no group: of several rows with the smallest id, or of a group
+    without ids, one stays.
     """
-    rows = with_rows(docs)
+    rows = with_rows(docs, scanned)
     row = rows.columns[-1]
     slim = rows.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(row).alias("row"))
-    return only_rows(rows, _grouped(slim, words, radius, shard_rows)[1].select("first.row").distinct())
+    made, named = _grouped(slim, words, radius, shard_rows)
+    dropped = made.select("key", "row").join(named, "key").where("row <> first.row").select("row")
+    return select_rows(rows, dropped, False).drop(row)

@@ -31,7 +31,7 @@ import xxhash
 
 from riskframe.functions.staging import stage
 from riskframe.llm.components import components
-from riskframe.llm.text import only_rows, with_rows
+from riskframe.llm.text import select_rows, with_rows
 
 WORDS = 3
 SEED = 42
@@ -261,4 +261,5 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text",
         fingerprint(F.col(f"`{text_col}`"), words).alias("fp"),
     ), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    return only_rows(rows, _named(prints, first, radius, shard_rows).select("first.row").distinct())
+    kept = _named(prints, first, radius, shard_rows).select("first.row").distinct()
+    return select_rows(rows, kept, True).drop(rows.columns[-1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskframe.functions.staging import stage
@@ -53,15 +54,50 @@ def id_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs``, written once, with the key of each row (file and index) in a new column, its last."""
-    staged = stage(docs, "rows")
-    at = staged.metadataColumn("_metadata")
-    return staged.select("*", F.struct(at["file_name"].alias("f"), at["row_index"].alias("i")).alias(free_name(docs, "_row")))
+def with_rows(docs: DataFrame, scanned: bool = False) -> DataFrame:
+    """``docs`` with the key of each row (file and index) in a new column, its last.
 
+    ``scanned`` says that ``docs`` is a scan of a written table, whose own rows then give the keys;
+    anything else is written once.
+    """
+    name = free_name(docs, "_row")
+    for source in ([docs] if scanned else []) + [None]:
+        try:
+            source = stage(docs, "rows") if source is None else source
+            at = source.metadataColumn("_metadata")
+            return source.select("*", F.struct(at["file_path"].alias("f"), at["row_index"].alias("i")).alias(name))
+        except AnalysisException:
+            if not scanned:
+                raise
+            scanned = False
+    raise AssertionError("a written table has rows")
 
-def only_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The ``rows`` of ``with_rows`` whose key is in ``kept`` (row), without the key."""
+
+#: Bitmaps of rows are broadcast up to this size, else joined by their key. One of 4 KiB covers up to 32,768 rows of a file.
+BITMAP_BYTES = 128 << 20
+_BITMAP = 4_096 + 200
+
+
+def select_rows(rows: DataFrame, keys: DataFrame, keep: bool) -> DataFrame:
+    """The ``rows`` of ``with_rows`` whose key is in ``keys`` (row), or with ``keep`` false is not.
+
+    The keys become a bitmap for each stretch of a file, one bit a row, so that the rows themselves
+    need no shuffle while all bitmaps together are below BITMAP_BYTES.
+    """
     row = rows.columns[-1]
-    right = kept.select(F.col("row").alias(free_name(rows, "_kept")))
-    return rows.join(right, F.col(row) == F.col(right.columns[0]), "left_semi").drop(row)
+    f, bucket, bits = (free_name(rows, n) for n in ("_file", "_bucket", "_bits"))
+    at = F.col("row.i") + 1
+    maps = stage(
+        keys.groupBy(F.col("row.f").alias(f), F.bitmap_bucket_number(at).alias(bucket))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits)), "row_bitmaps",
+    )
+    small = maps.count() * _BITMAP <= BITMAP_BYTES
+    here = F.col(row)["i"] + 1
+    joined = rows.join(
+        F.broadcast(maps) if small else maps,
+        (F.col(row)["f"] == F.col(f)) & (F.bitmap_bucket_number(here) == F.col(bucket)), "inner" if keep else "left",
+    )
+    place = F.bitmap_bit_position(here)
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return joined.where(is_set if keep else ~is_set).select(*[F.col(f"`{c}`") for c in rows.columns])

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, decontam, linerules
+from riskframe.llm import chat, decontam, linerules, text
 
 TURNS = "conv_id long, turn long, role string, text string, transcript string, e string"
 
@@ -146,3 +146,29 @@ def test_drop_leaks(llm, make_docs):
     assert decontam.drop_leaks(docs, items.where("1 = 0")).count() == 4
     assert decontam.drop_leaks(docs.where("1 = 0"), items).count() == 0
     assert decontam.leaks(docs, items).agg(F.max("containment")).first()[0] == 1.0
+
+
+def test_drop_leaks_by_row(llm, make_docs):
+    """Repeated and null ids: only the rows that leak go."""
+    item = "one two three four five six seven eight nine ten"
+    items = llm.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [f"before {item} after", "clean text", f"x {item}", "clean too", "clean", None, ""]
+    docs = make_docs(texts, [1, 1, None, None, None, 2, 2])
+    kept = [r["text"] for r in decontam.drop_leaks(docs, items).collect()]
+    assert sorted(kept, key=str) == sorted(["clean text", "clean too", "clean", None, ""], key=str)
+    assert decontam.drop_leaks(docs, items).columns == docs.columns
+
+
+def test_select_rows_by_bitmap(llm, tmp_path, monkeypatch):
+    llm.range(100_000).selectExpr("id", "id AS _row", "id AS _bits").repartition(3).write.parquet(str(tmp_path / "t"))
+    docs = llm.read.parquet(str(tmp_path / "t"))
+    for limit in (text.BITMAP_BYTES, 0):
+        monkeypatch.setattr(text, "BITMAP_BYTES", limit)
+        rows = text.with_rows(docs, scanned=True)
+        row = rows.columns[-1]
+        keys = rows.where("id % 7 = 3").select(rows[row].alias("row"))
+        for keep in (True, False):
+            got = text.select_rows(rows, keys, keep)
+            assert got.columns == rows.columns
+            assert got.agg({"id": "sum"}).first()[0] == sum(i for i in range(100_000) if (i % 7 == 3) == keep)
+    assert text.with_rows(llm.range(5), scanned=True).columns == ["id", "_row"]
