@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskframe.catalog.registry import query
 from riskframe.functions.staging import stage
 from riskframe.llm import decontam, lattice, linerules, ranking, resemblance
-from riskframe.llm.queries import rank_model, table
+from riskframe.llm.queries import rank_labels, table
 from riskframe.llm.text import session
 
 
@@ -31,7 +31,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     The model learns from the labelled rows of the documents table, as those that the rules
     rejected are examples of low quality too. Null texts are scored as empty ones.
     """
-    model = rank_model(session(spark), sf_dir, table(spark, sf_dir, "documents"))
+    model = ranking.fit(table(session(spark), sf_dir, "documents"), rank_labels(spark, sf_dir))
     return docs.where(ranking.score(F.col("text"), model) >= ranking.CUT)
 
 
@@ -42,12 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     blank texts have an empty fingerprint and count as copies of each other.
     """
     session(spark)
-    return resemblance.keep_first(docs)
+    return resemblance.keep_first(docs, scanned=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; null texts hold none and stay."""
-    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"), scanned=True)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
