@@ -49,7 +49,7 @@ def f2(spark, sf):
 @query("f3_forest")
 def f3(spark, sf):
     tr, te, prep = _folds(spark, sf)
-    return _metrics(learn.fit_forest(_frame(tr, prep), CLINICAL.target, prep.order), te)
+    return _metrics(learn.fit_forest(_frame(tr, prep, CLINICAL.id), CLINICAL.target, prep.order, id_col=CLINICAL.id), te)
 
 
 @query("f4_kernel_svm")
@@ -113,18 +113,15 @@ def i3(spark, sf):
 
 @query("h1_importance")
 def h1(spark, sf):
-    """Impurity importance of a 100-tree forest on imputed, label-encoded features without the season.
-
-    Depth is 30, the most that MLlib allows.
-    """
+    """Impurity importance of a 100-tree forest of any depth on imputed, label-encoded features without the season."""
     df = inputs.cleaned(spark, sf)
     prep = prepare.fit_prep(df, CLINICAL)
     coded = [c for c in CLINICAL.categorical if c != "season"]
     encoded = prep.impute(df).withColumns({f"{c}_code": _code(c, prep.categories[c]) for c in coded})
     columns = [*CLINICAL.numeric, *[f"{c}_code" for c in coded]]
-    frame = learn.training_frame(encoded, CLINICAL.target, columns)
+    frame = learn.training_frame(encoded, CLINICAL.target, [CLINICAL.id, *columns])
     forest = learn.fit_forest(
-        frame, CLINICAL.target, columns, replace(ForestConfig(), trees=100, max_depth=30, min_leaf=1))
+        frame, CLINICAL.target, columns, replace(ForestConfig(), trees=100, max_depth=None, min_leaf=1), CLINICAL.id)
     return learn.importance_table(spark, forest, columns)
 
 

@@ -29,18 +29,18 @@ class LogisticConfig:
 
 @dataclass(frozen=True)
 class TreeConfig:
-    max_depth: int = 8
+    max_depth: int | None = 8
     min_leaf: int = 5
-    max_bins: int = 256
+    max_bins: int | None = None         # thresholds tried for each column; None tries all
     seed: int = 42
 
 
 @dataclass(frozen=True)
 class ForestConfig:
     trees: int = 200
-    max_depth: int = 12
+    max_depth: int | None = 12
     min_leaf: int = 3
-    max_bins: int = 64
+    max_bins: int | None = 64
     seed: int = 42
 
 

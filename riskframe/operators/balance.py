@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.columns import order_hash
-from riskframe.functions.ordering import with_ranges
 from riskframe.functions.staging import stage
+from riskframe.operators.neighbours import nearest_whole
 from riskframe.operators.split import class_counts, find_cuts
 from riskframe.spec import FeatureSpec
 
@@ -34,58 +32,37 @@ def oversample(df: DataFrame, id_col: str, target: str, seed: int = 42) -> DataF
 
 
 def synthesise_minority(
-    df: DataFrame, spec: FeatureSpec, cols: list[str], seed: int = 42,
-    neighbours: int = 5, projections: int = 4,
+    df: DataFrame, spec: FeatureSpec, cols: list[str], seed: int = 42, neighbours: int = 5, **search
 ) -> DataFrame:
     """Synthetic minority rows between a row and one of its near neighbours.
 
-    Candidate neighbours are the rows within ``neighbours`` places along several
-    seeded random projections; the nearest ``neighbours`` of them by true distance
-    qualify and a hash picks one. Work per row is fixed, so dense regions cost no
-    more than sparse ones. Yields exactly as many rows as the majority leads by.
+    The nearest ``neighbours`` rows of the class are looked for by hashing with exact distances
+    (``riskframe.operators.neighbours``); a hash picks one of them. Yields exactly as many rows as the
+    majority leads by.
     """
     counts = class_counts(df, spec.target)
     minor = min(counts, key=lambda c: (counts[c], str(c)))
     missing = max(counts.values()) - counts[minor]
     if missing and counts[minor] < 2:
         raise ValueError("synthetic rows need two rows of the smallest class")
+    at = [f"x{i}" for i in range(len(cols))]
     base = stage(df.where(F.col(spec.target) == minor).select(
-        spec.id, F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("_v")
+        F.col(spec.id).alias("of"), F.xxhash64(spec.id).alias("id"),
+        *[F.col(f"`{c}`").cast("double").alias(a) for c, a in zip(cols, at)],
     ), "minority")
     n = counts[minor]
-    if base.select(spec.id).distinct().count() != n:
+    if base.select("id").distinct().count() != n:
         raise ValueError("synthetic rows need distinct ids in the smallest class")
-    rng = random.Random(seed)
-    near = None
-    for j in range(projections):
-        w = [rng.gauss(0, 1) for _ in cols]
-        proj = F.aggregate(
-            F.zip_with("_v", F.array(*[F.lit(x) for x in w]), lambda a, b: a * b),
-            F.lit(0.0), lambda s, x: s + x,
-        )
-        ranged = with_ranges(base.withColumn("_at", F.struct(proj.alias("z"), spec.id)), [], "_at", n)
-        along = Window.partitionBy("_range").orderBy("_at")
-        mates = [f(F.col("_v"), k).over(along) for k in range(1, neighbours + 1) for f in (F.lag, F.lead)]
-        part = ranged.select(spec.id, "_v", F.array_compact(F.array(*mates)).alias("_m"))
-        near = part if near is None else near.unionByName(part)
-    far = lambda a, b: F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x
-    )
-    pooled = near.groupBy(spec.id).agg(
-        F.first("_v").alias("_v"), F.array_distinct(F.flatten(F.collect_list("_m"))).alias("_m")
-    ).withColumn("_m", F.slice(
-        F.array_sort(F.transform("_m", lambda m: F.struct(far(F.col("_v"), m).alias("d"), m.alias("v")))),
-        1, neighbours,
-    )).where(F.size("_m") > 0)
     whole, extra = divmod(missing, n)
-    cut = find_cuts(base, spec.id, None, lambda _: {None: [extra]}, seed).cuts[None][0]
-    times = F.lit(whole) + (order_hash(F.col(spec.id), seed) <= F.lit(cut)).cast("int")
-    drawn = pooled.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
-    h = F.xxhash64(spec.id, "copy", F.lit(seed))
-    pick = F.get("_m", F.pmod(h, F.size("_m")).cast("int"))["v"]
+    cut = find_cuts(base, "of", None, lambda _: {None: [extra]}, seed).cuts[None][0]
+    times = F.lit(whole) + (order_hash(F.col("of"), seed) <= F.lit(cut)).cast("int")
+    drawn = base.withColumn("times", times).where("times > 0")
+    near = nearest_whole(base, at, neighbours, drawn.select("id", *at), seed=seed, **search)
+    drawn = drawn.join(near.withColumnRenamed("q", "id"), "id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    h = F.xxhash64("of", "copy", F.lit(seed))
+    pick = F.get("near", F.pmod(h, F.size("near")).cast("int"))["v"]
     u = F.pmod(F.shiftright(h, 20), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    made = drawn.select(spec.id, "copy", F.zip_with("_v", pick, lambda a, b: a + (b - a) * u).alias("_v"))
-    return made.select(
-        spec.id, "copy", F.lit(minor).alias(spec.target),
-        *[F.col("_v")[i].alias(c) for i, c in enumerate(cols)],
+    return drawn.select(
+        F.col("of").alias(spec.id), "copy", F.lit(minor).alias(spec.target),
+        *[(F.col(a) + (pick[i] - F.col(a)) * u).alias(c) for i, (a, c) in enumerate(zip(at, cols))],
     )

@@ -1,16 +1,13 @@
-"""The four classifiers as Spark ML estimators on one prepared frame."""
+"""Fits of the logistic model, the tree and the forest on one prepared frame."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+import math
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskframe.config import ForestConfig, LogisticConfig, TreeConfig
 from riskframe.operators.explain import ranked_importance
 from riskframe.operators.prepare import class_weights, weight_expression
+from riskframe.operators.trees import TreeModel, grow
 
 WEIGHT = "_weight"
 # Gradient fits run one short job per step, so a small table is better in few tasks.
@@ -74,34 +72,33 @@ def fit_logistic(
     return Classifier(LOGISTIC, PipelineModel([vec, fit]))
 
 
+def _both_weights(train: DataFrame, target: str) -> tuple[float, float]:
+    """Balanced weights of class 0 and 1; a class without rows weighs 1."""
+    found = {r[target]: r["weight"] for r in class_weights(train, target).collect()}
+    return float(found.get(0, 1.0)), float(found.get(1, 1.0))
+
+
 def fit_tree(
     train: DataFrame, target: str, columns: Sequence[str], config: TreeConfig = TreeConfig()
-) -> Classifier:
-    vec = assembler(columns)
-    fit = DecisionTreeClassifier(
-        labelCol=target, weightCol=WEIGHT, impurity="gini", maxDepth=config.max_depth,
-        minInstancesPerNode=config.min_leaf, maxBins=config.max_bins, seed=config.seed,
-    ).fit(vec.transform(train))
-    return Classifier(TREE, PipelineModel([vec, fit]))
+) -> TreeModel:
+    """One tree over all thresholds (``max_bins`` None) or a bounded number for each column."""
+    weights = _both_weights(train, target)
+    nodes = grow(train, target, columns, weights, config.max_depth, config.min_leaf, max_bins=config.max_bins, seed=config.seed)
+    return TreeModel(TREE, tuple(columns), nodes, weights)
 
 
 def fit_forest(
-    train: DataFrame, target: str, columns: Sequence[str], config: ForestConfig = ForestConfig()
-) -> Classifier:
-    vec = assembler(columns)
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    if train.rdd.getNumPartitions() < cores:  # trees do much work per pass
-        train = train.repartition(cores)
-    fit = RandomForestClassifier(
-        labelCol=target, weightCol=WEIGHT, impurity="gini", numTrees=config.trees,
-        maxDepth=config.max_depth, minInstancesPerNode=config.min_leaf, maxBins=config.max_bins,
-        featureSubsetStrategy="sqrt", subsamplingRate=1.0, seed=config.seed, maxMemoryInMB=1024,
-        cacheNodeIds=True,
-    ).fit(vec.transform(train))
-    return Classifier(FOREST, PipelineModel([vec, fit]))
-
-
-def importance_table(spark: SparkSession, classifier: Classifier, columns: Sequence[str]) -> DataFrame:
+    train: DataFrame, target: str, columns: Sequence[str], config: ForestConfig = ForestConfig(), id_col: str | None = None
+) -> TreeModel:
+    """Trees on draws of the rows by the hash of ``id_col``, a square root of the columns tried at each node."""
+    weights = _both_weights(train, target)
+    nodes = grow(
+        train, target, columns, weights, config.max_depth, config.min_leaf, config.trees,
+        math.ceil(math.sqrt(len(columns))), config.max_bins, id_col, config.seed,
+    )
+    return TreeModel(FOREST, tuple(columns), nodes, weights)
+
+
+def importance_table(spark: SparkSession, model: TreeModel, columns: Sequence[str]) -> DataFrame:
     """Impurity importances of a fitted tree or forest, ranked."""
-    values = classifier.model.stages[-1].featureImportances.toArray()
-    return ranked_importance(spark, columns, values)
+    return ranked_importance(spark, columns, model.importances())

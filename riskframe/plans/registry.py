@@ -12,8 +12,9 @@ from pyspark.sql import SparkSession, types as T
 
 from riskframe.config import CleanConfig
 from riskframe.operators.kernel import load_kernel
-from riskframe.operators.learn import SVM, Classifier
+from riskframe.operators.learn import FOREST, SVM, TREE, Classifier
 from riskframe.operators.prepare import PrepModel, load_prep
+from riskframe.operators.trees import load_trees
 from riskframe.sources.readers import read_json
 from riskframe.spec import FeatureSpec
 
@@ -59,6 +60,8 @@ class ModelStore:
         try:
             if name == SVM:
                 return load_kernel(self.spark, path)
+            if name in (TREE, FOREST):
+                return load_trees(self.spark, path)
             return Classifier(name, PipelineModel.load(path))
         except (Py4JJavaError, AnalysisException) as exc:
             if "does not exist" not in str(exc):

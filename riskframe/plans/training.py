@@ -50,7 +50,7 @@ def fit_all(train: DataFrame, spec: FeatureSpec, columns: list[str], config: Run
     fits = (
         lambda: learn.fit_logistic(frame, spec.target, columns, config.logistic),
         lambda: learn.fit_tree(frame, spec.target, columns, config.tree),
-        lambda: learn.fit_forest(frame, spec.target, columns, config.forest),
+        lambda: learn.fit_forest(frame, spec.target, columns, config.forest, spec.id),
         lambda: kernel.fit_calibrated_svm(frame, spec.id, spec.target, columns, config.kernel),
     )
     return {m.name: m for m in run_together(train.sparkSession, fits, config.parallelism)}
