@@ -30,6 +30,27 @@ def a1(spark, sf):
     )
 
 
+@query("a1_csv_rejects", """SELECT kind, count(*) AS n, CAST(sum(hash_key) AS BIGINT) AS keys, max(record) AS last FROM (
+  SELECT CASE WHEN o_orderkey % 7 IN (0, 3) THEN 'rejected' ELSE 'kept' END AS kind, o_orderkey AS hash_key,
+    CASE o_orderkey % 7 WHEN 0 THEN concat_ws(',', o_orderkey, o_custkey)
+      WHEN 3 THEN concat_ws(',', o_orderkey, o_custkey, o_orderstatus, 'surplus') END AS record FROM orders) GROUP BY kind""")
+def a1_rejects(spark, sf):
+    """Orders as text records, some with a field too few or too many, read back and told apart."""
+    k = F.col("o_orderkey") % 7
+    record = F.when(k == 0, F.concat_ws(",", "o_orderkey", "o_custkey")).when(
+        k == 3, F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", F.lit("surplus"))
+    ).otherwise(F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus"))
+    base = new_path(spark, "csv")
+    rows = readers.read_table(spark, sf, "orders").select(record.alias("value"))
+    # The writer adds the header to each file; records are written as they stand, as one column without quotes.
+    rows.withColumnRenamed("value", "id,customer,status").write.option("header", True).option("quote", "").option(
+        "sep", "\x01").csv(base)
+    kept, rejects = readers.read_csv_checked(spark, base)
+    both = kept.select(F.lit("kept").alias("kind"), F.col("id").cast("bigint").alias("k"), F.lit(None).cast("string").alias("record")).unionByName(
+        rejects.select(F.lit("rejected").alias("kind"), F.split("record", ",")[0].cast("bigint").alias("k"), "record"))
+    return both.groupBy("kind").agg(F.count("*").alias("n"), F.sum("k").alias("keys"), F.max("record").alias("last"))
+
+
 @query("a2_na_tokens", f"""WITH {COHORT}
 SELECT patient_id, CASE WHEN hemoglobin_g_dl IN ('', 'NA', 'N/A', 'n/a', 'nan', 'NaN', 'null', 'NULL', 'None')
   THEN NULL ELSE hemoglobin_g_dl END AS hemoglobin_g_dl, sex FROM cohort""")

@@ -1,4 +1,4 @@
-"""Fitted-model queries. No SQL counterpart exists, so these carry no oracle."""
+"""Fitted-model queries. What SQL can say about them is in ``facts``."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from riskframe.plans.batch import score_json_records, score_table
 from riskframe.plans.registry import ModelStore
 from riskframe.plans.training import prepare_folds, score_all, train
 from riskframe.sources import readers
+from riskframe.sources.sinks import write_metrics
 from riskframe.spec import CLINICAL
 
 _CONFIG = RunConfig()
@@ -177,11 +178,12 @@ def j1(spark, sf):
 
     tr, te, prep = _folds(spark, sf)
     model = learn.fit_logistic(_frame(tr, prep), CLINICAL.target, prep.order)
-    f1_score = _metrics(model, te).first()["f1_score"]
+    metrics = stage(_metrics(model, te), "metrics")
     path = new_path(spark, "runs")
     for i in range(2):
+        write_metrics(metrics, f"{path}/metrics-{i}")
         append_run(run_record(
-            spark, run_id=f"run-{i}", best_model_name=model.name, metrics_path=f"f1={f1_score:.6f}",
+            spark, run_id=f"run-{i}", best_model_name=model.name, metrics_path=f"{path}/metrics-{i}",
             explainability=("importance", None),
-        ), path)
-    return readers.read_runs(spark, path)
+        ), f"{path}/log")
+    return readers.read_runs(spark, f"{path}/log")

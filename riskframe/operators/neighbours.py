@@ -57,7 +57,7 @@ def _cells(df: DataFrame, cols: Sequence[str], width: float, axes: int, tables:
 
     def named(t: int, cell: np.ndarray) -> np.ndarray:
         """A 64-bit name of a cell. Two cells of one name only meet more."""
-        h = (cell.astype(np.int64).view(np.uint64) * factors).sum(axis=1, dtype=np.uint64) + np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15)
+        h = (cell.astype(np.int64).view(np.uint64) * factors).sum(axis=1, dtype=np.uint64) + np.uint64((t + 1) << 40)
         return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskframe.functions.quantiles import exact_quantiles
@@ -44,21 +46,13 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson, pairwise-complete: every ordered pair, upper triangle flagged.
+#: Above so many columns pair sums come from matrix products; Spark would otherwise plan thousands of sums.
+WIDE = 40
 
-    One scan for means and one for sums of centred products, grouped by which
-    columns are missing. A pair then adds up the groups where both are present,
-    so nulls cost a few groups instead of separate aggregates per pair. NULL when
-    a column is constant over the pair's rows.
-    """
-    cols = list(cols)
+
+def _moments(df: DataFrame, cols: list[str], first) -> DataFrame:
+    """Sums of each pair i < j over the rows that have both columns: n, ti, tj, pii, pjj and pij."""
     k = range(len(cols))
-    first = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)],
-    ).first()
-    # Dividing by the spread puts every column on one scale, so one tolerance fits all.
     unit = df.selectExpr(
         " + ".join(f"int(`{c}` IS NULL) * {1 << i}" for i, c in enumerate(cols)) + " AS mask",
         *[f"coalesce((`{c}` - {first[f'm{i}'] or 0.0!r}D) / {first[f's{i}'] or 1.0!r}D, 0D) AS d{i}"
@@ -75,9 +69,59 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             i=i, j=j, m=(1 << i) | (1 << j)
         ) for i in k for j in k if j > i
     ]
-    pairs = groups.selectExpr(f"inline(array({', '.join(moments)}))").where("both").groupBy("i", "j").agg(
+    return groups.selectExpr(f"inline(array({', '.join(moments)}))").where("both").groupBy("i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "ti", "tj", "pii", "pjj", "pij")]
-    ).selectExpr(
+    )
+
+
+def _gram(df: DataFrame, cols: list[str], first) -> DataFrame:
+    """As ``_moments``, for many columns: matrix products of the values and of their presence, by task."""
+    wide = len(cols)
+    mean = np.array([first[f"m{i}"] or 0.0 for i in range(wide)])
+    spread = np.array([first[f"s{i}"] or 1.0 for i in range(wide)])
+    at = np.triu_indices(wide, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, wide, wide))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, wide)
+            here = ~np.isnan(x)
+            x = np.where(here, (x - mean) / spread, 0.0)
+            here = here.astype(float)
+            total += np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x])
+        n, t, p, c = total
+        out = [n[at].astype(np.int64), t[at], t.T[at], p[at], p.T[at], c[at]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), *map(pa.array, out)],
+            names=["i", "j", "n", "ti", "tj", "pii", "pjj", "pij"])
+
+    cells = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
+    sums = df.select(cells.alias("x")).mapInArrow(
+        run, "i int, j int, n bigint, ti double, tj double, pii double, pjj double, pij double")
+    return sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "ti", "tj", "pii", "pjj", "pij")]).where("n > 0")
+
+
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson, pairwise-complete: every ordered pair, upper triangle flagged.
+
+    One scan for means and one for sums of centred products, grouped by which
+    columns are missing. A pair then adds up the groups where both are present,
+    so nulls cost a few groups instead of separate aggregates per pair. Above ``WIDE``
+    columns the second scan takes matrix products instead. NULL when a column is
+    constant over the pair's rows.
+    """
+    cols = list(cols)
+    k = range(len(cols))
+    first = df.agg(
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)],
+    ).first()
+    # Dividing by the spread puts every column on one scale, so one tolerance fits all.
+    if len(cols) > WIDE:
+        moments = _gram(df, cols, first)
+    else:
+        moments = _moments(df, cols, first)
+    pairs = moments.selectExpr(
         "i", "j", "pii", "pjj", "pii - ti * ti / n AS vi", "pjj - tj * tj / n AS vj", "pij - ti * tj / n AS cov"
     ).selectExpr("i", "j", "CASE WHEN vi > 1e-10 * pii AND vj > 1e-10 * pjj THEN cov / sqrt(vi * vj) END AS r")
     names = "array(" + ", ".join(f"'{c}'" for c in cols) + ")"

@@ -28,6 +28,7 @@ class TrainResult:
     models: Mapping
     prep: PrepModel
     scored: DataFrame
+    rejected: DataFrame                 # rows with a missing or unknown label, as a written table
 
 
 def prepare_folds(raw: DataFrame, spec: FeatureSpec, config: RunConfig) -> tuple[DataFrame, PrepModel]:
@@ -72,6 +73,8 @@ def train(
     if config.target_column:
         spec = replace(spec, target=config.target_column)
     spark = raw.sparkSession
+    # Rows with an unknown label are kept apart, not lost.
+    unknown = stage(rejected(raw, spec), "rejected")
     prepared, prep = prepare_folds(raw, spec, config)
     models = fit_all(prepared.where(F.col("split") == "train"), spec, prep.order, config)
     scored = score_all(models, prepared.where(F.col("split") == "test"), spec)
@@ -84,11 +87,10 @@ def train(
         now = datetime.now(UTC)
         snapshot = f"{out_dir}/config_snapshot"
         spark.createDataFrame([(config.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(snapshot)
-        # Rows with an unknown label are kept apart, not lost.
-        write_scored(rejected(raw, spec), f"{out_dir}/rejected")
+        write_scored(unknown, f"{out_dir}/rejected")
         append_run(run_record(
             spark, run_id=now.strftime("%Y%m%dT%H%M%SZ"), timestamp_utc=now, best_model_name=best,
             best_model_file=f"models/{best}", model_dir=f"{out_dir}/store", reports_dir=out_dir,
             config_snapshot_path=snapshot, metrics_path=f"{out_dir}/model_comparison",
         ), f"{out_dir}/runs")
-    return TrainResult(metrics, best, models, prep, scored)
+    return TrainResult(metrics, best, models, prep, scored, unknown)

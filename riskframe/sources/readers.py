@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from riskframe.functions.columns import na_to_null
+from riskframe.functions.staging import stage
 from riskframe.spec import RUN_SCHEMA
 
 
@@ -33,6 +34,28 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     return _or_missing(lambda: reader.csv(path), path)
 
 
+def read_csv_checked(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As ``read_csv``, in two tables: rows with as many fields as the header, and the others.
+
+    The second holds each other record as it stands in the file, in a column ``record``, and is
+    written once, so that counting it does not read the files again.
+    """
+    header = read_csv(spark, path, multi_line)
+    raw = "_record"
+    while raw in header.columns:
+        raw += "_"
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in header.columns], T.StructField(raw, T.StringType())])
+    rows = (
+        spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+        .option("enforceSchema", False).option("multiLine", multi_line).option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", raw).csv(path)
+    )
+    # Spark refuses a plan that needs the malformed record alone; an empty piece of the first column makes it need both.
+    whole = F.concat_ws("", F.col(raw), F.substring(F.col(f"`{header.columns[0]}`"), 1, 0)) == ""
+    rejects = stage(rows.where(~whole), "csv_rejects").select(F.col(raw).alias("record"))
+    return rows.where(whole).drop(raw), rejects
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _or_missing(lambda: spark.read.parquet(path), path)
 

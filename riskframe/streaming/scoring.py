@@ -12,6 +12,7 @@ from riskframe.operators.score import score
 from riskframe.sources.readers import read_json
 from riskframe.spec import FeatureSpec
 
+_COUNT = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
 _MARK = T.StructType([T.StructField("upto", T.LongType())])
 
 
@@ -67,22 +68,30 @@ def retrain_when(
     """Collect labelled rows in a log and run ``job`` on all of it whenever at least
     ``min_rows`` arrived since the last run.
 
-    Each batch goes to its own folder, overwritten on replay, so a retried batch
-    is not counted twice. The batch that triggers a run is marked beside it.
+    Each batch goes to its own folder, overwritten on replay, and its row count beside it, so a
+    retried batch is counted once and no batch reads the log again to count it. The batch that
+    triggers a run is marked after the run.
     """
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log}/rows/batch={batch_id}")
-        seen = spark.read.parquet(f"{log}/rows")
+    def known(spark: SparkSession, what: str, schema: T.StructType) -> DataFrame:
         try:
-            last = read_json(spark, f"{log}/marks", _MARK).agg(F.max("upto")).first()[0]
+            return read_json(spark, f"{log}/{what}", schema)
         except FileNotFoundError:
-            last = -1
-        if seen.where(F.col("batch") > last).count() >= min_rows:
-            job(seen.drop("batch"))
-            spark.createDataFrame([(batch_id,)], _MARK).write.mode("overwrite").json(
-                f"{log}/marks/batch={batch_id}")
+            return spark.createDataFrame([], schema)
+
+    def note(spark: SparkSession, what: str, row: tuple, schema: T.StructType, batch_id: int) -> None:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(f"{log}/{what}/batch={batch_id}")
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        here = f"{log}/rows/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(here)
+        note(spark, "counts", (batch_id, spark.read.schema(batch.schema).parquet(here).count()), _COUNT, batch_id)
+        last = known(spark, "marks", _MARK).agg(F.max("upto")).first()[0]
+        since = known(spark, "counts", _COUNT).where(F.col("id") > (-1 if last is None else last))
+        if (since.agg(F.sum("n")).first()[0] or 0) >= min_rows:
+            job(spark.read.parquet(f"{log}/rows").drop("batch"))
+            note(spark, "marks", (batch_id,), _MARK, batch_id)
 
     return labelled.writeStream.option("checkpointLocation", checkpoint).foreachBatch(on_batch).trigger(
         availableNow=True).start()

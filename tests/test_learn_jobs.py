@@ -41,6 +41,19 @@ def test_metrics_table(trained, spark):
     assert json.loads(snapshot)["split"]["seed"] == 42
 
 
+def test_unknown_labels_are_stored_by_every_run(trained, spark, sf, monkeypatch):
+    from riskframe.plans import training
+
+    result, out, _ = trained
+    assert result.rejected.count() == spark.read.parquet(f"{out}/rejected").count()
+    raw = inputs.cohort(spark, sf).limit(300)
+    odd = raw.limit(7).withColumns({"case_status": F.lit("maybe"), "patient_id": -F.col("patient_id")})
+    monkeypatch.setattr(training, "fit_all", lambda train, spec, columns, config: {
+        learn.LOGISTIC: learn.fit_logistic(learn.training_frame(train, spec.target, columns), spec.target, columns)})
+    kept = training.train(raw.unionByName(odd), CLINICAL, FAST).rejected
+    assert kept.count() == 7
+
+
 def test_scores_are_probabilities(trained):
     scored = trained[0].scored
     assert scored.where("p < 0 OR p > 1 OR p IS NULL OR yhat NOT IN (0, 1)").count() == 0
