@@ -48,7 +48,7 @@ BANDS = 20
 ROWS = 4
 SHARD_ROWS = 2_048
 #: Members of a block whose texts are compared, and the shingles they may hold together.
-CONFIRM_ROWS = 256
+CONFIRM_ROWS = 128
 CONFIRM_SHINGLES = 1 << 20
 _BLOCK = 255 * 4
 _LANES = BITS // 64
@@ -285,18 +285,23 @@ def confirmed(nodes: DataFrame, texts: DataFrame, words: int = WORDS, radius: in
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Spanning links (a, b) within the radius between the sketches of ``nodes`` (sketch, bands)."""
-    rows = nodes.select(F.posexplode("bands").alias("band", "value"), "sketch")
-    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    """Spanning links (a, b) within the radius between the sketches of ``nodes`` (sketch, bands).
+
+    Band keys are counted and matched with short names of the sketches; only those that share a
+    band fetch the sketch itself. Two sketches of one name, or two bands of one key, only propose more.
+    """
+    light = nodes.select(F.explode("bands").alias("value"), F.xxhash64("sketch").alias("sid"))
+    sizes = light.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(shard_rows)).cast("int")
+    shards = stage(sizes.select("value", blocks.alias("blocks")), "shards")
+    wide = nodes.select("sketch").distinct().withColumn("sid", F.xxhash64("sketch"))
     own = F.pmod(F.xxhash64("sketch"), F.col("blocks")).cast("int")
     cells = (
-        rows.join(stage(sizes.withColumn("blocks", blocks), "shards"), ["band", "value"])
-        .withColumn("own", own)
-        .select("band", "value", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sketch", "own")
+        light.join(shards, "value").join(wide, "sid").withColumn("own", own)
+        .select("value", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(F.lit(0).alias("band"), "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sketch", "own")
     )
-    key = ["band", "value", "i", "j"]
+    key = ["value", "i", "j"]
     return (
         cells.repartition(*key).sortWithinPartitions(*key)
         .mapInArrow(lambda batches: _search(batches, radius), "a binary, b binary")
