@@ -48,7 +48,7 @@ BANDS = 20
 ROWS = 4
 SHARD_ROWS = 2_048
 #: Members of a block whose texts are compared, and the shingles they may hold together.
-CONFIRM_ROWS = 128
+CONFIRM_ROWS = 256
 CONFIRM_SHINGLES = 1 << 20
 _BLOCK = 255 * 4
 _LANES = BITS // 64
