@@ -14,7 +14,9 @@ searches for the next member header or version line that leads to a valid record
 skipped are logged as a quarantined gap. A damaged member gives the records before the damage
 and, as far as it inflates, those after the next version lines inside it. Its other bytes are
 logged as a gap of inflated bytes inside it, and if it does not inflate to its end, the rest of
-its bytes in the file as one too. Records outside gzip members are recovered too.
+its bytes in the file as one too. Records outside gzip members are recovered too. Headers may be
+of any length; a Content-Length that is no number of up to 18 digits fails the record, a Page-ID
+that is no 64-bit integer comes back null.
 
 Null html counts as an empty payload, null urls are left out of the record and come back
 null. A null page_id comes back null; it never names a response that others revisit if the
@@ -46,8 +48,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _READ = 1 << 20
-#: The longest header block taken for one; more means a false version line.
-_HEAD_LIMIT = 1 << 20
+_LENGTH = re.compile(r"[0-9]{1,18}")
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
@@ -100,22 +101,44 @@ def digest_holds(stated: str, block: bytes) -> bool | None:
     return value == b32 if len(value) == len(b32) else None
 
 
+def _head(raw: bytes, at: int) -> tuple[dict, int, bool]:
+    """Header fields of the record at ``at``, where its block starts (0 if the headers do not end
+    here), and whether more bytes could still end them.
+
+    Headers have no size limit. A line that is no header ends the search, so it never goes
+    beyond the next version line.
+    """
+    head: dict = {}
+    line = raw.find(b"\r\n", at) + 2
+    while True:
+        end = raw.find(b"\r\n", line)
+        if end < 0:
+            return head, 0, True
+        if end == line:
+            return head, line + 2, False
+        k, sep, v = raw[line:end].partition(b":")
+        if not sep:
+            return head, 0, False
+        head[k.decode("latin-1").strip().lower()] = v.decode("utf-8", "replace").strip()
+        line = end + 2
+
+
+def page_number(stated: str | None) -> int | None:
+    """The page id that a header states; None when it states no 64-bit integer."""
+    if stated is None or not re.fullmatch(r"-?[0-9]{1,19}", stated):
+        return None
+    n = int(stated)
+    return n if -(1 << 63) <= n < 1 << 63 else None
+
+
 def parse(raw: bytes, at: int = 0) -> tuple[dict | None, int]:
     """Record at ``at`` and the position after it; (None, reason code) when it fails."""
     if not raw.startswith((b"WARC/1.1\r\n", b"WARC/1.0\r\n"), at):
         return None, 1
-    end = raw.find(b"\r\n\r\n", at, at + _HEAD_LIMIT)
-    if end < 0:
+    head, start, _ = _head(raw, at)
+    if not start or not _LENGTH.fullmatch(head.get("content-length", "")):
         return None, 2
-    head = {}
-    for line in raw[at:end].split(b"\r\n")[1:]:
-        k, sep, v = line.partition(b":")
-        if not sep:
-            return None, 2
-        head[k.decode("latin-1").strip().lower()] = v.decode("utf-8", "replace").strip()
-    if not head.get("content-length", "").isdigit():
-        return None, 2
-    n, start = int(head["content-length"]), end + 4
+    n = int(head["content-length"])
     block = raw[start:start + n]
     if len(block) < n or raw[start + n:start + n + 4] != b"\r\n\r\n":
         return None, 3
@@ -134,7 +157,7 @@ REASONS = {0: "damaged member", 1: "no version line", 2: "damaged headers", 3: "
 def salvage(read, size: int) -> Iterator[tuple[int, dict | None, int, str]]:
     """(offset, record or None, gap bytes, reason) from ``read(offset, n)`` in file order.
 
-    Memory holds one record and one piece. A position that fails is left for the next
+    Memory holds one member, or one record outside members, and one piece. A position that fails is left for the next
     start further on, so a damaged length can never swallow later records.
     """
     at = gap = 0
@@ -239,14 +262,13 @@ def _try(read, at: int, size: int) -> tuple[list[tuple[dict | None, int, str]],
         return found, after, None if how == "whole" else 0
     if first.startswith(b"WARC/1."):
         raw = first
-        end = raw.find(b"\r\n\r\n")
-        if end < 0:
-            raw = read(at, _HEAD_LIMIT)
-            end = raw.find(b"\r\n\r\n")
-        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", raw[:end + 2]) if end > 0 else None
-        if not m:
+        head, start, open_end = _head(raw, 0)
+        while open_end and len(raw) < size - at:
+            raw = read(at, 4 * len(raw))
+            head, start, open_end = _head(raw, 0)
+        if not start or not _LENGTH.fullmatch(head.get("content-length", "")):
             return [], at, 2
-        need = end + 4 + int(m[1]) + 4
+        need = start + int(head["content-length"]) + 4
         if need > size - at:
             return [], at, 3
         one, after = parse(raw if len(raw) >= need else read(at, need))
@@ -345,9 +367,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if r is None:
                         rows.append((path, at, "gap", None, None, None, None, None, None, gap, reason))
                     else:
-                        page, where = r.get("page-id"), r.get("warc-target-uri")
+                        where = r.get("warc-target-uri")
                         rows.append((
-                            path, at, r.get("warc-type"), r.get("warc-record-id"), int(page) if page else None,
+                            path, at, r.get("warc-type"), r.get("warc-record-id"), page_number(r.get("page-id")),
                             None if where is None else unquote(where), r.get("warc-refers-to"), r["payload"],
                             r.get("warc-payload-digest", "").removeprefix("sha256:"), None, None,
                         ))

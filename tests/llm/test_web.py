@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 
+import time
+
 import pytest
 
 from riskframe.llm import lineblock, warc
@@ -179,3 +181,41 @@ def test_salvage_of_written_archives(llm, tmp_path):
     open(path.removeprefix("file://"), "wb").write(raw)
     got = warc.read_archives(llm.createDataFrame([(path,)], "archive string")).collect()
     assert sum(r.kind == "gap" for r in got) == 1 and len(got) == made.agg({"records": "sum"}).first()[0]
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_long_urls_come_back(compress):
+    raw = warc.record(7, "http://x.org/" + "a" * (2 << 20), b"body", "0" * 64, "<urn:x>", None)
+    raw = (warc.member(raw) if compress else raw) + archive(compress=compress)[0]
+    (_, first, _, _), (_, second, _, _) = warc.salvage(lambda o, n: raw[o:o + n], len(raw))
+    assert len(first["warc-target-uri"]) == 13 + (2 << 20) and first["payload"] == b"body"
+    assert second["page-id"] == "0"
+
+
+@pytest.mark.parametrize("compress", [True, False])
+@pytest.mark.parametrize("length", ["\u00b2", "9" * 5000, "-1", ""])
+def test_bad_lengths_are_gaps(compress, length):
+    bad = warc.record(7, None, b"body", "0" * 64, "<urn:x>", None).split(b"Content-Length: ")
+    bad = bad[0] + b"Content-Length: " + length.encode() + bad[1][bad[1].index(b"\r\n"):]
+    bad = warc.member(bad) if compress else bad
+    assert salvage(bad + archive(compress=compress)[1]) == ([1], [(0, len(bad))])
+
+
+def test_page_numbers():
+    assert [warc.page_number(x) for x in ("12", "-3", "x", "\u00b2", "", None, "9" * 19, "9" * 30)] == [
+        12, -3, None, None, None, None, None, None]
+
+
+def test_false_version_lines_cost_linear_time():
+    raw = b"WARC/1.1\r\na: b\r\n" * 20_000
+    began = time.perf_counter()
+    assert salvage(raw) == ([], [(0, len(raw))])
+    assert time.perf_counter() - began < 20
+
+
+def test_long_urls_through_archives(llm):
+    spark = llm if not isinstance(llm, tuple) else llm[0]
+    pages = spark.createDataFrame([(1, "http://x.org/" + "a" * (2 << 20), "<p>one"), (2, "u", "<p>two")],
+                                  "page_id long, url string, html string")
+    back = warc.resolve(warc.read_archives(warc.write_archives(pages)))
+    assert sorted(r["page_id"] for r in back.collect()) == [1, 2]
