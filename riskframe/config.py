@@ -48,11 +48,10 @@ class ForestConfig:
 class KernelConfig:
     c: float = 1.0
     components: int = 256
-    max_iter: int = 30
-    tol: float = 1e-3
+    max_iter: int = 30                  # Newton steps
+    tol: float = 1e-6
     folds: int = 5
     seed: int = 42
-    parallelism: int = 3                # fits that may overlap
 
 
 @dataclass(frozen=True)

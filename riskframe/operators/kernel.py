@@ -3,29 +3,30 @@
 An exact RBF solver is quadratic in rows. Random features (Rahimi & Recht, 2007)
 turn the kernel into a dot product of ``components`` cosines, so a linear SVM on
 them is linear in rows. Scores become probabilities by Platt's method (1999),
-fitted on out-of-fold scores.
+fitted on out-of-fold scores. All folds and the fit on all rows are solved together
+(``margins``), over cosines that are computed once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from riskframe.config import KernelConfig
-from riskframe.functions.concurrently import run_together
+from riskframe.operators import margins
 from riskframe.operators.learn import SVM, WEIGHT, assembler
 from riskframe.operators.split import apply_folds, fit_folds
 from riskframe.sources.readers import read_json
 
 _PARAMS = (
-    "columns array<string>, gamma double, components int, seed bigint, slope double, offset double"
+    "columns array<string>, gamma double, components int, seed bigint, coefficients array<double>, "
+    "slope double, offset double"
 )
 
 
@@ -41,35 +42,17 @@ def kernel_gamma(train: DataFrame, columns: Sequence[str]) -> float:
     return 1.0 / (len(columns) * (squares / size - (total / size) ** 2))
 
 
-def fourier_features(columns: Sequence[str], gamma: float, components: int, seed: int) -> Column:
-    """sqrt(2/D) cos(Wx + b) as an array column; one matrix product per Arrow batch."""
-    width = len(columns)
+def fourier_map(width: int, gamma: float, components: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """x -> sqrt(2/D) cos(Wx + b) for a matrix of rows."""
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, np.sqrt(2.0 * gamma), (width, components))
     b = rng.uniform(0.0, 2.0 * np.pi, components)
     scale = np.sqrt(2.0 / components)
+    return lambda x: scale * np.cos(x @ w + b)
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def features(x: pa.Array) -> pa.Array:
-        flat = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
-        z = scale * np.cos(flat @ w + b)
-        ends = pa.array(np.arange(0, z.size + 1, components, dtype=np.int32))
-        return pa.ListArray.from_arrays(ends, pa.array(z.ravel()))
 
-    return features(F.array(*[F.col(f"`{c}`") for c in columns]))
-
-
-def with_kernel_vector(df: DataFrame, columns: Sequence[str], gamma: float, config: KernelConfig) -> DataFrame:
-    z = fourier_features(columns, gamma, config.components, config.seed)
-    return df.withColumn("features", array_to_vector(z))
-
-
-def fit_linear_svm(vectors: DataFrame, target: str, config: KernelConfig = KernelConfig()) -> LinearSVCModel:
-    total = vectors.agg(F.sum(WEIGHT)).first()[0]
-    return LinearSVC(
-        labelCol=target, weightCol=WEIGHT, standardization=False, regParam=1.0 / (config.c * total),
-        maxIter=config.max_iter, tol=config.tol,
-    ).fit(vectors)
+def _inputs(columns: Sequence[str]) -> Column:
+    return F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
 
 
 def fit_sigmoid(scores: DataFrame, score: str, target: str) -> tuple[float, float]:
@@ -102,15 +85,22 @@ class KernelSvm:
     columns: tuple[str, ...]
     gamma: float
     config: KernelConfig
-    model: LinearSVCModel
+    #: One for each component, the intercept last.
+    coefficients: tuple[float, ...]
     slope: float
     offset: float
 
     def decision(self, prepared: DataFrame) -> DataFrame:
-        vectors = with_kernel_vector(prepared, self.columns, self.gamma, self.config)
-        return self.model.transform(vectors).withColumn(
-            "score", vector_to_array("rawPrediction")[1]
-        ).drop("features", "rawPrediction", "prediction")
+        """``prepared`` with ``score``; one matrix product per Arrow batch, no vector column."""
+        width, beta = len(self.columns), np.array(self.coefficients)
+        features = fourier_map(width, self.gamma, self.config.components, self.config.seed)
+
+        @F.arrow_udf(T.DoubleType())
+        def score(x: pa.Array) -> pa.Array:
+            flat = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), width)
+            return pa.array(features(flat) @ beta[:-1] + beta[-1])
+
+        return prepared.withColumn("score", score(_inputs(self.columns)))
 
     def predict(self, prepared: DataFrame) -> DataFrame:
         p = apply_sigmoid(F.col("score"), self.slope, self.offset)
@@ -118,20 +108,27 @@ class KernelSvm:
             "yhat", F.when(F.col("p") > 0.5, 1).otherwise(0))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/linear")
-        spark = SparkSession.active()
-        row = (list(self.columns), self.gamma, self.config.components, self.config.seed,
+        row = (list(self.columns), self.gamma, self.config.components, self.config.seed, list(self.coefficients),
                self.slope, self.offset)
-        spark.createDataFrame([row], _PARAMS).coalesce(1).write.mode("overwrite").json(f"{path}/params")
+        SparkSession.active().createDataFrame([row], _PARAMS).coalesce(1).write.mode("overwrite").json(f"{path}/params")
 
 
 def load_kernel(spark: SparkSession, path: str) -> KernelSvm:
     r = read_json(spark, f"{path}/params", T.StructType.fromDDL(_PARAMS)).first()
     config = KernelConfig(components=r["components"], seed=r["seed"])
-    return KernelSvm(
-        SVM, tuple(r["columns"]), r["gamma"], config, LinearSVCModel.load(f"{path}/linear"),
-        r["slope"], r["offset"],
-    )
+    return KernelSvm(SVM, tuple(r["columns"]), r["gamma"], config, tuple(r["coefficients"]), r["slope"], r["offset"])
+
+
+def _blocks(rows: DataFrame, target: str, columns: Sequence[str], gamma: float, config: KernelConfig,
+            fold: str | None) -> DataFrame:
+    features = fourier_map(len(columns), gamma, config.components, config.seed)
+    return margins.pack(
+        rows.withColumn("_x", _inputs(columns)), "_x", target, WEIGHT, fold, features
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _fit(blocks: DataFrame, left_out: Sequence[int], config: KernelConfig) -> list[np.ndarray]:
+    return margins.fit_margins(blocks, left_out, config.components, config.c, config.max_iter, config.tol)
 
 
 def fit_kernel_svm(
@@ -139,8 +136,12 @@ def fit_kernel_svm(
 ) -> KernelSvm:
     """Uncalibrated fit on all rows (slope 1, offset 0)."""
     gamma = kernel_gamma(train, columns)
-    model = fit_linear_svm(with_kernel_vector(train, columns, gamma, config), target, config)
-    return KernelSvm(SVM, tuple(columns), gamma, config, model, 1.0, 0.0)
+    blocks = _blocks(train, target, columns, gamma, config, None)
+    try:
+        (beta,) = _fit(blocks, [margins.ALL], config)
+    finally:
+        blocks.unpersist()
+    return KernelSvm(SVM, tuple(columns), gamma, config, tuple(beta.tolist()), 1.0, 0.0)
 
 
 def fit_calibrated_svm(
@@ -148,24 +149,16 @@ def fit_calibrated_svm(
 ) -> KernelSvm:
     """Out-of-fold scores from ``folds`` fits, one sigmoid on them, and a fit on all rows.
 
-    Fold membership is a comparison of the id's hash with fitted cuts, so each
-    fold is a filter over the same table.
+    Fold membership is a comparison of the id's hash with fitted cuts. All fits go through the
+    same blocks, one scan per step for all of them.
     """
     gamma = kernel_gamma(train, columns)
-    vectors = with_kernel_vector(
-        apply_folds(train, fit_folds(train, id_col, target, config.folds, config.seed)),
-        columns, gamma, config,
-    )
-    parts = [vectors.where(F.col("fold") != fold) for fold in range(config.folds)]
-    *fold_models, model = run_together(
-        train.sparkSession,
-        [partial(fit_linear_svm, part, target, config) for part in [*parts, vectors]],
-        config.parallelism,
-    )
-    held_out = None
-    for fold, fold_model in enumerate(fold_models):
-        scored = fold_model.transform(vectors.where(F.col("fold") == fold)).select(
-            target, vector_to_array("rawPrediction")[1].alias("score"))
-        held_out = scored if held_out is None else held_out.unionByName(scored)
-    slope, offset = fit_sigmoid(held_out, "score", target)
-    return KernelSvm(SVM, tuple(columns), gamma, config, model, slope, offset)
+    folded = apply_folds(train, fit_folds(train, id_col, target, config.folds, config.seed))
+    blocks = _blocks(folded, target, columns, gamma, config, "fold")
+    try:
+        folds = list(range(config.folds))
+        *parts, whole = _fit(blocks, [*folds, margins.ALL], config)
+        slope, offset = fit_sigmoid(margins.held_out_scores(blocks, folds, parts), "score", "label")
+    finally:
+        blocks.unpersist()
+    return KernelSvm(SVM, tuple(columns), gamma, config, tuple(whole.tolist()), slope, offset)
