@@ -11,6 +11,7 @@ from riskframe.functions import columns as C
 from riskframe.functions.staging import new_path
 from riskframe.operators import clean as ops
 from riskframe.sources import readers, sinks
+from riskframe.sources.commits import BatchLog
 from riskframe.spec import CLINICAL, FeatureSpec
 
 EVENT_RECORD = FeatureSpec(id="event_id", target="event_type", continuous=("k", "score"), categorical=("note",))
@@ -107,6 +108,21 @@ def a7(spark, sf):
         F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
 
 
+@query("a7_committed_log", """SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
+FROM orders GROUP BY 1""")
+def a7_commits(spark, sf):
+    """A repeated batch and the rows of a job that died before its commit change nothing."""
+    log = BatchLog(spark, new_path(spark, "commits"))
+    orders = readers.read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    finished = F.col("o_orderstatus") == "F"
+    log.write(orders.where(finished), 0)
+    for batch_id, part in ((0, finished), (1, ~finished), (1, ~finished)):
+        log.append(orders.where(part), batch_id)
+    log.write(orders, 2)
+    return log.read(orders.schema).groupBy("o_orderstatus").agg(
+        F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
 @query("a9_write_splits", f"""WITH {SPLIT}
 SELECT patient_id, age_years, sex, case_status, split FROM split""")
 def a9(spark, sf):
