@@ -13,7 +13,9 @@ largest block, so one long paragraph does not raise it above ``floor``.
 
 Null and empty pages give an empty text. White space inside a line becomes one space and
 lines are joined by one space. Repeated pages are extracted alike. Only the named columns
-are read. Elements left open end with the element around them.
+are read. Elements left open end with the element around them, scripts, styles and other
+elements without markup inside with the page. Very long pages are scanned once, forward.
+Lines of equal length are treated alike, so ties do not arise; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +34,15 @@ FLOOR = 80
 SENTENCE = 4
 MAIN = 32
 
-_DROPPED = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video"
+#: Elements whose content is no markup; left open they reach to the end of the page, as in browsers.
+_RAW = "script|style|iframe|textarea|title"
+#: Elements with markup inside that hold no text of the article.
+_DROPPED = frozenset("noscript template svg math object select canvas audio video".split())
+# Each alternative ends at the end of the page or at the next "<" outside quotes, so no start is scanned far in vain.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    rf"|<(?P<raw>{_DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</(?P=raw)\s*>)?"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<(?P<raw>{_RAW})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+[^<>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^<>]*>",
     re.S | re.I,
 )
@@ -68,7 +74,7 @@ _IMPLIED = {
 
 
 def _is_boiler(tag: str, attrs: str) -> bool:
-    if tag in _BOILER_TAGS:
+    if tag in _BOILER_TAGS or tag in _DROPPED:
         return True
     if not attrs or tag in _MAIN and "comment" not in attrs.lower() or tag in ("html", "body"):
         return False

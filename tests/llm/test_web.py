@@ -183,6 +183,20 @@ def test_salvage_of_written_archives(llm, tmp_path):
     assert sum(r.kind == "gap" for r in got) == 1 and len(got) == made.agg({"records": "sum"}).first()[0]
 
 
+def test_unclosed_scripts_are_no_text():
+    assert lineblock.main_text(f"<article>{ARTICLE}</article><script>var a = 'one two three four';") == WANT
+    assert lineblock.main_text(f"<article>{ARTICLE}<svg><text>Logo</text></svg></article>") == WANT
+    assert lineblock.main_text(f"<article><object>{ARTICLE}</object>{ARTICLE}</article>") == WANT
+
+
+@pytest.mark.parametrize("piece", ["<script>", "<a x='", "<a \"", "<![CDATA[", "<!x", "<select>", "<p ", "<div><span>", "<!--", "</div>"])
+def test_hostile_markup_takes_linear_time(piece):
+    page = piece * ((1 << 19) // len(piece))
+    began = time.perf_counter()
+    lineblock.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_long_urls_come_back(compress):
     raw = warc.record(7, "http://x.org/" + "a" * (2 << 20), b"body", "0" * 64, "<urn:x>", None)
