@@ -5,13 +5,13 @@ A line with a word fails when one of these rules holds:
 * punctuation: it does not end with closing punctuation, or exclamation and question
   marks are more than half as many as its words;
 * navigation: markup and menu symbols are more than a tenth as many as its words;
-* boilerplate: it holds a phrase of licences, consent notices or site chrome.
+* boilerplate: it holds a phrase of licences, consent notices or site chrome, as whole words.
 
 A document is rejected when the base rule fails or when the lines that passed hold less
 than ``min_kept`` of the code points of all lines with a word.
 
 Null, empty and blank texts have no words, fail the base rule and are rejected. Repeated
-rows are judged alike. Only the id and text columns are read, so other columns may have
+rows are judged alike, ties do not arise, and an empty table gives no rows. Only the id and text columns are read, so other columns may have
 any name. Everything is built-in expressions on one row: no shuffle.
 """
 
@@ -23,9 +23,15 @@ from riskframe.llm.text import SPACE, words
 
 SYMBOLS = "[#*$%&|<>]"
 CLOSING = "[.!?:;\\x{2026}\"')\\]\\x{201D}\\x{2019}\\x{00BB}][\\x20\\x09-\\x0D]*$"
+#: Phrases of site chrome, whole words only: a single word such as "cookie" says nothing.
 BOILERPLATE = (
-    "all rights reserved|copyright|licensed under|terms of (use|service)|privacy policy|"
-    "cookie|javascript|sign (in|up)|log in|subscribe|click here"
+    "(^|[^a-z])("
+    "all rights reserved|copyright (\\(c\\) ?|\\x{00A9} ?)?[12][0-9][0-9][0-9]|licensed under (a|the)|"
+    "terms of (use|service)|privacy policy|(we|site|website|page) uses? cookies|"
+    "(accept|allow|reject|manage) (all )?cookies|cookie (policy|settings|notice|consent|preferences)|"
+    "enable javascript|javascript (is )?(disabled|required|turned off)|sign (in|up) (to|for|now|here)|"
+    "log in (to|now|here|or)|subscribe (to our|now|today|here)|click here"
+    ")([^a-z]|$)"
 )
 MIN_WORDS = 50
 MIN_KEPT = 0.7

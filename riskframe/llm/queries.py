@@ -58,10 +58,10 @@ lj AS (SELECT doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
     length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g')) AS syms FROM ln),
 lv AS (SELECT doc_id, sum(length(l)) AS total, count(*) - count(DISTINCT l) AS dups, sum(CASE WHEN
     NOT regexp_matches(l, '[.!?:;\x{2026}"'')\]\x{201D}\x{2019}\x{00BB}][\x20\x09-\x0D]*$')
-    OR 2 * marks > n OR 10 * syms > n OR regexp_matches(lower(l), 'all rights reserved|copyright|licensed under|terms of (use|service)|privacy policy|cookie|javascript|sign (in|up)|log in|subscribe|click here')
+    OR 2 * marks > n OR 10 * syms > n OR regexp_matches(lower(l), '(^|[^a-z])(all rights reserved|copyright (\(c\) ?|\x{00A9} ?)?[12][0-9][0-9][0-9]|licensed under (a|the)|terms of (use|service)|privacy policy|(we|site|website|page) uses? cookies|(accept|allow|reject|manage) (all )?cookies|cookie (policy|settings|notice|consent|preferences)|enable javascript|javascript (is )?(disabled|required|turned off)|sign (in|up) (to|for|now|here)|log in (to|now|here|or)|subscribe (to our|now|today|here)|click here)([^a-z]|$)')
     THEN 0 ELSE length(l) END) AS kept_chars, sum(CASE WHEN
     NOT regexp_matches(l, '[.!?:;\x{2026}"'')\]\x{201D}\x{2019}\x{00BB}][\x20\x09-\x0D]*$')
-    OR 2 * marks > n OR 10 * syms > n OR regexp_matches(lower(l), 'all rights reserved|copyright|licensed under|terms of (use|service)|privacy policy|cookie|javascript|sign (in|up)|log in|subscribe|click here')
+    OR 2 * marks > n OR 10 * syms > n OR regexp_matches(lower(l), '(^|[^a-z])(all rights reserved|copyright (\(c\) ?|\x{00A9} ?)?[12][0-9][0-9][0-9]|licensed under (a|the)|terms of (use|service)|privacy policy|(we|site|website|page) uses? cookies|(accept|allow|reject|manage) (all )?cookies|cookie (policy|settings|notice|consent|preferences)|enable javascript|javascript (is )?(disabled|required|turned off)|sign (in|up) (to|for|now|here)|log in (to|now|here|or)|subscribe (to our|now|today|here)|click here)([^a-z]|$)')
     THEN 1 ELSE 0 END) AS bad FROM lj WHERE n > 0 GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -172,3 +172,13 @@ def test_select_rows_by_bitmap(llm, tmp_path, monkeypatch):
             assert got.columns == rows.columns
             assert got.agg({"id": "sum"}).first()[0] == sum(i for i in range(100_000) if (i % 7 == 3) == keep)
     assert text.with_rows(llm.range(5), scanned=True).columns == ["id", "_row"]
+
+
+def test_boilerplate_needs_a_whole_phrase(llm):
+    spared = ["She baked a cookie and went to bed.", "JavaScript was made in ten days.", "They subscribe to a theory of time.",
+              "Copyright law has a long history.", "The vineyards sign treaties every year.", "We log incoming calls."]
+    failing = ["This site uses cookies.", "Please enable JavaScript.", "Copyright 2024 the authors.", "Copyright (c) 2024.",
+               "Read our privacy policy.", "Sign up for our letter.", "Click here.", "Subscribe to our letter."]
+    df = llm.createDataFrame([(x,) for x in spared + failing], "line string")
+    got = {r[0]: r[1] for r in df.select("line", linerules.line_passes(F.col("line"))).collect()}
+    assert got == {**dict.fromkeys(spared, True), **dict.fromkeys(failing, False)}
