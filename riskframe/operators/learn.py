@@ -59,16 +59,20 @@ def training_frame(prepared: DataFrame, target: str, columns: Sequence[str]) ->
     return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
+def logistic(target: str, total: float, config: LogisticConfig = LogisticConfig()) -> LogisticRegression:
+    """The L2-penalised estimator; balanced weights sum to the row count, which sets the scale of C."""
+    return LogisticRegression(
+        labelCol=target, weightCol=WEIGHT, maxIter=config.max_iter, elasticNetParam=0.0,
+        standardization=False, regParam=1.0 / (config.c * total), tol=config.tol,
+    )
+
+
 def fit_logistic(
     train: DataFrame, target: str, columns: Sequence[str], config: LogisticConfig = LogisticConfig()
 ) -> Classifier:
-    """L2-penalised fit; balanced weights sum to the row count, which sets the scale of C."""
     vec = assembler(columns)
     total = train.agg(F.sum(WEIGHT)).first()[0]
-    fit = LogisticRegression(
-        labelCol=target, weightCol=WEIGHT, maxIter=config.max_iter, elasticNetParam=0.0,
-        standardization=False, regParam=1.0 / (config.c * total), tol=config.tol,
-    ).fit(vec.transform(train))
+    fit = logistic(target, total, config).fit(vec.transform(train))
     return Classifier(LOGISTIC, PipelineModel([vec, fit]))
 
 

@@ -17,7 +17,7 @@ from riskframe.operators.quality import melt_row
 from riskframe.sources.readers import read_json
 from riskframe.spec import FeatureSpec
 
-# One-hot columns become literals in the plan; past this use ``onehot_long``.
+# One-hot columns become literals in the plan; past this use ``operators.wide``.
 MAX_CATEGORIES = 1_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -102,7 +102,8 @@ def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return exact_quantiles(df, cols, [0.5]).select("feature", F.col("q")[0].alias("median"))
 
 
-def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows (feature, value, n) over the present values."""
     pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in cols]
     return (
         df.select(F.inline(F.array(*pairs)))
@@ -117,10 +118,14 @@ def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     Two aggregates, so no buffer ever holds all values of a column.
     """
-    best = _value_counts(df, cols).groupBy("feature").agg(
+    return modes_of_counts(category_counts(df, cols), cols)
+
+
+def modes_of_counts(counts: DataFrame, cols: Sequence[str]) -> DataFrame:
+    best = counts.groupBy("feature").agg(
         F.min(F.struct((-F.col("n")).alias("rank"), "value"))["value"].alias("mode")
     )
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    names = counts.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
     return names.join(best, "feature", "left").select(
         "feature", F.coalesce("mode", F.lit("unknown")).alias("mode")
     )
@@ -143,13 +148,13 @@ def scaler_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _check_width(width: Mapping[str, int]) -> None:
     wide = [c for c, n in width.items() if n > MAX_CATEGORIES]
     if wide:
-        raise ValueError(f"{wide} exceed {MAX_CATEGORIES} categories; use onehot_long")
+        raise ValueError(f"{wide} exceed {MAX_CATEGORIES} categories; use operators.wide")
 
 
 def categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Sorted category list per column; refuses columns too wide to encode as columns."""
     _check_width(df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict())
-    return _value_counts(df, cols).groupBy("feature").agg(
+    return category_counts(df, cols).groupBy("feature").agg(
         F.array_sort(F.collect_list("value")).alias("categories")
     )
 
@@ -185,7 +190,7 @@ def fit_prep(train: DataFrame, spec: FeatureSpec) -> PrepModel:
         ) / one["_rows"]
         std[c] = math.sqrt(var) or 1.0
     seen: dict = {c: [] for c in cat}
-    for r in _value_counts(train, cat).collect() if cat else []:
+    for r in category_counts(train, cat).collect() if cat else []:
         seen[r["feature"]].append((-r["n"], r["value"]))
     fill |= {c: min(seen[c])[1] if seen[c] else "unknown" for c in cat}
     return PrepModel(

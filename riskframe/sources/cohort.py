@@ -63,3 +63,14 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source",
     )
     return features.join(labels.select("doc_id", "quality"), "doc_id")
+
+
+def order_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One labelled row per order with two wide text columns, the customer and the day."""
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS order_id",
+        "CASE WHEN o_orderkey % 89 != 0 THEN o_totalprice END AS total",
+        "CASE WHEN o_orderkey % 97 != 0 THEN concat('customer ', o_custkey) END AS customer",
+        "date_format(o_orderdate, 'yyyy-MM-dd') AS day",
+        "CASE WHEN pmod(11 * o_orderkey, 10) < 8 THEN pmod(o_custkey, 2) ELSE pmod(o_orderkey, 2) END AS returned",
+    )

@@ -112,6 +112,16 @@ TEXT_QUALITY = FeatureSpec(
     labels=_frozen({0: "Low quality", 1: "High quality"}),
 )
 
+# Orders with categorical columns that grow with the table.
+ORDERS = FeatureSpec(
+    id="order_id",
+    target="returned",
+    continuous=("total",),
+    categorical=("customer", "day"),
+    target_codes=_frozen({"1": 1, "0": 0}),
+    labels=_frozen({0: "Kept", 1: "Returned"}),
+)
+
 # Nested record of one training run.
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),

@@ -40,7 +40,7 @@ def test_csv_quotes_and_headers(spark, tmp_path):
 
 def test_keys_with_a_long_common_start_are_split(spark):
     df = spark.range(20_000).select(F.concat(F.repeat(F.lit("x"), 300), F.col("id").cast("string")).alias("k"))
-    ranged = with_ranges(df, [], "k", 20_000, rows_per_range=400)
+    ranged = with_ranges(df, [], "k", 20_000, rows_per_range=400)[0]
     sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
     assert len(sizes) > 20 and max(sizes) < 5_000
     ends = ranged.groupBy("_range").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("_range").collect()

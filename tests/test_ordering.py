@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from riskframe.functions.ordering import previous_value, running_sums
+from riskframe.functions import ordering
+from riskframe.functions.ordering import previous_value, running_sums, with_ranges
 from riskframe.functions.quantiles import exact_quantiles
 
 
@@ -15,8 +17,10 @@ def _hot_values(n, seed):
     return [7.25 if i % 3 == 0 else rng.gauss(0, 1) * 10 ** rng.randint(-3, 6) for i in range(n)]
 
 
-@pytest.mark.parametrize("per_range", [None, 40])
-def test_running_sums(spark, per_range):
+@pytest.mark.parametrize("per_range, most", [(None, None), (40, None), (10, 8)])
+def test_running_sums(spark, monkeypatch, per_range, most):
+    if most:
+        monkeypatch.setattr(ordering, "MAX_RANGES", most)      # ranges within coarse ranges
     rng = random.Random(1)
     rows = [(g, k, rng.randint(0, 9)) for g in ("a", "b") for k in rng.sample(range(10_000), 700)]
     df = spark.createDataFrame(rows, "g string, k int, n int")
@@ -32,15 +36,20 @@ def test_running_sums(spark, per_range):
     assert len(got) == len(rows)
 
 
-def test_running_sums_over_text_without_groups(spark):
+@pytest.mark.parametrize("most", [None, 4])
+def test_running_sums_over_text_without_groups(spark, monkeypatch, most):
+    if most:
+        monkeypatch.setattr(ordering, "MAX_RANGES", most)
     words = [f"w{i:05d}" for i in range(500)]
     df = spark.createDataFrame([(w, 1) for w in words], "w string, one int")
     got = {r["w"]: r["cum_one"] for r in running_sums(df, [], "w", ["one"], 30).collect()}
     assert got == {w: i + 1 for i, w in enumerate(words)}
 
 
-@pytest.mark.parametrize("per_range", [None, 25])
-def test_previous_value(spark, per_range):
+@pytest.mark.parametrize("per_range, most", [(None, None), (25, None), (10, 8)])
+def test_previous_value(spark, monkeypatch, per_range, most):
+    if most:
+        monkeypatch.setattr(ordering, "MAX_RANGES", most)
     rng = random.Random(2)
     rows = [(rng.choice("xy"), i, None if rng.random() < 0.2 else rng.randint(0, 5)) for i in range(600)]
     df = spark.createDataFrame(rows, "g string, k int, v int")
@@ -51,6 +60,18 @@ def test_previous_value(spark, per_range):
         last[g] = v
 
 
+def test_ranges_keep_their_size_at_any_number_of_rows(spark, monkeypatch):
+    """Forced small limits: many more ranges than one split table may hold, none far above its size."""
+    monkeypatch.setattr(ordering, "MAX_RANGES", 16)
+    df = spark.range(20_000).select((F.col("id") * 7 % 20_011).alias("k"))
+    placed, names = with_ranges(df, [], "k", 20_000, 50)
+    assert names == ["_coarse", "_range"]
+    sizes = [r["n"] for r in placed.groupBy(*names).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 20_000 and len(sizes) > 300 and max(sizes) < 50 * 12
+    spans = placed.groupBy(*names).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy(*names).collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(spans, spans[1:]))
+
+
 @pytest.mark.parametrize("limit", [50_000, 0])
 @pytest.mark.parametrize("by", [(), ("g",)])
 def test_exact_quantiles(spark, limit, by):
