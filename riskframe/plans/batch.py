@@ -12,7 +12,11 @@ from riskframe.spec import FeatureSpec
 
 
 def score_table(raw: DataFrame, spec: FeatureSpec, store: ModelStore, name: str | None = None) -> DataFrame:
-    """Original columns plus label and probability; one narrow stage, no shuffle."""
+    """Original columns plus label and probability; one narrow stage, no shuffle.
+
+    Model, preparation and flag mode are of one saved version, whatever is saved meanwhile.
+    """
+    store = store.pinned()
     return score(raw, spec, store.prep(), store.model(name).predict, store.flag_mode())
 
 
@@ -33,5 +37,6 @@ def score_csv(
 def score_json_records(
     df: DataFrame, column: str, spec: FeatureSpec, store: ModelStore, name: str | None = None
 ) -> DataFrame:
+    store = store.pinned()
     model = store.model(name)
     return score_records(df, column, spec, store.prep(), model.predict, model.name, store.flag_mode())

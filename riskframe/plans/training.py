@@ -83,14 +83,14 @@ def train(
     if out_dir:
         write_processed(prepared, f"{out_dir}/processed")
         write_metrics(metrics, f"{out_dir}/model_comparison")
-        ModelStore(spark, f"{out_dir}/store", spec).save(models, prep, best, config.clean)
+        version = ModelStore(spark, f"{out_dir}/store", spec).save(models, prep, best, config.clean)
         now = datetime.now(UTC)
         snapshot = f"{out_dir}/config_snapshot"
         spark.createDataFrame([(config.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(snapshot)
         write_scored(unknown, f"{out_dir}/rejected")
         append_run(run_record(
             spark, run_id=now.strftime("%Y%m%dT%H%M%SZ"), timestamp_utc=now, best_model_name=best,
-            best_model_file=f"models/{best}", model_dir=f"{out_dir}/store", reports_dir=out_dir,
+            best_model_file=f"versions/{version}/models/{best}", model_dir=f"{out_dir}/store", reports_dir=out_dir,
             config_snapshot_path=snapshot, metrics_path=f"{out_dir}/model_comparison",
         ), f"{out_dir}/runs")
     return TrainResult(metrics, best, models, prep, scored, unknown)

@@ -1,3 +1,4 @@
+from dataclasses import replace
 import json
 import random
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from riskframe.catalog import inputs
 from riskframe.config import ForestConfig, KernelConfig, RunConfig
 from riskframe.operators import evaluate, kernel, learn
+from riskframe.operators.prepare import PrepModel
 from riskframe.plans.batch import score_csv, score_json_records, score_table
 from riskframe.plans.registry import ModelStore
 from riskframe.plans.training import train
@@ -101,6 +103,26 @@ def test_reloaded_models_score_the_same(trained, spark, sf):
         assert again == dict(map(tuple, fresh))
 
 
+def test_store_switches_whole_versions(spark, tmp_path):
+    def prep(mean):
+        spec = replace(CLINICAL, continuous=("age_years",), flags=(), categorical=())
+        return PrepModel(spec, {"age_years": 0.0}, {"age_years": mean}, {"age_years": 1.0}, {})
+
+    class Dying:
+        def save(self, path):
+            raise RuntimeError("lost")
+
+    store = ModelStore(spark, str(tmp_path / "s"), prep(0.0).spec)
+    store.save({}, prep(1.0), "a")
+    reader = store.pinned()
+    with pytest.raises(RuntimeError, match="lost"):
+        store.save({"b": Dying()}, prep(9.0), "b")
+    assert store.best_name() == "a" and store.prep().mean["age_years"] == 1.0
+    store.save({}, prep(2.0), "c")
+    assert store.best_name() == "c" and store.prep().mean["age_years"] == 2.0
+    assert reader.best_name() == "a" and reader.prep().mean["age_years"] == 1.0
+
+
 def test_missing_model_raises(spark, tmp_path, trained):
     with pytest.raises(FileNotFoundError):
         ModelStore(spark, str(tmp_path / "none"), CLINICAL).model()
