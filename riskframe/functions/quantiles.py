@@ -12,23 +12,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 import math
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from riskframe.functions.ordering import running_sums
+from riskframe.functions.ordering import ROWS_PER_RANGE, running_sums
 
 DISTINCT_LIMIT = 50_000
 ACCURACY = 10_000
 
 
-def _long(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    return df.select(
-        *by,
-        F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols
-        ])).alias("_fv"),
-    ).select(*by, "_fv.feature", "_fv.value").where(F.col("value").isNotNull())
-
-
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
@@ -68,64 +59,89 @@ def _buffered(df: DataFrame, by: list[str], cols: list[str], probs: list[float])
 
 
 def _ranked(df: DataFrame, by: list[str], cols: list[str], probs: list[float]) -> DataFrame:
+    """Three scans: brackets, the rows below and up to each, the values inside.
+
+    Brackets are literals, or columns of one row per group; no scan multiplies rows but by those
+    inside a bracket. Few values are ranked in one window per quantile, more over key ranges.
+    """
     spark = df.sparkSession
-    long = _long(df, by, cols)
     keys = [*by, "feature"]
+    values = df.select(*by, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
     eps = 2.0 / ACCURACY
     around = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-eps, eps)]
-    found = long.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-        F.percentile_approx("value", around, ACCURACY).alias("near"),
-    ).collect()
-    # One target per (group, feature, probability): its two ranks and its bracket.
-    targets = []
-    for r in found:
-        for slot, p in enumerate(probs):
-            at = p * (r["n"] - 1)
-            targets.append({
-                **{k: r[k] for k in keys}, "slot": slot, "below": 0,
-                "rank_lo": math.floor(at), "rank_hi": math.ceil(at), "frac": at - math.floor(at),
-                "lo": r["least"] if p <= eps else r["near"][2 * slot],
-                "hi": r["most"] if p >= 1 - eps else r["near"][2 * slot + 1],
-                "least": r["least"], "most": r["most"],
-            })
+
+    def summary(v: str) -> Column:
+        return F.struct(
+            F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"),
+            F.percentile_approx(v, around, ACCURACY).alias("near"),
+        ).alias(v)
+
+    # One target per (group, column, probability): its two ranks and its bracket.
+    targets = {}
+    for r in values.groupBy(*by).agg(*[summary(f"_v{i}") for i in range(len(cols))]).collect():
+        for i in range(len(cols)):
+            found = r[f"_v{i}"]
+            for slot, p in enumerate(probs if found["n"] else []):
+                at = p * (found["n"] - 1)
+                targets[(*[r[k] for k in by], i, slot)] = {
+                    "below": 0, "inside": found["n"], "least": found["least"], "most": found["most"],
+                    "rank_lo": math.floor(at), "rank_hi": math.ceil(at), "frac": at - math.floor(at),
+                    "lo": found["least"] if p <= eps else found["near"][2 * slot],
+                    "hi": found["most"] if p >= 1 - eps else found["near"][2 * slot + 1],
+                }
+    slots = sorted({k[-2:] for k in targets})
+    groups = sorted({k[:-2] for k in targets}, key=str)
+
+    def bracketed() -> DataFrame:
+        """The values beside the brackets of their group."""
+        edges = [(e, i, slot) for i, slot in slots for e in ("lo", "hi")]
+        if not by:
+            return values.withColumns({f"_{e}{i}_{slot}": F.lit(targets[i, slot][e]).cast("double") for e, i, slot in edges})
+        schema = T.StructType([df.schema[c] for c in by] + [T.StructField(f"_{e}{i}_{s}", T.DoubleType()) for e, i, s in edges])
+        table = [(*g, *[targets[(*g, i, slot)][e] if (*g, i, slot) in targets else None for e, i, slot in edges]) for g in groups]
+        return values.join(spark.createDataFrame(table, schema), by)
+
+    reach = [F.count_if(F.col(f"_v{i}") < F.col(f"_lo{i}_{slot}")).alias(f"_below{i}_{slot}") for i, slot in slots]
+    reach += [F.count_if(F.col(f"_v{i}") <= F.col(f"_hi{i}_{slot}")).alias(f"_upto{i}_{slot}") for i, slot in slots]
+    for r in bracketed().groupBy(*by).agg(*reach).collect() if targets else []:
+        for i, slot in slots:
+            t = targets.get((*[r[k] for k in by], i, slot))
+            if t is None:
+                continue
+            below, upto = r[f"_below{i}_{slot}"], r[f"_upto{i}_{slot}"]
+            if below <= t["rank_lo"] and t["rank_hi"] < upto:
+                t["below"], t["inside"] = below, upto - below
+            else:
+                t["lo"], t["hi"] = t["least"], t["most"]
+    cells = [
+        F.struct(
+            F.lit(cols[i]).alias("feature"), F.lit(slot).alias("slot"), F.col(f"_v{i}").alias("value"),
+            F.col(f"_v{i}").between(F.col(f"_lo{i}_{slot}"), F.col(f"_hi{i}_{slot}")).alias("_in"))
+        for i, slot in slots
+    ]
     schema = T.StructType(
         [df.schema[c] for c in by]
         + [T.StructField("feature", T.StringType()), T.StructField("slot", T.IntegerType())]
         + [T.StructField(c, T.LongType()) for c in ("below", "rank_lo", "rank_hi")]
-        + [T.StructField(c, T.DoubleType()) for c in ("frac", "lo", "hi")]
+        + [T.StructField("frac", T.DoubleType())]
     )
-
-    def bracket_table() -> DataFrame:
-        return F.broadcast(
-            spark.createDataFrame([tuple(t[c] for c in schema.names) for t in targets], schema)
-        )
-
-    reach = {
-        tuple(r[k] for k in [*keys, "slot"]): r
-        for r in long.join(bracket_table(), keys).groupBy(*keys, "slot").agg(
-            F.count_if(F.col("value") < F.col("lo")).alias("below"),
-            F.count_if(F.col("value") <= F.col("hi")).alias("upto"),
-        ).collect()
-    }
-    for t in targets:
-        got = reach[tuple(t[k] for k in [*keys, "slot"])]
-        if got["below"] <= t["rank_lo"] and t["rank_hi"] < got["upto"]:
-            t["below"] = got["below"]
-        else:
-            t["lo"], t["hi"] = t["least"], t["most"]
+    ranks = spark.createDataFrame(
+        [(*k[:-2], cols[k[-2]], k[-1], t["below"], t["rank_lo"], t["rank_hi"], t["frac"]) for k, t in targets.items()], schema)
+    if not targets:
+        return ranks.select(*keys, F.array("frac").alias("q"))
     inside = (
-        long.join(bracket_table(), keys)
-        .where(F.col("value").between(F.col("lo"), F.col("hi")))
+        bracketed().select(*by, F.inline(F.filter(F.array(*cells), lambda c: c["_in"])))
         .groupBy(*keys, "slot", "value")
         .agg(F.count("*").alias("n"))
     )
-    ranked = running_sums(inside, [*keys, "slot"], "value", ["n"])
+    if max(t["inside"] for t in targets.values()) <= ROWS_PER_RANGE:
+        upto = Window.partitionBy(*keys, "slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = inside.withColumn("cum_n", F.sum("n").over(upto))
+    else:
+        ranked = running_sums(inside, [*keys, "slot"], "value", ["n"])
     last = F.col("below") + F.col("cum_n") - 1
     first = F.col("below") + F.col("cum_n") - F.col("n")
-    per_slot = ranked.join(bracket_table(), [*keys, "slot"]).groupBy(*keys, "slot", "frac").agg(
+    per_slot = ranked.join(ranks, [*keys, "slot"]).groupBy(*keys, "slot", "frac").agg(
         F.max(F.when(F.col("rank_lo").between(first, last), F.col("value"))).alias("v_lo"),
         F.max(F.when(F.col("rank_hi").between(first, last), F.col("value"))).alias("v_hi"),
     )

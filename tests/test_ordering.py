@@ -100,6 +100,19 @@ def test_quantile_brackets_that_miss_fall_back(spark, monkeypatch):
     np.testing.assert_allclose(got, np.quantile(xs, [0.05, 0.5, 0.93]), rtol=1e-12)
 
 
+def test_quantiles_over_key_ranges_and_empty_groups(spark, monkeypatch):
+    from riskframe.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "ROWS_PER_RANGE", 0)    # ranked over key ranges, not in one window
+    xs = _hot_values(2_000, 6)
+    rows = [(i % 2, x, None if i % 2 else x / 2) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    got = {(r["g"], r["feature"]): r["q"] for r in exact_quantiles(df, ["a", "b"], [0.1, 0.5], ["g"], distinct_limit=0).collect()}
+    assert set(got) == {(0, "a"), (1, "a"), (0, "b")}       # no value, no row
+    np.testing.assert_allclose(got[0, "b"], np.quantile([r[2] for r in rows if r[2] is not None], [0.1, 0.5]), rtol=1e-12)
+    assert exact_quantiles(df.limit(0), ["a"], [0.5], distinct_limit=-1).collect() == []
+
+
 def test_staging_never_uses_local_folder_on_a_cluster(spark, monkeypatch):
     from riskframe.functions import staging
 
