@@ -148,7 +148,7 @@ def scaler_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _check_width(width: Mapping[str, int]) -> None:
     wide = [c for c, n in width.items() if n > MAX_CATEGORIES]
     if wide:
-        raise ValueError(f"{wide} exceed {MAX_CATEGORIES} categories; use operators.wide")
+        raise ValueError(f"{wide} exceed {MAX_CATEGORIES} categories; use onehot_long or operators.wide")
 
 
 def categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
