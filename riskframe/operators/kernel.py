@@ -3,8 +3,8 @@
 An exact RBF solver is quadratic in rows. Random features (Rahimi & Recht, 2007)
 turn the kernel into a dot product of ``components`` cosines, so a linear SVM on
 them is linear in rows. Scores become probabilities by Platt's method (1999),
-fitted on out-of-fold scores. All folds and the fit on all rows are solved together
-(``margins``), over cosines that are computed once.
+fitted on out-of-fold scores. All folds and the fit on all rows go through the same staged rows
+(``margins``), which hold the inputs; a step computes the cosines of a block of rows at a time.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from riskframe.config import KernelConfig
+from riskframe.functions.staging import stage
 from riskframe.operators import margins
 from riskframe.operators.learn import SVM, WEIGHT, assembler
 from riskframe.operators.split import apply_folds, fit_folds
@@ -119,16 +119,13 @@ def load_kernel(spark: SparkSession, path: str) -> KernelSvm:
     return KernelSvm(SVM, tuple(r["columns"]), r["gamma"], config, tuple(r["coefficients"]), r["slope"], r["offset"])
 
 
-def _blocks(rows: DataFrame, target: str, columns: Sequence[str], gamma: float, config: KernelConfig,
-            fold: str | None) -> DataFrame:
-    features = fourier_map(len(columns), gamma, config.components, config.seed)
-    return margins.pack(
-        rows.withColumn("_x", _inputs(columns)), "_x", target, WEIGHT, fold, features
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+def _staged(rows: DataFrame, target: str, columns: Sequence[str], fold: str | None) -> DataFrame:
+    """The inputs as narrow rows; their cosines, many times as wide, are not kept."""
+    return stage(margins.pack(rows.withColumn("_x", _inputs(columns)), "_x", target, WEIGHT, fold), "kernel_rows")
 
 
-def _fit(blocks: DataFrame, left_out: Sequence[int], config: KernelConfig) -> list[np.ndarray]:
-    return margins.fit_margins(blocks, left_out, config.components, config.c, config.max_iter, config.tol)
+def _fit(rows: DataFrame, left_out: Sequence[int], config: KernelConfig, features: Callable) -> list[np.ndarray]:
+    return margins.fit_margins(rows, left_out, config.components, config.c, config.max_iter, config.tol, features)
 
 
 def fit_kernel_svm(
@@ -136,11 +133,8 @@ def fit_kernel_svm(
 ) -> KernelSvm:
     """Uncalibrated fit on all rows (slope 1, offset 0)."""
     gamma = kernel_gamma(train, columns)
-    blocks = _blocks(train, target, columns, gamma, config, None)
-    try:
-        (beta,) = _fit(blocks, [margins.ALL], config)
-    finally:
-        blocks.unpersist()
+    features = fourier_map(len(columns), gamma, config.components, config.seed)
+    (beta,) = _fit(_staged(train, target, columns, None), [margins.ALL], config, features)
     return KernelSvm(SVM, tuple(columns), gamma, config, tuple(beta.tolist()), 1.0, 0.0)
 
 
@@ -150,15 +144,14 @@ def fit_calibrated_svm(
     """Out-of-fold scores from ``folds`` fits, one sigmoid on them, and a fit on all rows.
 
     Fold membership is a comparison of the id's hash with fitted cuts. All fits go through the
-    same blocks, one scan per step for all of them.
+    same staged rows, those of the folds with one scan per step for all of them.
     """
     gamma = kernel_gamma(train, columns)
+    features = fourier_map(len(columns), gamma, config.components, config.seed)
     folded = apply_folds(train, fit_folds(train, id_col, target, config.folds, config.seed))
-    blocks = _blocks(folded, target, columns, gamma, config, "fold")
-    try:
-        folds = list(range(config.folds))
-        *parts, whole = _fit(blocks, [*folds, margins.ALL], config)
-        slope, offset = fit_sigmoid(margins.held_out_scores(blocks, folds, parts), "score", "label")
-    finally:
-        blocks.unpersist()
+    rows = _staged(folded, target, columns, "fold")
+    folds = list(range(config.folds))
+    *parts, whole = _fit(rows, [*folds, margins.ALL], config, features)
+    scores = stage(margins.held_out_scores(rows, folds, parts, features), "held_out_scores")
+    slope, offset = fit_sigmoid(scores, "score", "label")
     return KernelSvm(SVM, tuple(columns), gamma, config, tuple(whole.tolist()), slope, offset)

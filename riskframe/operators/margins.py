@@ -1,10 +1,12 @@
 """Several linear margin classifiers over the same vectors, fitted in one job per step.
 
 The folds of a cross-fit and the fit on all rows differ only in the rows they leave out. The
-vectors are packed into matrix blocks once, and each step reads every block once: for all open
-problems it adds up loss, gradient and curvature, as one partial sum per task, merged in a tree.
+rows are kept narrow, as they came; each step reads every row once, widens a block of rows at a time
+by ``features`` and adds up, for all open problems, loss, gradient and curvature, as one partial sum
+per task, merged in a tree. No task holds more than one Arrow batch of narrow rows and one wide block.
 The driver holds one vector and one square matrix per problem, whose size is the width of the
-vectors whatever the number of rows.
+vectors whatever the number of rows. With the fit on all rows among them, folds start from it in
+the last bands, where few rows bend the loss.
 
 The hinge is rounded off over a band of ``width`` around the margin, so Newton steps apply
 (Chapelle, 2007). Fits start from a band that holds every row and end with the last of ``BANDS``, where the loss of
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Rows of one block, partial sums that one task or the driver adds up, band widths in turn.
+#: Rows widened at a time, partial sums that one task or the driver adds up, band widths in turn.
 BLOCK_ROWS = 2048
 FAN_IN = 32
 BANDS = (2.0, 0.5, 0.1, 0.02)
@@ -30,44 +32,56 @@ STEPS = (1.0, 0.5, 0.25, 0.125, 0.0625, 0.03125)
 MOST_DAMPING = 10.0
 #: What is left to gain when a fit goes on to the next band but the last.
 ON_THE_WAY = 1e-2
+#: The share of ``tol`` at which the last band ends. Its steps end in few by themselves, and fits
+#: that came from different starts then agree.
+AT_THE_END = 1e-6
 #: The problem that leaves no fold out.
 ALL = -1
 
-_BLOCK = "x binary, sign binary, weight binary, fold binary"
+#: The band in which folds start from the fit on all rows.
+REFINED = len(BANDS) - 2
+
+_ROW = "x array<double>, sign double, weight double, fold double"
 _SUM = "part int, sums binary"
 
 
+def _same(x: np.ndarray) -> np.ndarray:
+    return x
+
+
 def pack(rows: DataFrame, vector: str, target: str, weight: str, fold: str | None,
-         features: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Blocks of (features with a column of ones, sign of the label, weight, fold)."""
+         features: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Rows (vector, sign of the label, weight, fold), spread evenly.
+
+    ``features`` widens the vectors before they are kept; a wide map is better left to ``fit_margins``.
+    """
     chosen = rows.select(
-        F.col(vector).alias("x"), F.col(target).cast("double").alias("y"), F.col(weight).cast("double").alias("w"),
-        (F.col(fold) if fold else F.lit(ALL - 1)).cast("double").alias("fold"),
+        F.col(vector).cast("array<double>").alias("x"), F.when(F.col(target) == 1, 1.0).otherwise(-1.0).alias("sign"),
+        F.col(weight).cast("double").alias("weight"), (F.col(fold) if fold else F.lit(ALL - 1)).cast("double").alias("fold"),
     )
 
     # One narrow shuffle: tasks and partial sums then follow the cluster, not the input's files.
     chosen = chosen.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    if features is None:
+        return chosen
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK_ROWS):
-                b = whole.slice(at, BLOCK_ROWS)
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                y, w, f = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-                z = np.hstack([features(x), np.ones((b.num_rows, 1))])
-                cells = (z, np.where(y == 1, 1.0, -1.0), w, f)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cells],
-                    names=["x", "sign", "weight", "fold"])
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, *others in _unpacked(batches, features):
+            wide = pa.FixedSizeListArray.from_arrays(pa.array(x[:, :-1].ravel()), x.shape[1] - 1).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([wide, *map(pa.array, others)], names=["x", "sign", "weight", "fold"])
 
-    return chosen.mapInArrow(blocks, _BLOCK)
+    return chosen.mapInArrow(widen, _ROW)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            x, sign, weight, fold = (np.frombuffer(batch.column(c)[i].as_buffer()) for c in range(4))
-            yield x.reshape(len(sign), -1), sign, weight, fold
+def _unpacked(batches: Iterator[pa.RecordBatch],
+              features: Callable[[np.ndarray], np.ndarray] = _same) -> Iterator[tuple[np.ndarray, ...]]:
+    """(features with a column of ones, sign, weight, fold) of at most BLOCK_ROWS rows."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, BLOCK_ROWS):
+            b = whole.slice(at, BLOCK_ROWS)
+            x = features(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            sign, weight, fold = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            yield np.hstack([x, np.ones((b.num_rows, 1))]), sign, weight, fold
 
 
 def rounded_hinge(margin: np.ndarray, width: float) -> np.ndarray:
@@ -91,7 +105,8 @@ class _Problem:
     curvature: np.ndarray = field(default=None, repr=False)
 
 
-def _sums(problems: list[tuple[int, np.ndarray, np.ndarray, float]]) -> Callable:
+def _sums(problems: list[tuple[int, np.ndarray, np.ndarray, float]],
+          features: Callable[[np.ndarray], np.ndarray]) -> Callable:
     """Per task: for each problem the loss at all trial steps, and gradient and curvature at the whole step."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +115,7 @@ def _sums(problems: list[tuple[int, np.ndarray, np.ndarray, float]]) -> Callable
         total = None
         at = np.array([p[1] for p in problems]).T
         move = np.array([p[2] for p in problems]).T
-        for x, sign, weight, fold in _unpacked(batches):
+        for x, sign, weight, fold in _unpacked(batches, features):
             here, go = x @ at * sign[:, None], x @ move * sign[:, None]
             parts = []
             for j, (left_out, _, _, width) in enumerate(problems):
@@ -146,12 +161,12 @@ def tree_sum(partials: DataFrame, parts: int) -> np.ndarray | None:
 
 
 def fit_margins(blocks: DataFrame, left_out: Sequence[int], width: int, c: float = 1.0, max_steps: int = 30,
-                tol: float = 1e-6) -> list[np.ndarray]:
+                tol: float = 1e-6, features: Callable[[np.ndarray], np.ndarray] = _same) -> list[np.ndarray]:
     """Coefficients, the intercept last, of each problem: weighted mean hinge plus a ridge of 1 / (c * weight).
 
-    ``blocks`` should be persisted or staged, as every step scans it once. A problem ends when the
-    decrease that a Newton step still promises is below ``tol`` of its objective in the last band,
-    or after ``max_steps`` steps.
+    ``width`` is that of the vectors after ``features``. ``blocks`` should be persisted or staged, as
+    every step scans it once. A problem ends when the decrease that a Newton step still promises is far
+    below ``tol`` of its objective in the last band, or after ``max_steps`` steps.
     """
     parts = blocks.rdd.getNumPartitions()
     n = width + 1
@@ -159,13 +174,32 @@ def fit_margins(blocks: DataFrame, left_out: Sequence[int], width: int, c: float
     whole = sum(weights.values())
     open_weight = {k: whole - weights.get(float(k), 0.0) for k in left_out}
     problems = [_Problem(k, np.zeros(n), np.zeros(n), done=open_weight[k] <= 0) for k in left_out]
-    ridge = np.append(np.ones(width), 0.0)
+
+    def solve(some: list[_Problem]) -> None:
+        _descend(blocks, parts, some, open_weight, n, c, max_steps, tol, features)
+
+    first = next((p for p in problems if p.left_out == ALL), None)
+    if first is None:
+        solve(problems)
+    else:
+        solve([first])
+        rest = [p for p in problems if p is not first]
+        for p in rest:
+            if not p.done:
+                p.at, p.band = first.at.copy(), REFINED
+        solve(rest)
+    return [p.at for p in problems]
+
+
+def _descend(blocks: DataFrame, parts: int, problems: list[_Problem], open_weight: dict[int, float], n: int, c: float,
+             max_steps: int, tol: float, features: Callable[[np.ndarray], np.ndarray]) -> None:
+    ridge = np.append(np.ones(n - 1), 0.0)
     for _ in range(max_steps * 2):
         active = [p for p in problems if not p.done]
         if not active:
             break
         sums = tree_sum(
-            blocks.mapInArrow(_sums([(p.left_out, p.at, p.move, BANDS[p.band]) for p in active]), _SUM), parts)
+            blocks.mapInArrow(_sums([(p.left_out, p.at, p.move, BANDS[p.band]) for p in active], features), _SUM), parts)
         for p, s in zip(active, sums.reshape(len(active), -1)):
             total = open_weight[p.left_out]
             reg = ridge / (c * total)
@@ -187,14 +221,13 @@ def fit_margins(blocks: DataFrame, left_out: Sequence[int], width: int, c: float
                     _aim(p, tol)
                 else:
                     _narrow(p)
-    return [p.at for p in problems]
 
 
 def _aim(p: _Problem, tol: float) -> None:
     """Set the next Newton step, or go on to the next band when little is left to gain."""
     p.move = -np.linalg.solve(p.curvature + p.damping * np.eye(len(p.at)), p.gradient)
     p.slope = float(p.gradient @ p.move)
-    if -p.slope / 2 <= (tol if p.band == len(BANDS) - 1 else max(tol, ON_THE_WAY)) * max(p.value, 1e-12):
+    if -p.slope / 2 <= (AT_THE_END * tol if p.band == len(BANDS) - 1 else max(tol, ON_THE_WAY)) * max(p.value, 1e-12):
         _narrow(p)
 
 
@@ -205,24 +238,17 @@ def _narrow(p: _Problem) -> None:
 
 
 def _fold_weights(blocks: DataFrame) -> dict[float, float]:
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict[float, float] = {}
-        for _, _, weight, fold in _unpacked(batches):
-            for k in np.unique(fold):
-                of[float(k)] = of.get(float(k), 0.0) + float(weight[fold == k].sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(of), pa.float64()), pa.array(list(of.values()), pa.float64())], names=["fold", "weight"])
-
-    rows = blocks.mapInArrow(weigh, "fold double, weight double").groupBy("fold").agg(F.sum("weight").alias("weight"))
+    rows = blocks.groupBy("fold").agg(F.sum("weight").alias("weight"))
     return {r["fold"]: r["weight"] for r in rows.collect()}
 
 
-def held_out_scores(blocks: DataFrame, left_out: Sequence[int], fits: Sequence[np.ndarray]) -> DataFrame:
+def held_out_scores(blocks: DataFrame, left_out: Sequence[int], fits: Sequence[np.ndarray],
+                    features: Callable[[np.ndarray], np.ndarray] = _same) -> DataFrame:
     """(label, score) of every row by the fit that left its fold out."""
     by_fold = dict(zip(left_out, fits))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, sign, _, fold in _unpacked(batches):
+        for x, sign, _, fold in _unpacked(batches, features):
             out = np.zeros(len(sign))
             for k, beta in by_fold.items():
                 rows = fold == k

@@ -69,3 +69,23 @@ def test_no_rows_and_one_class(spark):
     assert not none.any()
     (one,) = margins.fit_margins(_blocks(df.where("y = 1")), [margins.ALL], 6)
     assert np.isfinite(one).all() and one[-1] > 0.9
+
+
+def test_rows_stay_narrow_and_are_widened_a_block_at_a_time(spark):
+    df, x, *_ = _rows(spark)
+
+    def features(a):
+        if len(a) > margins.BLOCK_ROWS:
+            raise ValueError("more than a block")
+        return np.hstack([np.cos(a), np.sin(a)])
+
+    narrow = margins.pack(df, "x", "y", "w", "fold").persist()
+    assert narrow.select(F.max(F.size("x"))).first()[0] == 6
+    wide = margins.pack(df, "x", "y", "w", "fold", features).persist()
+    assert wide.select(F.max(F.size("x"))).first()[0] == 12
+    folds = [0, 1, margins.ALL]
+    got = margins.fit_margins(narrow, folds, 12, features=features)
+    np.testing.assert_allclose(got, margins.fit_margins(wide, folds, 12), atol=1e-6)
+    scores = [sorted(r["score"] for r in s.collect()) for s in (
+        margins.held_out_scores(narrow, folds[:2], got, features), margins.held_out_scores(wide, folds[:2], got))]
+    np.testing.assert_allclose(*scores, atol=1e-9)
