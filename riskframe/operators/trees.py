@@ -4,6 +4,8 @@ All open nodes of all trees are split at once. Per level one job sends every row
 grown so far and counts classes by (node, feature, value); running counts over the values of each node and
 feature then give the gain of every threshold, and one aggregate keeps the best of each node.
 Thresholds lie half-way between neighbouring values that occur, so a tree without bins is exact.
+With bins, rows are staged as bin numbers, a byte each, and a task counts a tree at a time into one dense
+table, so what goes to the search is one short record for each node and task, whatever the number of rows.
 Counts of a node with bins or few rows are searched by one task; the values of larger nodes go through
 key ranges, so no task holds all values of a node.
 
@@ -33,6 +35,13 @@ from riskframe.sources.readers import read_json
 #: Rows that a task counts at a time, and the cells of a dense count.
 PIECE_ROWS = 65_536
 DENSE_CELLS = 1 << 24
+#: With bins: rows that are counted into one table of a tree, rows walked at a time, and the most cells of that table; levels with more
+#: open nodes send sparse counts.
+TABLE_ROWS = 1 << 20
+BLOCK_ROWS = 32_768
+TABLE_CELLS = 1 << 22
+#: Nodes searched at a time.
+SEARCH_NODES = 1_024
 #: Without bins, the values of nodes with more rows are cut into key ranges; others fit into a task.
 LOCAL_ROWS = 200_000
 #: Counts that a task searches at a time, whole nodes each.
@@ -42,6 +51,9 @@ _BEST = "node int, feature int, threshold double, cum_n0 bigint, cum_n1 bigint"
 _BEST_TYPES = pa.schema([("node", pa.int32()), ("feature", pa.int32()), ("threshold", pa.float64()), ("cum_n0", pa.int64()), ("cum_n1", pa.int64())])
 _CARD = "name string, columns array<string>, w0 double, w1 double"
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 12)])))
+#: The draw by the first 12 bits of a hash, -1 where the other bits decide.
+_EDGES = np.searchsorted(_POISSON, np.arange(4_097) / 4_096)
+_DRAWS = np.where((_EDGES[1:] == _EDGES[:-1]) & (_EDGES[:-1] < len(_POISSON)), _EDGES[:-1], -1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -53,8 +65,30 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def bootstrap(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often each row, given by the hash of its id, is drawn for a tree: Poisson with mean 1."""
     salt = _mixed(np.array([(seed << 32) + tree + 1], dtype=np.uint64))[0]
-    u = (_mixed(ids.astype(np.uint64) ^ salt) >> np.uint64(11)) / float(1 << 53)
-    return np.searchsorted(_POISSON, u).astype(np.int64)
+    h = _mixed(ids.astype(np.uint64) ^ salt)
+    w = _DRAWS[(h >> np.uint64(52)).astype(np.int64)]
+    edge = np.flatnonzero(w < 0)
+    w[edge] = np.searchsorted(_POISSON, (h[edge] >> np.uint64(11)) / float(1 << 53))
+    return w
+
+
+def _walk(flat: np.ndarray, rows: np.ndarray, root: int, feature: np.ndarray, limit: np.ndarray, lower: np.ndarray,
+          most: int | None = None) -> np.ndarray:
+    """The node in which ``rows`` end after ``most`` steps, or at a leaf, from ``root`` on.
+
+    ``flat`` holds the cells of each feature in turn and ``feature`` where these begin. A leaf leads
+    to itself: its limit is no cell's to exceed, its ``lower`` is the leaf.
+    """
+    at = np.full(len(rows), root, dtype=np.int64)
+    while most is None or most > 0:
+        cell = feature.take(at)
+        cell += rows
+        node = lower.take(at)
+        node += flat.take(cell) > limit.take(at)
+        if most is None and np.array_equal(node, at):
+            break
+        at, most = node, None if most is None else most - 1
+    return at
 
 
 @dataclass(frozen=True)
@@ -71,39 +105,75 @@ class Nodes:
 
     def leaves(self, x: np.ndarray, trees: int) -> np.ndarray:
         """The node (row, tree) in which each row of ``x`` ends."""
-        at = np.broadcast_to(np.arange(trees, dtype=np.int32), (len(x), trees)).copy()
-        flat, rows = at.ravel(), np.repeat(np.arange(len(x), dtype=np.int32), trees)
-        todo = np.flatnonzero(self.feature[flat] >= 0)
-        while len(todo):
-            node = flat[todo]
-            low = x[rows[todo], self.feature[node]] <= self.threshold[node]
-            node = np.where(low, self.lower[node], self.upper[node])
-            flat[todo] = node
-            todo = todo[self.feature[node] >= 0]
-        return flat.reshape(at.shape)
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash of id, class, features) of at most about PIECE_ROWS rows."""
+        # A missing value goes to the upper side.
+        flat, rows = np.ascontiguousarray(np.where(np.isnan(x), np.inf, x).T).ravel(), np.arange(len(x))
+        limit = np.where(self.feature >= 0, self.threshold, np.inf)
+        feature, limit, lower = self._steps(limit)
+        return np.stack([_walk(flat, rows, t, feature * len(x), limit, lower) for t in range(trees)], axis=1)
+
+    def _steps(self, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        leaf = self.feature < 0
+        return np.where(leaf, 0, self.feature).astype(np.int64), limit, np.where(leaf, np.arange(len(leaf)), self.lower).astype(np.int64)
+
+    def coded(self, cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature, last bin of the lower side and lower node, as ``_walk`` takes them."""
+        limit = np.full(len(self.feature), max(map(len, cuts)) + 1, dtype=np.int32)
+        for k, c in enumerate(cuts):
+            mine = self.feature == k
+            limit[mine] = np.searchsorted(c, self.threshold[mine])
+        return self._steps(limit)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], width: int, code: str | None = None,
+            most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash of id, class, features) of at most about ``most`` rows; with ``code`` the features are bins of that type."""
     held: list[pa.RecordBatch] = []
+    most = most or PIECE_ROWS
 
     def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         t = pa.Table.from_batches(held).combine_chunks()
-        x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), width)
-        if np.isnan(x).any():
-            raise ValueError("trees need features without missing values")
+        x = t["x"].combine_chunks()
+        if code:
+            x = np.frombuffer(b"".join(x.to_pylist()), code).reshape(len(t), width)
+        else:
+            x = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), width)
+            if np.isnan(x).any():
+                raise ValueError("trees need features without missing values")
         return t["h"].to_numpy().view(np.uint64), t["y"].to_numpy().astype(np.int64), x
 
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-        if sum(b.num_rows for b in held) >= PIECE_ROWS:
+        if sum(b.num_rows for b in held) >= most:
             yield joined()
             held.clear()
     if held:
         yield joined()
 
 
+def _binary(table: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    n, size = len(table), table.shape[1] * table.itemsize
+    ends = np.arange(0, (n + 1) * size, size, dtype=np.int32) if size else np.zeros(n + 1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(table))])
+
+
+def _code_type(cuts: list[np.ndarray]) -> str:
+    return "u1" if max(map(len, cuts)) < 256 else "u4"
+
+
+def _coded(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """``rows`` with the bin of each feature in place of its value."""
+    code = _code_type(cuts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, y, x in _pieces(batches, len(cuts)):
+            bins_of = np.stack([np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts)], axis=1).astype(code)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(y.astype(np.int32)), _binary(bins_of)], names=["h", "y", "x"])
+
+    return rows.mapInArrow(run, "h bigint, y int, x binary")
+
+
 def _node_features(nodes: np.ndarray, tree: np.ndarray, width: int, few: int, seed: int) -> np.ndarray:
     """The ``few`` features that each node may split on, ascending; a hash of tree and node chooses."""
     if few >= width:
@@ -119,20 +189,23 @@ def _counter(nodes: Nodes, opened: np.ndarray, may: np.ndarray, trees: int, cuts
     place = np.full(len(nodes.tree), -1, dtype=np.int32)
     place[opened] = np.arange(len(opened), dtype=np.int32)
     live = np.unique(nodes.tree[opened])
+    steps = nodes.coded(cuts) if cuts else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, y, x in _pieces(batches, width):
+        for ids, y, x in _pieces(batches, width, _code_type(cuts) if cuts else None):
             if cuts:
-                values = [np.arange(len(c) + 1, dtype=float) for c in cuts]
-                codes = np.stack([np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts)], axis=1).astype(np.int32)
+                values, codes = [np.arange(len(c) + 1, dtype=float) for c in cuts], x.astype(np.int32)
             else:
                 both = [np.unique(x[:, k], return_inverse=True) for k in range(width)]
                 values, codes = [v for v, _ in both], np.stack([c for _, c in both], axis=1).astype(np.int32)
             span = max(map(len, values))
-            ends = nodes.leaves(x, trees)
+            ends = nodes.leaves(x, trees) if steps is None else None
+            if steps:
+                flat, every, (feature_at, limit, lower) = np.ascontiguousarray(codes.T).ravel(), np.arange(len(x)), steps
+                feature_at = feature_at * len(x)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for t in live.tolist():
-                at = place[ends[:, t]]
+                at = place[ends[:, t] if steps is None else _walk(flat, every, t, feature_at, limit, lower)]
                 w = bootstrap(ids, t, seed) if sampled else np.ones(len(x), dtype=np.int64)
                 rows = np.flatnonzero((at >= 0) & (w > 0))
                 if not len(rows):
@@ -173,6 +246,90 @@ def _counter(nodes: Nodes, opened: np.ndarray, may: np.ndarray, trees: int, cuts
     return run
 
 
+def _table_counter(nodes: Nodes, opened: np.ndarray, may: np.ndarray, cuts: list[np.ndarray], depth: int, sampled: bool, seed: int):
+    """A job that counts, for each open node, both classes by (feature tried, bin) in one record."""
+    place = np.full(len(nodes.tree), -1, dtype=np.int64)
+    place[opened] = np.arange(len(opened))
+    live, first, many = np.unique(nodes.tree[opened], return_index=True, return_counts=True)
+    (feature, limit, lower), code, width, few = nodes.coded(cuts), _code_type(cuts), len(cuts), may.shape[1]
+    span = max(map(len, cuts)) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, y, x in _pieces(batches, width, code, TABLE_ROWS):
+            blocks = [(np.ascontiguousarray(x[lo:lo + BLOCK_ROWS].T).ravel(), ids[lo:lo + BLOCK_ROWS], y[lo:lo + BLOCK_ROWS])
+                      for lo in range(0, len(x), BLOCK_ROWS)]
+            starts = {n: (feature * n, may.T * np.int64(n)) for n in {len(cls) for _, _, cls in blocks}}
+            keys, weights = np.empty(len(x) * few, dtype=np.int64), np.empty(len(x) * few)
+            for t, base, n in zip(live.tolist(), first.tolist(), many.tolist()):
+                used = 0
+                for flat, h, cls in blocks:
+                    feature_at, tried_at = starts[len(h)]
+                    w = bootstrap(h, t, seed) if sampled else np.ones(len(h), dtype=np.int64)
+                    rows = np.flatnonzero(w)
+                    at = place.take(_walk(flat, rows, t, feature_at, limit, lower, depth))
+                    some = np.flatnonzero(at >= 0)
+                    rows, at = rows.take(some), at.take(some)
+                    cell, w = (at - base) * (few * span * 2) + cls.take(rows), w.take(rows)
+                    for k in range(few):
+                        of = tried_at[k].take(at)
+                        of += rows
+                        bin_ = flat.take(of).astype(np.int64)
+                        bin_ *= 2
+                        bin_ += cell
+                        np.add(bin_, k * span * 2, out=keys[used:used + len(rows)])
+                        weights[used:used + len(rows)] = w
+                        used += len(rows)
+                table = np.bincount(keys[:used], weights[:used], n * few * span * 2).reshape(n, -1).astype(np.int32)
+                some = np.flatnonzero(table.any(axis=1))
+                if len(some):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(opened[base + some].astype(np.int32)), _binary(table[some])], names=["node", "counts"])
+
+    return run
+
+
+def _table_searcher(opened: np.ndarray, may: np.ndarray, t0: np.ndarray, t1: np.ndarray, w0: float, w1: float, min_leaf: int, span: int):
+    """As ``_searcher``, for records of ``_table_counter`` that arrive sorted by node, those of a node together."""
+    few = may.shape[1]
+
+    def search(node: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        at = np.searchsorted(opened, node)
+        all0, all1 = t0[at][:, None], t1[at][:, None]
+        upto = np.cumsum(counts.reshape(len(node), few, span, 2), axis=2).reshape(len(node), few * span, 2)
+        c0, c1 = upto[..., 0], upto[..., 1]
+        left = c0 + c1
+        use = (left >= min_leaf) & (all0 + all1 - left >= min_leaf)
+        l0, l1, r0, r1 = c0 * w0, c1 * w1, (all0 - c0) * w0, (all1 - c1) * w1
+        whole = _purity(all0 * w0, all1 * w1)
+        with np.errstate(invalid="ignore"):
+            gain = np.where(use, _purity(l0, l1) + _purity(r0, r1) - whole, -np.inf)
+        # The first of the largest is that of the first feature and lowest bin.
+        best, every = gain.argmax(axis=1), np.arange(len(node))
+        pick = np.flatnonzero(gain[every, best] > 1e-12 * whole[:, 0])
+        best = best[pick]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node[pick]), pa.array(may[at[pick], best // span].astype(np.int32)), pa.array((best % span).astype(float)),
+             pa.array(c0[pick, best]), pa.array(c1[pick, best])], names=["node", "feature", "threshold", "cum_n0", "cum_n1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_node, kept = np.empty(0, np.int32), np.empty((0, few * span * 2), np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SEARCH_NODES):
+                part = batch.slice(lo, SEARCH_NODES)
+                node = np.concatenate([kept_node, part.column(0).to_numpy()])
+                data = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int32).reshape(part.num_rows, -1)
+                data = np.concatenate([kept, data])
+                start = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+                node, data = node[start], np.add.reduceat(data, start, axis=0)
+                kept_node, kept = node[-1:], data[-1:]
+                if len(node) > 1:
+                    yield search(node[:-1], data[:-1])
+        if len(kept_node):
+            yield search(kept_node, kept)
+
+    return run
+
+
 def _purity(a, b):
     """Class weights squared over their sum: the higher the sum of both sides, the lower the gini impurity."""
     return (a * a + b * b) / (a + b)
@@ -285,10 +442,13 @@ def grow(train: DataFrame, target: str, columns: Sequence[str], weights: tuple[f
     cuts = bins(train, columns, max_bins) if max_bins else None
     cores = rows.sparkSession.sparkContext.defaultParallelism
     # Trees do much work for each row and pass.
-    rows = stage(rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows, "tree_rows")
+    rows = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    rows = stage(_coded(rows, cuts) if cuts else rows, "tree_rows")
+    code = _code_type(cuts) if cuts else None
+    span = max(map(len, cuts)) + 1 if cuts else 0
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, y, _ in _pieces(batches, width):
+        for ids, y, _ in _pieces(batches, width, code):
             w = [bootstrap(ids, t, seed) if sampled else np.ones(len(y), dtype=np.int64) for t in range(trees)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(trees), pa.int32()), *[pa.array([int(v[y == c].sum()) for v in w], pa.int64()) for c in (0, 1)]],
@@ -305,6 +465,13 @@ def grow(train: DataFrame, target: str, columns: Sequence[str], weights: tuple[f
         if not len(opened):
             break
         may = _node_features(opened, nodes.tree[opened], width, few or width, seed)
+        if cuts and np.bincount(nodes.tree[opened]).max() * may.shape[1] * span * 2 <= TABLE_CELLS:
+            tables = rows.mapInArrow(_table_counter(nodes, opened, may, cuts, depth, sampled, seed), "node int, counts binary")
+            search = _table_searcher(opened, may, nodes.n0[opened], nodes.n1[opened], *weights, min_leaf, span)
+            best = tables.repartition("node").sortWithinPartitions("node").mapInArrow(search, _BEST).toArrow()
+            nodes, opened = _split(nodes, best.cast(_BEST_TYPES).sort_by("node"), cuts)
+            depth += 1
+            continue
         counted = rows.mapInArrow(
             _counter(nodes, opened, may, trees, cuts, width, sampled, seed), "node int, feature int, value double, n0 bigint, n1 bigint")
         summed = counted.groupBy("node", "feature", "value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))

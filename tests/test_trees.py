@@ -123,3 +123,32 @@ def test_one_class_and_no_rows(data, spark):
         assert {r["p"] for r in model.predict(df).select("p").collect()} == {1.0 if rows.count() else 0.5}
     with pytest.raises(Exception, match="without missing values"):
         learn.fit_tree(df.selectExpr("y", "CAST(NULL AS double) AS a", "b", "c", "d"), "y", COLUMNS)
+
+
+def test_tables_and_sparse_counts_grow_the_same_forest(data, monkeypatch):
+    """One record a node and piece, whatever its rows; levels with too many nodes send sparse counts."""
+    df, *_ = data
+    grow = lambda: trees.grow(df, "y", COLUMNS, WEIGHTS, 5, 2, trees=4, few=2, max_bins=32, id_col="id")
+    whole = grow()
+    monkeypatch.setattr(trees, "TABLE_ROWS", 50)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(trees, "SEARCH_NODES", 3)
+    assert same(whole, grow())
+    monkeypatch.setattr(trees, "TABLE_CELLS", 4 * 2 * 33 * 2)
+    assert same(whole, grow())
+
+
+def test_a_task_sends_one_record_for_each_open_node(data):
+    import pyarrow as pa
+
+    _, x, y = data
+    cuts = [np.arange(-2.05, 2.1, 0.1)] * 4
+    codes = np.stack([np.searchsorted(c, x[:, k]) for k, c in enumerate(cuts)], axis=1).astype("u1")
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(600)), pa.array(y.astype(np.int32)), trees._binary(codes)], names=["h", "y", "x"])
+    none = np.full(1, -1, dtype=np.int32)
+    root = trees.Nodes(np.zeros(1, np.int32), none, np.zeros(1), none, none, np.array([(y == 0).sum()]), np.array([y.sum()]))
+    run = trees._table_counter(root, np.arange(1), np.arange(4)[None, :], cuts, 0, False, 42)
+    (batch,) = run(iter([rows.slice(0, 100), rows.slice(100, 500)]))
+    counts = np.frombuffer(batch.column(1)[0].as_py(), np.int32).reshape(4, len(cuts[0]) + 1, 2)
+    assert batch.num_rows == 1 and (counts.sum(axis=(1, 2)) == 600).all() and (counts.sum(axis=1)[:, 1] == y.sum()).all()
