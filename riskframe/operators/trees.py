@@ -42,8 +42,10 @@ BLOCK_ROWS = 32_768
 TABLE_CELLS = 1 << 22
 #: Nodes searched at a time.
 SEARCH_NODES = 1_024
-#: Without bins, the values of nodes with more rows are cut into key ranges; others fit into a task.
+#: Without bins, the values of nodes with more of them are cut into key ranges; others fit into a task.
 LOCAL_ROWS = 200_000
+#: By how much an estimate of distinct values may be short.
+ESTIMATE_SLACK = 1.5
 #: Counts that a task searches at a time, whole nodes each.
 PIECE_COUNTS = 1 << 20
 _NODES = "tree int, feature int, threshold double, lower int, upper int, n0 bigint, n1 bigint"
@@ -427,6 +429,13 @@ def bins(train: DataFrame, columns: Sequence[str], max_bins: int) -> list[np.nda
     return [cuts[c] for c in names]
 
 
+def _values(train: DataFrame, columns: Sequence[str]) -> float:
+    """About the distinct values of all columns together, rather too many than too few."""
+    cells = [F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)]
+    found = train.select(*cells).agg(*[F.approx_count_distinct(f"c{k}") for k in range(len(columns))]).first()
+    return ESTIMATE_SLACK * sum(found)
+
+
 def grow(train: DataFrame, target: str, columns: Sequence[str], weights: tuple[float, float], max_depth: int | None,
          min_leaf: int, trees: int = 1, few: int | None = None, max_bins: int | None = None,
          id_col: str | None = None, seed: int = 42) -> Nodes:
@@ -446,6 +455,8 @@ def grow(train: DataFrame, target: str, columns: Sequence[str], weights: tuple[f
     rows = stage(_coded(rows, cuts) if cuts else rows, "tree_rows")
     code = _code_type(cuts) if cuts else None
     span = max(map(len, cuts)) + 1 if cuts else 0
+    # However many rows a node has, its counts are no more than the values of all columns.
+    values = 0 if cuts else _values(train, columns)
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, y, _ in _pieces(batches, width, code):
@@ -475,7 +486,8 @@ def grow(train: DataFrame, target: str, columns: Sequence[str], weights: tuple[f
         counted = rows.mapInArrow(
             _counter(nodes, opened, may, trees, cuts, width, sampled, seed), "node int, feature int, value double, n0 bigint, n1 bigint")
         summed = counted.groupBy("node", "feature", "value").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        big = opened[nodes.n0[opened] + nodes.n1[opened] > LOCAL_ROWS] if cuts is None else opened[:0]
+        wide = cuts is None and values > LOCAL_ROWS
+        big = opened[nodes.n0[opened] + nodes.n1[opened] > LOCAL_ROWS] if wide else opened[:0]
         best = []
         if len(big):
             summed = stage(summed, "node_counts")

@@ -152,3 +152,15 @@ def test_a_task_sends_one_record_for_each_open_node(data):
     (batch,) = run(iter([rows.slice(0, 100), rows.slice(100, 500)]))
     counts = np.frombuffer(batch.column(1)[0].as_py(), np.int32).reshape(4, len(cuts[0]) + 1, 2)
     assert batch.num_rows == 1 and (counts.sum(axis=(1, 2)) == 600).all() and (counts.sum(axis=1)[:, 1] == y.sum()).all()
+
+
+def test_nodes_of_many_rows_and_few_values_need_no_key_ranges(data, monkeypatch):
+    df, x, y = data
+    monkeypatch.setattr(trees, "LOCAL_ROWS", 500)
+
+    def no_ranges(*_):
+        raise AssertionError("few values fit into a task")
+
+    monkeypatch.setattr(trees, "best_splits", no_ranges)
+    nodes = trees.grow(df, "y", COLUMNS, WEIGHTS, 4, 3)
+    assert nested(nodes, 0) == brute(x, y, np.ones(600, dtype=int), np.arange(600), 4, 3)
