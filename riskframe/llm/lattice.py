@@ -411,6 +411,17 @@ class Ranked:
         return out
 
 
+def _nested(every: list[list[bytes]]) -> pa.Array:
+    """Lists of lists of ids, given as bytes, without a Python object for each id."""
+    def ends(sizes: list[int]) -> pa.Array:
+        return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+    single = [ids for text in every for ids in text]
+    flat = pa.array(np.frombuffer(b"".join(single), np.int32))
+    inner = pa.ListArray.from_arrays(ends([len(i) // 4 for i in single]), flat)
+    return pa.ListArray.from_arrays(ends([len(text) for text in every]), inner)
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", n_best: int = N_BEST,
            model: str = MODEL, all_ids: bool = False) -> DataFrame:
     """doc_id, ids (best segmentation), scores (n best, descending) and round_trip.
@@ -440,8 +451,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", n_be
                 ]
                 names = ["doc_id", "ids", "scores", "round_trip"]
                 if all_ids:
-                    every = [[np.frombuffer(i, np.int32).tolist() for i in r.every(lattice, n_best)] for r in found]
-                    columns.append(pa.array(every, pa.list_(pa.list_(pa.int32()))))
+                    columns.append(_nested([r.every(lattice, n_best) for r in found]))
                     names.append("nbest")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -460,7 +470,9 @@ def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_i
 
 
 def digest(encoded: DataFrame) -> DataFrame:
+    """Sizes and hashes of the ids; of those of all segmentations too, where ``encoded`` holds them."""
+    every = [F.xxhash64("nbest").alias("nbest_hash")] if "nbest" in encoded.columns else []
     return encoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"), "scores", "round_trip",
+        F.xxhash64("ids").alias("ids_hash"), "scores", "round_trip", *every,
     )

@@ -157,7 +157,8 @@ def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_nbest_pieces")
 def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.digest(lattice.encode(table(spark, sf_dir, "documents")))
+    """The ids of all N segmentations are built, not only their scores."""
+    return lattice.digest(lattice.encode(table(spark, sf_dir, "documents"), all_ids=True))
 
 
 @query("op11_ppm_language")

@@ -298,3 +298,14 @@ def test_rank_cut_covers_labels_outside_the_sample(make_docs, llm):
     s = np.sort(model.margins(np.array([ranking.features(t) for t in texts])))
     n = y.count(0)
     assert abs(model.cut - (s[n - 1] + s[n]) / 2) < 1e-9
+
+
+def test_the_digest_covers_the_ids_of_every_segmentation(spark):
+    docs = spark.createDataFrame([(1, "some words to cut"), (2, ""), (3, None), (4, "naïve façade")], "doc_id long, text string")
+    out = lattice.encode(docs, all_ids=True)
+    model = lattice.Lattice.load(lattice.MODEL)
+    for r in out.join(docs, "doc_id").collect():
+        assert r["nbest"] == [i.tolist() for _, i in model.encode(r["text"], lattice.N_BEST)]
+    one = lattice.digest(out).orderBy("doc_id").collect()
+    other = lattice.digest(out.withColumn("nbest", F.slice("nbest", 1, 1))).orderBy("doc_id").collect()
+    assert [a["nbest_hash"] != b["nbest_hash"] for a, b in zip(one, other)] == [True, False, False, True]
