@@ -51,10 +51,14 @@ def class_monitor(
 
 
 def write_latest(agg: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Complete-mode sink for a small aggregate: each batch replaces the table."""
+    """Complete-mode sink for a small aggregate: each batch replaces the table.
+
+    The rows move once more to get few files: a plain ``coalesce`` would put the state of all partitions into one task.
+    """
 
     def replace(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(path)
+        cores = batch.sparkSession.sparkContext.defaultParallelism
+        batch.repartition(cores).write.mode("overwrite").parquet(path)
 
     return (
         agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)

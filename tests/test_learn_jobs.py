@@ -186,6 +186,19 @@ def test_monitor_append_mode_is_a_prefix_of_the_batch_result(spark, sf, tmp_path
     assert closed and all(whole[k] == n for k, n in closed.items()) and len(closed) < len(whole)
 
 
+def test_monitor_state_is_not_gathered_in_one_task(spark, sf, tmp_path):
+    from pyspark import TaskContext
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = streaming.read_stream(spark, sf, schema, only="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    task = F.udf(lambda _: TaskContext.get().taskAttemptId(), "long")
+    agg = streaming.class_monitor(events, "ts", F.col("value") > 10).withColumn("task", task("n"))
+    streaming.write_latest(agg, str(tmp_path / "table"), str(tmp_path / "cp")).awaitTermination()
+    table = spark.read.parquet(str(tmp_path / "table"))
+    assert table.select("task").distinct().count() > 1
+    assert table.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
 def test_retraining_waits_for_enough_rows(spark, tmp_path):
     schema = "id int, y int"
     seen = []
