@@ -136,7 +136,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], width: int, code: str | None = No
         t = pa.Table.from_batches(held).combine_chunks()
         x = t["x"].combine_chunks()
         if code:
-            x = np.frombuffer(b"".join(x.to_pylist()), code).reshape(len(t), width)
+            x = _matrix(x, code)
         else:
             x = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), width)
             if np.isnan(x).any():
@@ -147,10 +147,14 @@ def _pieces(batches: Iterator[pa.RecordBatch], width: int, code: str | None = No
         if batch.num_rows:
             held.append(batch)
         if sum(b.num_rows for b in held) >= most:
-            yield joined()
+            piece = joined()
             held.clear()
+            yield piece
+            del piece
     if held:
-        yield joined()
+        piece = joined()
+        held.clear()
+        yield piece
 
 
 def _binary(table: np.ndarray) -> pa.Array:
@@ -160,6 +164,13 @@ def _binary(table: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(table))])
 
 
+def _matrix(values: pa.Array, code: str) -> np.ndarray:
+    """The rows of ``values``, binary and equally long, as a matrix on their own buffer."""
+    _, ends, data = values.buffers()
+    first, last = np.frombuffer(ends, np.int32)[[values.offset, values.offset + len(values)]]
+    return np.frombuffer(memoryview(data)[first:last], code).reshape(len(values), -1)
+
+
 def _code_type(cuts: list[np.ndarray]) -> str:
     return "u1" if max(map(len, cuts)) < 256 else "u4"
 
@@ -319,8 +330,7 @@ def _table_searcher(opened: np.ndarray, may: np.ndarray, t0: np.ndarray, t1: np.
             for lo in range(0, batch.num_rows, SEARCH_NODES):
                 part = batch.slice(lo, SEARCH_NODES)
                 node = np.concatenate([kept_node, part.column(0).to_numpy()])
-                data = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int32).reshape(part.num_rows, -1)
-                data = np.concatenate([kept, data])
+                data = np.concatenate([kept, _matrix(part.column(1), "i4")])
                 start = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
                 node, data = node[start], np.add.reduceat(data, start, axis=0)
                 kept_node, kept = node[-1:], data[-1:]

@@ -164,3 +164,19 @@ def test_nodes_of_many_rows_and_few_values_need_no_key_ranges(data, monkeypatch)
     monkeypatch.setattr(trees, "best_splits", no_ranges)
     nodes = trees.grow(df, "y", COLUMNS, WEIGHTS, 4, 3)
     assert nested(nodes, 0) == brute(x, y, np.ones(600, dtype=int), np.arange(600), 4, 3)
+
+
+def test_a_piece_makes_no_object_for_each_row():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    codes = np.arange(200_000 * 3, dtype=np.uint32).astype("u1").reshape(-1, 3)
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(200_000)), pa.array(np.ones(200_000, np.int32)), trees._binary(codes)], names=["h", "y", "x"])
+    tracemalloc.start()
+    (ids, y, x), = trees._pieces(iter([rows.slice(0, 7), rows.slice(7)]), 3, "u1", 200_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (x == codes).all() and len(ids) == len(y) == 200_000
+    assert most < 8 << 20
