@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskframe.config import ForestConfig, LogisticConfig, TreeConfig
 from riskframe.operators.explain import ranked_importance
 from riskframe.operators.prepare import class_weights, weight_expression
-from riskframe.operators.trees import TreeModel, grow
+from riskframe.operators.trees import DeepForest, TreeModel, grow, grow_deep
 
 WEIGHT = "_weight"
 # Gradient fits run one short job per step, so a small table is better in few tasks.
@@ -93,16 +93,17 @@ def fit_tree(
 
 def fit_forest(
     train: DataFrame, target: str, columns: Sequence[str], config: ForestConfig = ForestConfig(), id_col: str | None = None
-) -> TreeModel:
+) -> TreeModel | DeepForest:
     """Trees on draws of the rows by the hash of ``id_col``, a square root of the columns tried at each node."""
-    weights = _both_weights(train, target)
+    weights, few = _both_weights(train, target), math.ceil(math.sqrt(len(columns)))
+    if config.max_depth is None and config.max_bins:
+        return grow_deep(
+            FOREST, train, target, columns, weights, config.min_leaf, config.trees, few, config.max_bins, id_col, config.seed)
     nodes = grow(
-        train, target, columns, weights, config.max_depth, config.min_leaf, config.trees,
-        math.ceil(math.sqrt(len(columns))), config.max_bins, id_col, config.seed,
-    )
+        train, target, columns, weights, config.max_depth, config.min_leaf, config.trees, few, config.max_bins, id_col, config.seed)
     return TreeModel(FOREST, tuple(columns), nodes, weights)
 
 
-def importance_table(spark: SparkSession, model: TreeModel, columns: Sequence[str]) -> DataFrame:
+def importance_table(spark: SparkSession, model: TreeModel | DeepForest, columns: Sequence[str]) -> DataFrame:
     """Impurity importances of a fitted tree or forest, ranked."""
     return ranked_importance(spark, columns, model.importances())

@@ -15,13 +15,16 @@ same rows give the same trees anywhere. Nothing is kept between levels but the t
 a lost task only counts again.
 
 The trees are held by the driver and sent to the tasks: at most ``trees * 2 ** (max_depth + 1)``
-nodes, and no more than two for each row and tree.
+nodes. A forest with bins and no depth limit may have two nodes for each row and tree, so there only nodes of more than
+``HAND_OVER`` drawn rows are split that way. The rows of each smaller node go to one task, which grows the
+subtree to its end; the driver gets the sums that importances need, or the nodes if they are asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,9 @@ DENSE_CELLS = 1 << 24
 TABLE_ROWS = 1 << 20
 BLOCK_ROWS = 32_768
 TABLE_CELLS = 1 << 22
+#: Without a depth limit: drawn rows of a node that one task grows to its end, and bytes of rows in a record on the way there.
+HAND_OVER = 1 << 19
+SHIP_BYTES = 4_096
 #: Nodes searched at a time.
 SEARCH_NODES = 1_024
 #: Without bins, the values of nodes with more of them are cut into key ranges; others fit into a task.
@@ -164,11 +170,16 @@ def _binary(table: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(table))])
 
 
-def _matrix(values: pa.Array, code: str) -> np.ndarray:
-    """The rows of ``values``, binary and equally long, as a matrix on their own buffer."""
+def _joined(values: pa.Array) -> memoryview:
+    """The bytes of binary ``values`` one after the other, on their own buffer."""
     _, ends, data = values.buffers()
     first, last = np.frombuffer(ends, np.int32)[[values.offset, values.offset + len(values)]]
-    return np.frombuffer(memoryview(data)[first:last], code).reshape(len(values), -1)
+    return memoryview(data)[first:last]
+
+
+def _matrix(values: pa.Array, code: str) -> np.ndarray:
+    """The rows of ``values``, binary and equally long, as a matrix on their own buffer."""
+    return np.frombuffer(_joined(values), code).reshape(len(values), -1)
 
 
 def _code_type(cuts: list[np.ndarray]) -> str:
@@ -192,10 +203,26 @@ def _node_features(nodes: np.ndarray, tree: np.ndarray, width: int, few: int, se
     if few >= width:
         return np.broadcast_to(np.arange(width), (len(nodes), width))
     key = (tree.astype(np.uint64) << np.uint64(32)) ^ nodes.astype(np.uint64) ^ np.uint64(seed << 8)
-    ranked = _mixed(_mixed(key)[:, None] + np.arange(1, width + 1, dtype=np.uint64)[None, :])
+    return _features_of(_mixed(key), width, few)
+
+
+def _features_of(keys: np.ndarray, width: int, few: int) -> np.ndarray:
+    """The ``few`` features that the nodes with these keys may split on, ascending."""
+    if few >= width:
+        return np.broadcast_to(np.arange(width), (len(keys), width))
+    ranked = _mixed(keys[:, None] + np.arange(1, width + 1, dtype=np.uint64)[None, :])
     return np.sort(np.argsort(ranked, axis=1, kind="stable")[:, :few], axis=1)
 
 
+def _root_keys(trees: int, seed: int) -> np.ndarray:
+    return _mixed((np.arange(trees, dtype=np.uint64) << np.uint64(32)) ^ np.uint64((seed << 8) + 1))
+
+
+def _child_keys(keys: np.ndarray) -> np.ndarray:
+    """Keys of the lower and upper child of each node, in turn: a node's key follows from its tree and path alone."""
+    return np.stack([_mixed(keys ^ np.uint64(c)) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)], axis=1).ravel()
+
+
 def _counter(nodes: Nodes, opened: np.ndarray, may: np.ndarray, trees: int, cuts: list[np.ndarray] | None,
              width: int, sampled: bool, seed: int):
     """A job that counts both classes by (node, feature, value or bin)."""
@@ -454,6 +481,13 @@ def grow(train: DataFrame, target: str, columns: Sequence[str], weights: tuple[f
     ``id_col`` tells rows apart in the draw; without it rows equal in all columns are drawn alike.
     ``few`` features are tried at a node. ``max_bins`` bounds the thresholds of a column; None tries all.
     """
+    return _grow(train, target, columns, weights, max_depth, min_leaf, trees, few, max_bins, id_col, seed)[0]
+
+
+def _grow(train: DataFrame, target: str, columns: Sequence[str], weights: tuple[float, float], max_depth: int | None,
+          min_leaf: int, trees: int, few: int | None, max_bins: int | None, id_col: str | None, seed: int,
+          hand_over: int | None = None) -> tuple[Nodes, "_Rest | None"]:
+    """The trees and, with ``hand_over``, which of their leaves of at most so many rows are still to be grown."""
     width, sampled = len(columns), trees > 1
     cells = [F.col(f"`{c}`").cast("double") for c in columns]
     key = F.xxhash64(F.col(f"`{id_col}`")) if id_col else F.xxhash64(F.col(target), *cells)
@@ -481,16 +515,25 @@ def grow(train: DataFrame, target: str, columns: Sequence[str], weights: tuple[f
     none = np.full(trees, -1, dtype=np.int32)
     nodes = Nodes(np.arange(trees, dtype=np.int32), none, np.zeros(trees), none, none, count("n0"), count("n1"))
     opened, depth = np.arange(trees), 0
+    keys, handed, handed_keys = _root_keys(trees, seed), [np.arange(0)], [np.arange(0, dtype=np.uint64)]
     while max_depth is None or depth < max_depth:
-        opened = opened[(nodes.n0[opened] > 0) & (nodes.n1[opened] > 0) & (nodes.n0[opened] + nodes.n1[opened] >= 2 * min_leaf)]
+        some = (nodes.n0[opened] > 0) & (nodes.n1[opened] > 0) & (nodes.n0[opened] + nodes.n1[opened] >= 2 * min_leaf)
+        opened, keys = opened[some], keys[some] if hand_over is not None else keys
+        if hand_over is not None:
+            small = nodes.n0[opened] + nodes.n1[opened] <= hand_over
+            handed.append(opened[small])
+            handed_keys.append(keys[small])
+            opened, keys = opened[~small], keys[~small]
         if not len(opened):
             break
-        may = _node_features(opened, nodes.tree[opened], width, few or width, seed)
+        may = _node_features(opened, nodes.tree[opened], width, few or width, seed) if hand_over is None else _features_of(keys, width, few or width)
         if cuts and np.bincount(nodes.tree[opened]).max() * may.shape[1] * span * 2 <= TABLE_CELLS:
             tables = rows.mapInArrow(_table_counter(nodes, opened, may, cuts, depth, sampled, seed), "node int, counts binary")
             search = _table_searcher(opened, may, nodes.n0[opened], nodes.n1[opened], *weights, min_leaf, span)
             best = tables.repartition("node").sortWithinPartitions("node").mapInArrow(search, _BEST).toArrow()
-            nodes, opened = _split(nodes, best.cast(_BEST_TYPES).sort_by("node"), cuts)
+            best = best.cast(_BEST_TYPES).sort_by("node")
+            keys = _child_keys(keys[np.searchsorted(opened, best["node"].to_numpy())]) if hand_over is not None else keys
+            nodes, opened = _split(nodes, best, cuts)
             depth += 1
             continue
         counted = rows.mapInArrow(
@@ -511,9 +554,23 @@ def grow(train: DataFrame, target: str, columns: Sequence[str], weights: tuple[f
             whole_nodes = summed.repartition("node").sortWithinPartitions("node", "feature", "value")
             best.append(whole_nodes.mapInArrow(search, _BEST).toArrow())
         best = pa.concat_tables(t.cast(_BEST_TYPES) for t in best).sort_by("node")
+        keys = _child_keys(keys[np.searchsorted(opened, best["node"].to_numpy())]) if hand_over is not None else keys
         nodes, opened = _split(nodes, best, cuts)
         depth += 1
-    return nodes
+    if hand_over is None:
+        return nodes, None
+    at, keys = np.concatenate(handed), np.concatenate(handed_keys)
+    return nodes, _Rest(rows, cuts, at, keys, depth, few or width, min_leaf, sampled, seed)
+
+
+def grow_deep(name: str, train: DataFrame, target: str, columns: Sequence[str], weights: tuple[float, float], min_leaf: int,
+              trees: int, few: int | None, max_bins: int, id_col: str | None = None, seed: int = 42) -> "DeepForest":
+    """As ``grow`` without a depth limit: nodes of at most ``HAND_OVER`` rows are grown to their end by one task each.
+
+    Which features a node tries depends on its tree and path, so the same forest grows wherever a node is split.
+    """
+    top, rest = _grow(train, target, columns, weights, None, min_leaf, trees, few, max_bins, id_col, seed, HAND_OVER)
+    return DeepForest(name, tuple(columns), top, rest, weights)
 
 
 def _split(nodes: Nodes, best: pa.Table, cuts: list[np.ndarray] | None) -> tuple[Nodes, np.ndarray]:
@@ -535,6 +592,246 @@ def _split(nodes: Nodes, best: pa.Table, cuts: list[np.ndarray] | None) -> tuple
     return grown, np.arange(size, size + 2 * many)
 
 
+@dataclass(frozen=True)
+class _Rest:
+    """Leaves ``at`` that are still to be grown, on the staged ``rows``."""
+
+    rows: DataFrame
+    cuts: list[np.ndarray]
+    at: np.ndarray
+    keys: np.ndarray
+    depth: int
+    few: int
+    min_leaf: int
+    sampled: bool
+    seed: int
+
+
+def _shipper(top: Nodes, rest: _Rest):
+    """A job that brings the drawn rows of each handed node together: records of (node, weight, class and bins of some rows)."""
+    place = np.full(len(top.tree), -1, dtype=np.int32)
+    place[rest.at] = rest.at
+    live = np.unique(top.tree[rest.at])
+    (feature, limit, lower), code, width = top.coded(rest.cuts), _code_type(rest.cuts), len(rest.cuts)
+    size = (width + 1) * np.dtype(code).itemsize
+    depth, sampled, seed, most = rest.depth, rest.sampled, rest.seed, max(1, SHIP_BYTES // size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, y, x in _pieces(batches, width, code):
+            flat, feature_at = np.ascontiguousarray(x.T).ravel(), feature * len(x)
+            for t in live.tolist():
+                w = bootstrap(ids, t, seed) if sampled else np.ones(len(x), dtype=np.int64)
+                rows = np.flatnonzero(w)
+                node = place.take(_walk(flat, rows, t, feature_at, limit, lower, depth))
+                order = np.argsort(node, kind="stable")
+                order = order[np.searchsorted(node, 0, sorter=order):]
+                if not len(order):
+                    continue
+                rows, node = rows.take(order), node.take(order)
+                sent = np.empty((len(rows), width + 1), dtype=code)
+                sent[:, 0] = w[rows] * 2 + y[rows]
+                sent[:, 1:] = x[rows]
+                every = np.arange(len(rows))
+                run_start = np.maximum.accumulate(np.where(np.append(True, node[1:] != node[:-1]), every, 0))
+                start = np.flatnonzero((every - run_start) % most == 0)
+                ends = (np.append(start, len(rows)) * size).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(sent)])
+                yield pa.RecordBatch.from_arrays([pa.array(node[start]), data], names=["node", "data"])
+
+    return run
+
+
+def _counts_of(x: np.ndarray, width: int, rows: np.ndarray, at: np.ndarray, w: np.ndarray, y: np.ndarray, may: np.ndarray,
+               span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending cells (node, feature tried, bin) that occur, and both classes in each; ``x`` holds the rows in turn."""
+    few = may.shape[1]
+    cells = len(may) * few * span
+    kind = np.uint32 if cells * 32 <= 1 << 32 else np.uint64
+    key = np.empty((few, len(rows)), dtype=kind)
+    for k in range(few):
+        key[k] = (at * few + k) * span + x.take(rows * width + may[:, k].take(at))
+    if cells <= 4 * len(rows):
+        both = [np.bincount(key.ravel(), np.tile(w * (y == c), few), cells).astype(np.int64) for c in (0, 1)]
+        cell = np.flatnonzero(both[0] + both[1])
+        return cell, both[0][cell], both[1][cell]
+    # A weight is at most 12, so weight and class fit into five bits below the cell.
+    key <<= kind(5)
+    key += (w * 2 + y).astype(kind)
+    key = np.sort(key.ravel())
+    cell = key >> kind(5)
+    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    n = ((key >> kind(1)) & kind(15)).astype(np.int64)
+    both = np.add.reduceat(n, start)
+    ones = np.add.reduceat(n * (key & kind(1)).astype(np.int64), start)
+    return cell[start].astype(np.int64), both - ones, ones
+
+
+def _subtree(x: np.ndarray, w: np.ndarray, y: np.ndarray, key: int, few: int, span: int, w0: float, w1: float, min_leaf: int):
+    """Levels of (rank of each split node in its level, feature, bin, gain, n0, n1 of both children in turn) of one node's subtree."""
+    width = x.shape[1]
+    flat, rows, at = x.ravel(), np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+    keys = np.array([key], dtype=np.uint64)
+    n0, n1 = np.array([w[y == 0].sum()]), np.array([w[y == 1].sum()])
+    opened = np.zeros(1, dtype=np.int64)
+    while len(keys):
+        may = _features_of(keys, width, few)
+        cell, c0, c1 = _counts_of(flat, width, rows, at, w, y, may, span)
+        column = cell // span
+        first = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+        length = np.diff(np.append(first, len(cell)))
+        upto = lambda c: np.cumsum(c) - np.repeat((np.cumsum(c) - c)[first], length)
+        c0, c1, node = upto(c0), upto(c1), column // few
+        left, all0, all1 = c0 + c1, n0[node], n1[node]
+        use = np.flatnonzero((left >= min_leaf) & (all0 + all1 - left >= max(min_leaf, 1)))
+        if not len(use):
+            return
+        node, c0, c1, all0, all1 = node[use], c0[use], c1[use], all0[use], all1[use]
+        whole = _purity(all0 * w0, all1 * w1)
+        gain = _purity(c0 * w0, c1 * w1) + _purity((all0 - c0) * w0, (all1 - c1) * w1) - whole
+        # The first of the largest is that of the first feature and lowest bin.
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        most = np.repeat(np.maximum.reduceat(gain, first), np.diff(np.append(first, len(node))))
+        best = np.flatnonzero(gain == most)
+        best = best[np.append(True, node[best[1:]] != node[best[:-1]])]
+        best = best[gain[best] > 1e-12 * whole[best]]
+        if not len(best):
+            return
+        split, cell = node[best], cell[use[best]]
+        feature, bin_ = may[split, (cell // span) % few], cell % span
+        pair = lambda l, a: np.stack([l, a - l], axis=1).ravel()
+        below0, below1 = pair(c0[best], all0[best]), pair(c1[best], all1[best])
+        yield opened[split], feature, bin_, gain[best], below0, below1
+        opened = np.flatnonzero((below0 > 0) & (below1 > 0) & (below0 + below1 >= 2 * min_leaf))
+        # Rows go on to the open children only.
+        lower = np.full(len(keys), -1, dtype=np.int64)
+        lower[split] = 2 * np.arange(len(split))
+        feature_of, bin_of = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        feature_of[split], bin_of[split] = feature, bin_
+        child = lower.take(at)
+        rank = np.full(2 * len(split) + 1, -1, dtype=np.int64)
+        rank[opened] = np.arange(len(opened))
+        child = rank.take(np.where(child < 0, 2 * len(split), child + (flat.take(rows * width + feature_of.take(at)) > bin_of.take(at))))
+        go = np.flatnonzero(child >= 0)
+        rows, at, w, y = rows.take(go), child.take(go), w.take(go), y.take(go)
+        keys, n0, n1 = _child_keys(keys[split])[opened], below0[opened], below1[opened]
+
+
+def _finisher(rest: _Rest, weights: tuple[float, float], whole: bool):
+    """A job that grows handed nodes, whose records arrive sorted by node, to their end.
+
+    It sends the sum of gains by feature for each, or with ``whole`` the nodes below, in the order of levels.
+    """
+    order = np.argsort(rest.at)
+    at, keys, width, code = rest.at[order], rest.keys[order], len(rest.cuts), _code_type(rest.cuts)
+    few, min_leaf, span = rest.few, rest.min_leaf, max(map(len, rest.cuts)) + 1
+
+    def grown(node: int, held: list[bytes]) -> pa.RecordBatch:
+        sent = np.frombuffer(b"".join(held), code).reshape(-1, width + 1)
+        own, x = sent[:, 0].astype(np.int64), np.ascontiguousarray(sent[:, 1:])
+        levels = _subtree(x, own >> 1, own & 1, int(keys[np.searchsorted(at, node)]), few, span, *weights, min_leaf)
+        if not whole:
+            sums = np.zeros((1, width))
+            for _, feature, _, gain, _, _ in levels:
+                sums[0] += np.bincount(feature, gain, width)
+            return pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), _binary(sums)], names=["node", "gains"])
+        parts, size, before = [], 1, 0
+        for split, feature, bin_, _, n0, n1 in levels:
+            parts.append((before + split, feature, bin_, np.full(len(split), size) + 2 * np.arange(len(split)), n0[::2], n1[::2], n0[1::2], n1[1::2]))
+            before, size = size, size + 2 * len(split)
+        cols = [np.concatenate(c) if parts else np.empty(0, np.int64) for c in (zip(*parts) if parts else [()] * 8)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(cols[0]), node, dtype=np.int32)), *[pa.array(c.astype(np.int64)) for c in cols]], names=_BELOW_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            start = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else []
+            for lo, hi in zip(start, [*start[1:], len(node)]):
+                if last is not None and node[lo] != last:
+                    yield grown(int(last), held)
+                    held = []
+                last = node[lo]
+                held.append(bytes(_joined(batch.column(1).slice(lo, hi - lo))))
+        if held:
+            yield grown(int(last), held)
+
+    return run
+
+
+_BELOW_NAMES = ["node", "at", "feature", "bin", "lower", "l0", "l1", "u0", "u1"]
+
+
+@dataclass(frozen=True)
+class DeepForest:
+    """A forest whose nodes below ``top`` are grown by tasks, again for each use; it has the interface of ``TreeModel``.
+
+    ``importances`` keeps nothing on the driver that grows with the rows of a tree but one sum for each handed node and
+    feature. ``nodes``, and with it scores and saving, brings all nodes to the driver.
+    """
+
+    name: str
+    columns: tuple[str, ...]
+    top: Nodes
+    rest: _Rest
+    weights: tuple[float, float]
+
+    def _finished(self, whole: bool, schema: str) -> pa.Table:
+        cores = self.rest.rows.sparkSession.sparkContext.defaultParallelism
+        parts = max(cores, min(64 * cores, 2 * len(self.rest.at)))
+        sent = self.rest.rows.mapInArrow(_shipper(self.top, self.rest), "node int, data binary")
+        return sent.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(
+            _finisher(self.rest, self.weights, whole), schema).toArrow()
+
+    @cached_property
+    def nodes(self) -> Nodes:
+        top, (tree, at, feature, bin_, lower, l0, l1, u0, u1) = self.top, (
+            c.to_numpy() for c in self._finished(True, "node int, " + ", ".join(f"{c} bigint" for c in _BELOW_NAMES[1:])).sort_by(
+                [("node", "ascending"), ("lower", "ascending")]).columns)
+        # Nodes below a handed node come after all others, those of one subtree together.
+        new = np.append(True, tree[1:] != tree[:-1]) if len(tree) else np.empty(0, bool)
+        base = len(top.tree) + 2 * np.maximum.accumulate(np.where(new, np.arange(len(tree)), 0)) - 1
+        own, low = np.where(at == 0, tree, base + at), base + lower
+        many = 2 * len(tree)
+        leaf, none = np.full(many, -1, dtype=np.int32), np.zeros(many)
+        pair = lambda l, u: np.stack([l, u], axis=1).ravel()
+        n = Nodes(
+            np.concatenate([top.tree, np.repeat(top.tree[tree], 2)]), np.concatenate([top.feature, leaf]), np.concatenate([top.threshold, none]),
+            np.concatenate([top.lower, leaf]), np.concatenate([top.upper, leaf]),
+            np.concatenate([top.n0, pair(l0, u0)]), np.concatenate([top.n1, pair(l1, u1)]))
+        n.feature[own], n.lower[own], n.upper[own] = feature, low, low + 1
+        n.threshold[own] = [self.rest.cuts[f][b] for f, b in zip(feature.tolist(), bin_.tolist())]
+        return n
+
+    def _whole(self) -> "TreeModel":
+        return TreeModel(self.name, self.columns, self.nodes, self.weights)
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return self._whole().probability(x)
+
+    def predict(self, prepared: DataFrame) -> DataFrame:
+        return self._whole().predict(prepared)
+
+    def save(self, path: str) -> None:
+        self._whole().save(path)
+
+    def importances(self) -> np.ndarray:
+        """As those of ``TreeModel``."""
+        by_tree = TreeModel(self.name, self.columns, self.top, self.weights).gains()
+        if len(self.rest.at):
+            found = self._finished(False, "node int, gains binary").sort_by("node").combine_chunks()
+            gains = np.frombuffer(b"".join(found["gains"].to_pylist())).reshape(-1, len(self.columns))
+            np.add.at(by_tree, self.top.tree[found["node"].to_numpy()], gains)
+        return _shares(by_tree)
+
+
+def _shares(by_tree: np.ndarray) -> np.ndarray:
+    """Mean over the trees of each feature's share of the gains."""
+    total = by_tree.sum(axis=1, keepdims=True)
+    mean = np.divide(by_tree, total, out=np.zeros_like(by_tree), where=total > 0).mean(axis=0)
+    return mean / mean.sum() if mean.sum() > 0 else mean
+
+
 @dataclass(frozen=True)
 class TreeModel:
     """A fitted tree or forest with the interface of ``Classifier``."""
@@ -570,6 +867,10 @@ class TreeModel:
 
     def importances(self) -> np.ndarray:
         """Share of each feature in the impurity that the splits take away, mean over the trees."""
+        return _shares(self.gains())
+
+    def gains(self) -> np.ndarray:
+        """The impurity that the splits take away, by tree and feature."""
         n, (w0, w1) = self.nodes, self.weights
         a, b = n.n0 * w0, n.n1 * w1
         purity = np.divide(a * a + b * b, a + b, out=np.zeros(len(a)), where=a + b > 0)
@@ -577,9 +878,7 @@ class TreeModel:
         gain = purity[n.lower[inner]] + purity[n.upper[inner]] - purity[inner]
         by_tree = np.zeros((self.trees, len(self.columns)))
         np.add.at(by_tree, (n.tree[inner], n.feature[inner]), gain)
-        total = by_tree.sum(axis=1, keepdims=True)
-        mean = np.divide(by_tree, total, out=np.zeros_like(by_tree), where=total > 0).mean(axis=0)
-        return mean / mean.sum() if mean.sum() > 0 else mean
+        return by_tree
 
     def save(self, path: str) -> None:
         spark = SparkSession.active()

@@ -180,3 +180,25 @@ def test_a_piece_makes_no_object_for_each_row():
     tracemalloc.stop()
     assert (x == codes).all() and len(ids) == len(y) == 200_000
     assert most < 8 << 20
+
+
+def test_subtrees_grown_by_tasks_equal_level_by_level(data, spark, monkeypatch):
+    """The same forest whether tasks or levels grow its nodes; importances bring no nodes to the driver."""
+    df, x, y = data
+    forest = lambda rows: trees.grow_deep("f", rows, "y", COLUMNS, WEIGHTS, 1, 6, 2, 32, "id")
+    made = []
+    for hand_over in (0, 40, 1 << 19):
+        monkeypatch.setattr(trees, "HAND_OVER", hand_over)
+        made.append((forest(df), forest(df.repartition(3))))
+    (one, _), _, (whole, _) = made
+    assert len(one.rest.at) == 0 and len(whole.top.tree) == 6
+    monkeypatch.setattr(trees, "SHIP_BYTES", 11)
+    want = [nested(one.top, t) for t in range(6)]
+    assert all(len(str(w)) > 200 for w in want)
+    for a in (f for both in made for f in both):
+        assert a.importances() == pytest.approx(one.importances(), abs=1e-12)
+        assert "nodes" not in vars(a)
+        assert [nested(a.nodes, t) for t in range(6)] == want
+        assert a.importances() == pytest.approx(trees.TreeModel("f", tuple(COLUMNS), a.nodes, WEIGHTS).importances(), abs=1e-12)
+    none = trees.grow_deep("f", df.where("y = 1"), "y", COLUMNS, WEIGHTS, 1, 2, 2, 32, "id")
+    assert none.importances().sum() == 0 and len(none.nodes.tree) == 2
