@@ -22,7 +22,7 @@ pieces, so decoding gives every text back. Repeated rows are encoded alike. Only
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 import heapq
 import re
@@ -44,6 +44,9 @@ CACHE_CHARS = 6_000_000
 CACHE_OPTIONS = 50_000
 #: Words up to this length are learned together.
 TOGETHER = 48
+#: Texts encoded at a time, and the code points they may hold together.
+SLICE_TEXTS = 2_000
+SLICE_CHARS = 600_000
 #: Stands for a mark of the text itself: a lone surrogate, which no text from Arrow holds.
 _OWN_MARK = "\ud800"
 _LOADED: dict[str, "Lattice"] = {}
@@ -51,7 +54,8 @@ _LOADED: dict[str, "Lattice"] = {}
 
 #: Substring keys: a polynomial of the code points, modulo 2**64, plus a term for the length.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SHIFT = np.uint64(44)
+#: Slots for each key of a hash table, at least.
+_ROOM = 32
 
 
 def _powers(n: int) -> np.ndarray:
@@ -71,16 +75,18 @@ def _prefix_sums(group: list[str], length: int) -> np.ndarray:
     return sums
 
 
-def _hash_tables(keys: np.ndarray, ids: np.ndarray) -> list[tuple[np.uint64, np.ndarray]]:
-    """Slots by the high bits of key * factor; keys that find theirs taken go to the next table."""
+def _hash_tables(keys: np.ndarray, ids: np.ndarray) -> list[tuple[np.uint64, np.uint64, np.ndarray]]:
+    """Slots by the high bits of key * factor; keys that find theirs taken go to the next, much smaller table."""
     tables = []
     rng = np.random.default_rng(1)
     while len(ids):
         factor = np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
-        slot = (keys[ids] * factor) >> _SHIFT
-        slots = np.full(1 << (64 - int(_SHIFT)), -1, dtype=np.int32)
+        bits = (_ROOM * len(ids)).bit_length()
+        shift = np.uint64(64 - bits)
+        slot = (keys[ids] * factor) >> shift
+        slots = np.full(1 << bits, -1, dtype=np.int32)
         slots[slot] = ids
-        tables.append((factor, slots))
+        tables.append((factor, shift, slots))
         ids = ids[slots[slot] != ids]
     return tables
 
@@ -137,7 +143,7 @@ class Lattice:
     by_words: bool
     scores: np.ndarray
     keys: np.ndarray
-    tables: list[tuple[np.uint64, np.ndarray]]
+    tables: list[tuple[np.uint64, np.uint64, np.ndarray]]
     words: dict[str, tuple[bytes, float, float]] = field(default_factory=dict)
     searched: dict[tuple[str, int], list] = field(default_factory=dict)
     held: int = 0
@@ -177,11 +183,14 @@ class Lattice:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Piece numbers of substring keys, -1 where there is none."""
-        out = np.full(len(keys), -1, dtype=np.int32)
-        for factor, slots in self.tables:
-            at = slots[(keys * factor) >> _SHIFT]
-            hit = (at >= 0) & (self.keys[at] == keys)
-            out[hit] = at[hit]
+        out = np.full(keys.shape, -1, dtype=np.int32)
+        for factor, shift, slots in self.tables:
+            at = slots.take((keys * factor) >> shift)
+            # Most slots are empty, and no key is the one of number -1.
+            some = np.flatnonzero(at >= 0)
+            at = at.ravel().take(some)
+            hit = self.keys.take(at) == keys.ravel().take(some)
+            out.ravel()[some[hit]] = at[hit]
         return out
 
     def arcs(self, text: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
@@ -298,15 +307,21 @@ class Lattice:
         known = np.ones(n, dtype=bool)
         for end in range(1, length + 1):
             a, b, arc = np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n, dtype=np.int64)
-            for k in range(min(self.longest, end), 0, -1):
-                at = self.find(sums[end] - sums[end - k] * _POWERS[k] + _WIDTHS[k])
-                arcs[end, k] = at
-                gain = scores[at]
+            most = min(self.longest, end)
+            # All arcs that end here are looked up together: arc k begins at ``end - k``.
+            arcs[end, 1:most + 1] = self.find(
+                sums[end] - sums[end - most:end][::-1] * _POWERS[1:most + 1, None] + _WIDTHS[1:most + 1, None])
+            any_ = (arcs[end, 1:most + 1] >= 0).any(axis=1)
+            for k in range(most, 0, -1):
+                if not any_[k - 1]:
+                    continue
+                gain = scores.take(arcs[end, k])
                 s, t = one[end - k] + gain, two[end - k] + gain
-                better = s > a
-                b = np.where(better, np.maximum(a, t), np.maximum(b, s))
-                arc[better] = k
-                a = np.maximum(a, s)
+                np.putmask(arc, s > a, k)
+                # No second best exceeds its best, so the second of all is the largest but one of a, s, b and t.
+                np.maximum(b, t, out=b)
+                np.maximum(b, np.minimum(a, s), out=b)
+                np.maximum(a, s, out=a)
             known &= arcs[end, 1] >= 0
             one[end], two[end], back[end] = np.where(known, a, 0.0), b, np.where(known, arc, 1)
         at, every = np.full(n, length), np.arange(n)
@@ -318,11 +333,16 @@ class Lattice:
         ids = np.array(steps[::-1], dtype=np.int32).T
         with np.errstate(invalid="ignore"):
             loss = one[length] - two[length]
-        for i, w in enumerate(group):
-            if known[i]:
-                row = ids[i]
-                out[w] = row[row >= 0].tobytes(), float(one[length, i]), float(loss[i])
-        return [w for i, w in enumerate(group) if not known[i]]
+        used = ids >= 0
+        flat, ends = ids[used].tobytes(), (4 * np.cumsum(used.sum(axis=1))).tolist()
+        rest, lo = [], 0
+        for w, sure, hi, best, lost in zip(group, known.tolist(), ends, one[length].tolist(), loss.tolist()):
+            if sure:
+                out[w] = flat[lo:hi], best, lost
+            else:
+                rest.append(w)
+            lo = hi
+        return rest
 
     def look_up(self, texts: list[list[str]]) -> list[list[tuple[bytes, float, float]]]:
         """Entries of the words of several texts; new words are learned together."""
@@ -367,12 +387,12 @@ class Lattice:
         return [(s, np.frombuffer(i, np.int32)) for s, i in zip(ranked.scores, ranked.every(self, n_best))]
 
     def _rank(self, words: list[str], found: list[tuple[bytes, float, float]], n_best: int) -> "Ranked":
-        parts = [f[0] for f in found]
-        best = sum([f[1] for f in found])
+        parts, best, loss = zip(*found) if found else ((), (), ())
+        best = sum(best)
         if n_best == 1 or not found:
             return Ranked(words, parts, [best], [()])
         # Only the words of the smallest losses can differ from their best in the n best texts.
-        loss = np.array([f[2] for f in found])
+        loss = np.array(loss)
         where = np.sort(np.argsort(loss, kind="stable")[:n_best - 1])
         merged = [(0.0, ())]
         for i in where.tolist():
@@ -393,7 +413,7 @@ class Ranked:
     """A text's words, their best ids, and the n best scores with what each changes."""
 
     words: list[str]
-    parts: list[bytes]
+    parts: Sequence[bytes]
     scores: list[float]
     changes: list[tuple[tuple[int, int], ...]]
 
@@ -422,6 +442,20 @@ def _nested(every: list[list[bytes]]) -> pa.Array:
     return pa.ListArray.from_arrays(ends([len(text) for text in every]), inner)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts, null as empty, and where each begins."""
+    part, held, at = [], 0, 0
+    for i, t in enumerate(texts):
+        text = t.as_py() or ""
+        if part and (len(part) >= SLICE_TEXTS or held + len(text) > SLICE_CHARS):
+            yield at, part
+            part, held, at = [], 0, i
+        part.append(text)
+        held += len(text)
+    if part:
+        yield at, part
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", n_best: int = N_BEST,
            model: str = MODEL, all_ids: bool = False) -> DataFrame:
     """doc_id, ids (best segmentation), scores (n best, descending) and round_trip.
@@ -435,10 +469,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", n_be
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice.load(model)
         for batch in batches:
-            texts = batch.column(1)
-            # A few texts at a time, so the ids of a batch of long texts do not pile up.
-            for at in range(0, batch.num_rows, 200):
-                part = [t or "" for t in texts.slice(at, 200).to_pylist()]
+            # A slice of texts at a time, so the ids of a batch of long texts do not pile up; in larger ones more new words are learned together.
+            for at, part in _slices(batch.column(1)):
                 found = lattice.encode_all(part, n_best)
                 raw = [r.best() for r in found]
                 scores = [r.scores for r in found]
@@ -446,7 +478,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", n_be
                 offsets = np.concatenate([[0], np.cumsum([len(i) // 4 for i in raw])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(raw), np.int32)
                 columns = [
-                    batch.column(0).slice(at, 200), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                     pa.array(scores, pa.list_(pa.float64())), pa.array(same, pa.bool_()),
                 ]
                 names = ["doc_id", "ids", "scores", "round_trip"]

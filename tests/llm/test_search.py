@@ -4,6 +4,7 @@ from collections import Counter
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 import xxhash
@@ -309,3 +310,19 @@ def test_the_digest_covers_the_ids_of_every_segmentation(spark):
     one = lattice.digest(out).orderBy("doc_id").collect()
     other = lattice.digest(out.withColumn("nbest", F.slice("nbest", 1, 1))).orderBy("doc_id").collect()
     assert [a["nbest_hash"] != b["nbest_hash"] for a, b in zip(one, other)] == [True, False, False, True]
+
+
+def test_words_are_learned_with_one_search_for_each_end(monkeypatch):
+    lat = lattice.Lattice.load(lattice.MODEL)
+    words = [lattice.MARK + w for w in ("internation", "segmentatio", "recommended", "differences", "information", "xqzjvkwypql",
+                                        "aaaaaaaaaaa", "abcabcabcab", "streamlined")]
+    find, calls = lattice.Lattice.find, []
+    monkeypatch.setattr(lattice.Lattice, "find", lambda self, keys: (calls.append(1), find(self, keys))[1])
+    got = lat.learn(words)
+    assert len(calls) <= len(words[0])
+    for w in words:
+        ids, score, loss = lat.quick(w)
+        assert np.frombuffer(got[w][0], np.int32).tolist() == list(ids)
+        assert got[w][1:] == pytest.approx((score, loss))
+    parts = list(lattice._slices(pa.array(["a", None, "b" * lattice.SLICE_CHARS, "c"])))
+    assert parts == [(0, ["a", ""]), (2, ["b" * lattice.SLICE_CHARS]), (3, ["c"])]
