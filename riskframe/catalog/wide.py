@@ -70,6 +70,7 @@ def _gradient(result) -> float:
     classes = class_weights(rows, y).collect()
     total = sum(r["n"] * r["weight"] for r in classes)
     p = model.predict(rows).withColumn("_r", weight_expression(y, classes) * (F.col("p") - F.col(y)) / total)
+    p = stage(p.select("_r", *model.coef, *ORDERS.categorical), "residuals")
     worst = [F.abs(F.sum("_r")).alias("g"), *[F.abs(F.sum(F.col("_r") * F.col(c)) + w / total).alias(c) for c, w in model.coef.items()]]
     most = max(p.agg(*worst).first())
     for c in ORDERS.categorical:

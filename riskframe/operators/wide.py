@@ -4,15 +4,15 @@
 rows (feature, value, code) of a written dictionary that joins by its measured size, and a
 record is one sparse vector. A fitted model adds its coefficient to each row of the
 dictionary, so scoring is one join for each categorical column and a sum: no vector, no
-literal, and nothing on the driver that grows with the categories. The fit itself holds one
-double for each category on the driver and on every task, as the linear model needs.
+literal, and nothing on the driver that grows with the categories. Up to SHARED columns are
+fitted by Spark's estimator; beyond, ``spread_logistic`` keeps the coefficients in a table too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
-import json
+import math
 
 import numpy as np
 import pandas as pd
@@ -22,18 +22,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from riskframe.config import LogisticConfig
 from riskframe.functions.ordering import running_sums
 from riskframe.functions.staging import new_path, stage
-from riskframe.operators import prepare
+from riskframe.operators import prepare, spread_logistic
 from riskframe.operators.clean import fill_defaults
 from riskframe.operators.learn import WEIGHT, logistic
 from riskframe.operators.prepare import PrepModel, class_weights, fit_prep, load_prep, weight_expression
 from riskframe.operators.score import LinearScore
+from riskframe.operators.spread_logistic import INTERCEPT, Blocks, fit_spread, narrow_rows
 from riskframe.sources.readers import read_json
 from riskframe.spec import FeatureSpec
 
 _CODES = "feature string, value string, code bigint"
 _WEIGHTS = f"{_CODES}, weight double"
 _CARD = "fills map<string,string>, sizes map<string,bigint>, octets map<string,bigint>, intercept double, coef map<string,double>"
-# A vector index is an int, and the fit holds a double for each.
+# A vector index is an int.
 MAX_WIDTH = 2**31 - 1
 
 
@@ -173,16 +174,29 @@ def fit_wide_logistic(
     assembled: DataFrame, target: str, prep: WidePrep, config: LogisticConfig = LogisticConfig()
 ) -> WideLogistic:
     """L2-penalised fit with balanced classes on rows of ``prep.assemble``."""
-    spark = assembled.sparkSession
     classes = class_weights(assembled, target).collect()
-    rows = assembled.select(target, "features", weight_expression(target, classes).alias(WEIGHT))
-    fit = logistic(target, float(sum(r["n"] * r["weight"] for r in classes)), config).fit(rows)
-    w = fit.coefficients.toArray()
-    numbers = len(prep.spec.numeric)
-    per_code = spark.createDataFrame(pd.DataFrame({"at": np.arange(numbers, prep.width), "weight": w[numbers:]}))
-    places = prep.dictionary.withColumn("at", F.col("code") + _block_of(prep))
-    weights = stage(places.join(per_code, "at").select("feature", "value", "code", "weight"), "weights")
-    return WideLogistic(prep, float(fit.intercept), {c: float(w[i]) for i, c in enumerate(prep.spec.numeric)}, weights)
+    if not {r[target] for r in classes} <= {0, 1} or not classes:
+        raise ValueError(f"{target} needs rows of the classes 0 and 1 alone, found {sorted(r[target] for r in classes)}")
+    at, numbers = prep.offsets(), len(prep.spec.numeric)
+    blocks = Blocks(numbers, tuple((at[c], at[c] + prep.sizes[c]) for c in prep.spec.categorical))
+    if len(classes) == 1:
+        # No finite intercept is best; the coefficients stay 0.
+        weights = stage(prep.dictionary.select("feature", "value", "code", F.lit(0.0).alias("weight")), "weights")
+        return WideLogistic(prep, math.inf if classes[0][target] else -math.inf, dict.fromkeys(prep.spec.numeric, 0.0), weights)
+    if prep.width <= spread_logistic.SHARED:
+        total = float(sum(r["n"] * r["weight"] for r in classes))
+        found = logistic(target, total, config).fit(assembled.select(target, "features", weight_expression(target, classes).alias(WEIGHT)))
+        w, intercept = found.coefficients.toArray(), float(found.intercept)
+        head = {i: float(w[i]) for i in range(numbers)}
+        fit = assembled.sparkSession.createDataFrame(pd.DataFrame({"place": np.arange(numbers, prep.width), "weight": w[numbers:]}))
+    else:
+        rows = narrow_rows(assembled, target, weight_expression(target, classes), blocks)
+        fit = fit_spread(rows, blocks, prep.width, config).select("place", F.col("w").alias("weight"))
+        head = {r["place"]: r["weight"] for r in fit.where(F.col("place") < numbers).collect()}
+        intercept = head[INTERCEPT]
+    places = prep.dictionary.withColumn("place", F.col("code") + _block_of(prep))
+    weights = stage(places.join(fit.hint("shuffle_hash"), "place").select("feature", "value", "code", "weight"), "weights")
+    return WideLogistic(prep, intercept, {c: head[i] for i, c in enumerate(prep.spec.numeric)}, weights)
 
 
 def coefficients(model: WideLogistic) -> DataFrame:
